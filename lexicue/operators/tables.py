@@ -22,6 +22,11 @@ def first_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return best.select(*keys, *[F.col("__r")[c].alias(c) for c in rest])
 
 
+def surrogate_id(*cols: str) -> Column:
+    """Stable positive id from a key: the same row gets the same id when a lost task is run again."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 12), 16, 10).cast("bigint")
+
+
 def upsert(
     base: DataFrame, changes: DataFrame, keys: list[str], defaults: dict[str, Column] | None = None
 ) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered jobs: operators applied to the given tables, each with its SQL twin where there is one."""
 
-from lexicue.plans import feed, intervals, learning, mutations, sequence  # noqa: F401
+from lexicue.plans import feed, intervals, learning, mutations, segments, sequence, vocab  # noqa: F401
 from lexicue.plans.registry import JOBS
 
 __all__ = ["JOBS"]

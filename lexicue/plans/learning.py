@@ -141,7 +141,7 @@ SELECT o_orderpriority AS kind, count(*) FILTER (o_orderstatus = 'F') AS ready,
 def job_status_counts(spark, folder):
     """Pivot over the fixed list of states: no extra pass to find them."""
     o = table(spark, folder, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
-    counts = o.groupBy(F.col("o_orderpriority").alias("kind")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*"))
+    counts = o.groupBy(F.col("o_orderpriority").alias("kind")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
     retries = o.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.sum(F.col("o_orderkey") % 3).alias("retries"))
     return counts.join(retries, "kind").select(
         "kind", *[F.coalesce(s, F.lit(0)).alias(n) for s, n in (("F", "ready"), ("O", "failed"), ("P", "pending"))], "retries")
