@@ -32,7 +32,7 @@ def safe_file_name(name: Column, max_len: int = 50) -> Column:
 
 def sibling(url: Column, name: str) -> Column:
     """Replace the last path part; a link without ``/`` is an error."""
-    return F.when(F.contains(url, F.lit("/")), F.regexp_replace(url, "[^/]*$", name)).otherwise(
+    return F.when(F.contains(url, F.lit("/")), F.concat(F.regexp_extract(url, "^(.*/)", 1), F.lit(name))).otherwise(
         F.raise_error(F.concat(F.lit("link has no path: "), url))
     )
 

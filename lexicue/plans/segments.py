@@ -252,12 +252,12 @@ def caption_layout(spark, folder):
 @job("screen_fit", """
 WITH s AS (SELECT p_partkey AS id, p_size * 16.0 AS vw, p_retailprice AS vh FROM part),
 f AS (SELECT *, CASE WHEN vw / vh > 390.0 / 844.0 THEN 390.0 / vw ELSE 844.0 / vh END AS scale FROM s)
-SELECT id, round(scale, 6) AS scale, round(CASE WHEN vw / vh > 390.0 / 844.0 THEN 0 ELSE (390.0 - vw * scale) / 2 END, 6) AS offset_x,
- round(CASE WHEN vw / vh > 390.0 / 844.0 THEN (844.0 - vh * scale) / 2 ELSE 0 END, 6) AS offset_y FROM f""")
+SELECT id, scale, CASE WHEN vw / vh > 390.0 / 844.0 THEN 0 ELSE (390.0 - vw * scale) / 2 END AS offset_x,
+ CASE WHEN vw / vh > 390.0 / 844.0 THEN (844.0 - vh * scale) / 2 ELSE 0 END AS offset_y FROM f""")
 def screen_fit(spark, folder):
     p = table(spark, folder, "part", "p_partkey", "p_size", "p_retailprice")
     fit = G.contain_fit(F.col("p_size") * F.lit(16.0), F.col("p_retailprice"), F.lit(390.0), F.lit(844.0))
-    return p.select(F.col("p_partkey").alias("id"), fit.alias("f")).select("id", *[F.round(F.col("f")[n], 6).alias(n) for n in ("scale", "offset_x", "offset_y")])
+    return p.select(F.col("p_partkey").alias("id"), fit.alias("f")).select("id", "f.scale", "f.offset_x", "f.offset_y")
 
 
 @job("frame_grid", f"""WITH {CORPUS}

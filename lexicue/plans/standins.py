@@ -235,11 +235,11 @@ def ocr_dets(spark, folder) -> DataFrame:
     )
 
 
-# Speech: every turn's last line, a little later, without punctuation; system turns in capitals.
+# Speech: every turn's last line, a little later, without punctuation; system turns garbled.
 SQL["speech"] = r"""
 SELECT conv_id AS video, turn AS stt_idx, turn * 3000 + 300 AS start_ms,
        turn * 3000 + 300 + 400 + length(text) % 3000 AS end_ms,
-       CASE WHEN role = 'system' THEN upper(last_line) ELSE regexp_replace(last_line, '[.,]', '', 'g') END AS text
+       CASE WHEN role = 'system' THEN translate(last_line, 'aeioutnrs', '123456789') ELSE regexp_replace(last_line, '[.,]', '', 'g') END AS text
 FROM (SELECT *, string_split(text, chr(10))[-1] AS last_line FROM conversations)"""
 
 
@@ -250,7 +250,7 @@ def speech(spark, folder) -> DataFrame:
         F.col("turn").alias("stt_idx"),
         (F.col("turn") * 3000 + 300).alias("start_ms"),
         (F.col("turn") * 3000 + 300 + 400 + F.length("text") % 3000).alias("end_ms"),
-        F.when(F.col("role") == "system", F.upper(last))
+        F.when(F.col("role") == "system", F.translate(last, "aeioutnrs", "123456789"))
         .otherwise(F.regexp_replace(last, "[.,]", ""))
         .alias("text"),
     )
