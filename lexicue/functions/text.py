@@ -99,7 +99,7 @@ def is_noise_token(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """White-space tokens without blanks and noise; positions count kept tokens only."""
-    return F.filter(F.split(strip(c), r"(?U)\s+"), lambda t: (t != "") & ~is_noise_token(t))
+    return F.filter(F.split(c, r"(?U)\s+"), lambda t: (t != "") & ~is_noise_token(t))
 
 
 def script_units(c: Column, wide_run_stop: bool = True) -> Column:
@@ -127,7 +127,7 @@ def script_units(c: Column, wide_run_stop: bool = True) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    return F.when(F.size(pieces) > 0, folded).otherwise(zero["out"])
+    return folded
 
 
 def dominant_script_units(c: Column) -> Column:

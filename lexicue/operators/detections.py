@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from lexicue import constants as K
 from lexicue.functions import geometry as G
 from lexicue.functions import text as T
+from lexicue.operators.staging import staged
+from lexicue.sources.dimensions import fixed
 
 
 def settings(spark) -> DataFrame:
     """Fixed dimension: five models with their confidence and duration thresholds."""
-    return spark.createDataFrame(K.MODEL_SETTINGS, "model string, min_confidence double, min_duration int")
+    return fixed(spark, ["model", "min_confidence", "min_duration"], K.MODEL_SETTINGS)
 
 
 def readable(detections: DataFrame, spark) -> DataFrame:
@@ -25,7 +27,7 @@ def readable(detections: DataFrame, spark) -> DataFrame:
 def boxed(detections: DataFrame, scale: float = 1.0, per_script: bool = True) -> DataFrame:
     """Polygons (``poly``) to boxes with character boxes; flat polygons are dropped."""
     box = G.polygon_box(F.col("poly"), scale)
-    out = detections.withColumn("__b", box).filter(F.col("__b.y1") - F.col("__b.y0") > 0)
+    out = staged(detections, __b=box).filter(F.col("__b.y1") - F.col("__b.y0") > 0)
     width, height = F.col("__b.x1") - F.col("__b.x0"), F.col("__b.y1") - F.col("__b.y0")
     text = F.col("text")
     if per_script:

@@ -8,6 +8,7 @@ from lexicue import constants as K
 from lexicue.functions import text as T
 from lexicue.operators import intervals as I
 from lexicue.operators.scans import asof
+from lexicue.operators.staging import staged
 
 _GRAM = 4
 
@@ -27,7 +28,7 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
     """
     norm = T.normalize_for_match(F.col("full_text"))
     before = F.length(T.normalize_for_match(F.substring("full_text", F.lit(1), F.col("char_index"))))
-    base = taps.withColumn("__norm", norm).withColumn("__before", before).withColumn(
+    base = staged(taps, __norm=norm, __before=before).withColumn(
         "__at", F.when(F.col("__before") < F.length("__norm"), F.col("__before")).otherwise(F.col("char_index"))
     )
     vocab = (
@@ -38,11 +39,14 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
         .withColumn("__gram", F.substring("__w", 1, _GRAM))
     )
     longest = vocab.groupBy("video").agg(F.max("__len").alias("__longest"))
+    # only as much text as the longest word travels with a start
     starts = base.join(longest, "video").select(
-        "tap_id", "video", "__norm", "__at",
+        "tap_id", "video", "__norm", "__at", "__longest",
         F.explode(
             F.sequence(F.greatest(F.lit(0), F.col("__at") - F.col("__longest") + 1), F.col("__at"))
         ).alias("__pos"),
+    ).select(
+        "tap_id", "video", "__at", "__pos", F.substring("__norm", F.col("__pos") + 1, F.col("__longest")).alias("__tail")
     )
     grams = starts.withColumn(
         "__gram",
@@ -50,7 +54,7 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
             F.array_distinct(
                 F.transform(
                     F.array(*[F.lit(n) for n in range(1, _GRAM + 1)]),
-                    lambda n: F.substring(F.col("__norm"), F.col("__pos") + 1, n),
+                    lambda n: F.substring(F.col("__tail"), F.lit(1), n),
                 )
             )
         ),
@@ -59,7 +63,7 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
         grams.join(vocab, ["video", "__gram"])
         .filter(
             (F.col("__pos") + F.col("__len") > F.col("__at"))
-            & (F.substring(F.col("__norm"), F.col("__pos") + 1, F.col("__len")) == F.col("__w"))
+            & F.startswith("__tail", "__w")
         )
         .groupBy("tap_id", "video", "__w")
         .agg(F.min("__pos").alias("__pos"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexicue import constants as K
+from lexicue.operators.staging import staged
+from lexicue.sources.dimensions import fixed
 
 SETTINGS = [
     "mau", "dau_percent", "upload_percent", "video_sec", "sub_price", "sub_percent", "ad_rpm", "lean",
@@ -40,14 +42,14 @@ def steps(value: Column, levels: list[tuple]) -> Column:
 def with_rates(scenarios: DataFrame) -> DataFrame:
     """Look up all provider rates."""
     spark = scenarios.sparkSession
-    dim = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # a handful of fixed rows
+    dim = lambda cols, rows: F.broadcast(fixed(spark, cols, rows))
     return (
-        scenarios.join(dim(list(K.SPEECH_RATES.items()), "stt string, stt_rate double"), "stt")
-        .join(dim([(k, v) for k, v in K.TRANSLATION_RATES.items()], "translation string, translation_rate double"), "translation")
-        .join(dim([(k, *v) for k, v in K.DEFINITION_RATES.items()], "model string, in_rate double, out_rate double"), "model")
+        scenarios.join(dim(["stt", "stt_rate"], list(K.SPEECH_RATES.items())), "stt")
+        .join(dim(["translation", "translation_rate"], list(K.TRANSLATION_RATES.items())), "translation")
+        .join(dim(["model", "in_rate", "out_rate"], [(k, *v) for k, v in K.DEFINITION_RATES.items()]), "model")
         .join(
-            dim([(k, *v) for k, v in K.TRANSCODE.items()],
-                "transcode string, min_rate double, renditions int, share double, stored_mb double, objects int, managed boolean"),
+            dim(["transcode", "min_rate", "renditions", "share", "stored_mb", "objects", "managed"],
+                [(k, *v) for k, v in K.TRANSCODE.items()]),
             "transcode",
         )
     )
@@ -57,12 +59,9 @@ def activity(df: DataFrame) -> DataFrame:
     c = F.col
     dau = c("mau") * (c("dau_percent") / 100.0)
     new = F.when(c("uploads"), dau * (c("upload_percent") / 100.0) * 30).otherwise(c("seeded").cast("double"))
-    return (
-        df.withColumn("dau", dau)
-        .withColumn("new_videos", new)
-        .withColumn("views", dau * c("views_per_day") * 30)
-        .withColumn("video_minutes", c("new_videos") * (c("video_sec") / 60.0))
-        .withColumn("video_chars", c("video_sec") / 30.0 * 400)
+    out = staged(df, dau=dau, new_videos=new, views=dau * c("views_per_day") * 30)
+    return out.withColumn("video_minutes", c("new_videos") * (c("video_sec") / 60.0)).withColumn(
+        "video_chars", c("video_sec") / 30.0 * 400
     )
 
 
@@ -169,8 +168,9 @@ def profit(df: DataFrame) -> DataFrame:
 def price(scenarios: DataFrame) -> DataFrame:
     """All cost groups, revenue and profit. No users means no cost, while seeded videos are still reported."""
     out = infrastructure_costs(storage_costs(media_costs(activity(with_rates(scenarios)))))
-    for g in GROUPS:
-        out = out.withColumn(g, F.when(F.col("mau") == 0, 0.0).otherwise(F.col(g)))
+    none = F.col("mau") == 0
+    out = staged(out, **{f"__{g}": F.when(none, 0.0).otherwise(F.col(g)) for g in GROUPS})
+    out = out.drop(*GROUPS).withColumnsRenamed({f"__{g}": g for g in GROUPS})
     shown = F.when((F.col("mau") == 0) | ~F.col("uploads"), F.col("seeded").cast("double")).otherwise(F.col("new_videos"))
     return warnings(profit(revenue(out))).withColumn("new_videos", shown)
 

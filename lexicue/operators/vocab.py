@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexicue import constants as K
 from lexicue.functions import text as T
 from lexicue.operators.scans import Look, scan
+from lexicue.sources.dimensions import fixed
 
 
 def occurrences(segments: DataFrame, keys: list[str], order: list[str], text: str, chunk: Column | None = None) -> DataFrame:
@@ -26,7 +27,7 @@ def occurrences(segments: DataFrame, keys: list[str], order: list[str], text: st
 
 def languages(spark) -> DataFrame:
     """Target languages: a fixed dimension of twelve rows."""
-    return spark.createDataFrame(K.TARGET_LANGUAGES, "code string, name string")
+    return fixed(spark, ["code", "name"], K.TARGET_LANGUAGES)
 
 
 def definition_plan(words: DataFrame, language: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexicue.plans.registry import job
 from lexicue.sources import pages as Pg
+from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 
@@ -16,7 +17,7 @@ def _saved(spark, folder):
     and items in an unusual place.
     """
     c = F.col
-    p = table(spark, folder, "pages", "page_id", "url", "html")
+    p = spread(table(spark, folder, "pages", "page_id", "url", "html"))
     n = c("page_id")
     title = F.when(n % 5 != 0, F.regexp_extract("html", "<title>(.*?)</title>", 1))
     link = F.when(n % 3 == 0, F.concat(F.lit("//v.example/playwm/"), n.cast("string"))).otherwise(F.concat(F.lit("http://v.example/playwm/"), n.cast("string")))

@@ -12,6 +12,7 @@ from lexicue.operators import segments as Sg
 from lexicue.operators.scans import chunk_of
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
+from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 
@@ -206,7 +207,7 @@ POLY = """poly AS (SELECT l_orderkey AS id, l_linenumber AS n, l_returnflag || '
 
 def _polys(spark, folder):
     c = F.col
-    l = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_discount")
+    l = spread(table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_discount"))
     x0, y0 = c("l_quantity") * 7.25, c("l_extendedprice") / 100
     x1, y1 = x0 + c("l_partkey") % 300, y0 + c("l_suppkey") % 40
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))

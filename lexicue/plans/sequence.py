@@ -8,6 +8,7 @@ from lexicue.operators import collapse as C
 from lexicue.operators.scans import Look, chunk_of, scan
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
+from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 
@@ -89,7 +90,7 @@ def _turn_frames(spark, folder):
 
     Odd frames misread a letter, every 9th shows nothing, and so does every 5th turn.
     """
-    t = table(spark, folder, "conversations", "conv_id", "turn", "text")
+    t = spread(table(spark, folder, "conversations", "conv_id", "turn", "text"))
     n = F.greatest(F.lit(1), F.floor(F.length("text") / 60)).cast("int")
     return t.select(
         F.col("conv_id").alias("video"), "turn", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")

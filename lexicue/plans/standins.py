@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 HOUR = 3_600_000
@@ -214,7 +215,7 @@ def ocr_dets(spark, folder) -> DataFrame:
         ),
     )
     return (
-        table(spark, folder, "conversations", "conv_id", "turn", "text")
+        spread(table(spark, folder, "conversations", "conv_id", "turn", "text"))
         .select(
             F.col("conv_id").alias("video"),
             F.col("turn").alias("seg_idx"),
@@ -245,7 +246,7 @@ FROM (SELECT *, string_split(text, chr(10))[-1] AS last_line FROM conversations)
 
 def speech(spark, folder) -> DataFrame:
     last = F.element_at(F.split("text", "\n"), -1)
-    return table(spark, folder, "conversations", "conv_id", "turn", "role", "text").select(
+    return spread(table(spark, folder, "conversations", "conv_id", "turn", "role", "text")).select(
         F.col("conv_id").alias("video"),
         F.col("turn").alias("stt_idx"),
         (F.col("turn") * 3000 + 300).alias("start_ms"),

@@ -11,6 +11,7 @@ from lexicue.operators import captions as Cp
 from lexicue.operators.scans import Look, chunk_of, scan
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
+from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 CJK = "[一-鿿㐀-䶿぀-ヿ가-힯]"
@@ -35,7 +36,7 @@ def _turns(spark, folder):
     words = F.transform(
         toks, lambda w, i: F.struct(
             ((start + i * 300 + F.floor(i / 7) * 400) / 1000).alias("start"), ((start + i * 300 + F.floor(i / 7) * 400 + 250) / 1000).alias("end"), w.alias("word")))
-    return table(spark, folder, "conversations", "conv_id", "turn", "text").select(
+    return spread(table(spark, folder, "conversations", "conv_id", "turn", "text")).select(
         F.col("conv_id").alias("video"), F.col("turn").alias("seg_idx"), start.alias("start_ms"),
         (start + F.size(toks) * 360).cast("bigint").alias("end_ms"), "text", words.alias("words"))
 

@@ -12,6 +12,7 @@ from lexicue.operators import vocab as V
 from lexicue.operators.scans import chunk_of
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
+from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 NOISE = r"^[^\p{L}\p{M}\p{Nl}\p{Pc}]+$"
@@ -24,7 +25,7 @@ FROM (SELECT conv_id, turn, text, unnest(toks) AS word, unnest(range(len(toks)))
 
 
 def segments(spark, folder):
-    return table(spark, folder, "conversations", "conv_id", "turn", "text").select(
+    return spread(table(spark, folder, "conversations", "conv_id", "turn", "text")).select(
         F.col("conv_id").alias("video"), F.col("turn").alias("seg_idx"), (F.col("turn") * 3000).alias("start_ms"),
         (F.col("turn") * 3000 + 500 + F.length("text") % 4000).alias("end_ms"), "text")
 
@@ -57,7 +58,7 @@ DOC_TOKENS = f"SELECT lang, unnest({TOKENS}) AS word FROM documents"
 WITH w AS (SELECT lang, word, count(*) AS n FROM ({DOC_TOKENS}) GROUP BY ALL)
 SELECT lang, word, n, rank() OVER (PARTITION BY lang ORDER BY n DESC) AS frequency_rank FROM w""")
 def word_rank(spark, folder):
-    d = table(spark, folder, "documents", "lang", "text")
+    d = spread(table(spark, folder, "documents", "lang", "text"))
     counts = d.select("lang", F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     return L.frequency_rank(counts, "lang", "word", "n")
 
@@ -71,14 +72,14 @@ p AS (SELECT lang, word, unnest({LANG_LIST}) AS target_language FROM w)
 SELECT lang, target_language, count(*) AS words, CAST(sum(length(word)) AS BIGINT) AS chars FROM p WHERE target_language <> lang GROUP BY ALL""")
 def definition_plan(spark, folder):
     """Planned requests per source and target language, over every word of every document."""
-    words = table(spark, folder, "documents", "lang", "text").select("lang", F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    words = spread(table(spark, folder, "documents", "lang", "text")).select("lang", F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
     return V.definition_plan(words, "lang").groupBy("lang", "target_language").agg(F.count("*").alias("words"), F.sum(F.length("word")).alias("chars"))
 
 
 @job("definition_missing", S.with_views("occ", body=f"""
 SELECT DISTINCT word FROM occ WHERE word NOT IN (SELECT word FROM ({DOC_TOKENS}))"""))
 def definition_missing(spark, folder):
-    known = table(spark, folder, "documents", "text").select(F.explode(T.tokens(F.col("text"))).alias("word"))
+    known = spread(table(spark, folder, "documents", "text")).select(F.explode(T.tokens(F.col("text"))).alias("word"))
     words = occ(spark, folder).select("word").distinct()
     return V.missing(words, known, ["word"])
 
@@ -155,7 +156,7 @@ SELECT conv_id * 1000 + turn AS tap_id, conv_id AS video, text AS full_text, CAS
 
 def taps(spark, folder):
     at = ((F.col("conv_id") * 31 + F.col("turn") * 17) % F.length("text")).cast("int")
-    return table(spark, folder, "conversations", "conv_id", "turn", "text").filter(F.length("text") > 0).select(
+    return spread(table(spark, folder, "conversations", "conv_id", "turn", "text")).filter(F.length("text") > 0).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("tap_id"), F.col("conv_id").alias("video"), F.col("text").alias("full_text"),
         at.alias("char_index"), (F.col("turn") * 3000 + 1000).alias("time_ms"), F.substring(F.col("text"), at + 1, F.lit(1)).alias("tapped"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from lexicue.functions import urls as U
+from lexicue.operators.staging import staged
 
 # --- fixed values: where each page format keeps its JSON, tried in this order -----------------
 FORMATS = {
@@ -57,11 +58,6 @@ def deep_find(docs: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([one(t, k) for t, k in zip(docs, keys)])
 
 
-def _computed(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns behind a one-row generator, so that later uses read the value instead of repeating it."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
-
 def embedded(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add ``format`` and ``payload`` (JSON text) of the first page format that matches."""
     tried = F.array(*[
@@ -69,7 +65,7 @@ def embedded(pages: DataFrame, html: str = "html") -> DataFrame:
         for name, pattern in FORMATS.items()
     ])
     first = F.get(F.filter(tried, lambda t: t["payload"] != ""), F.lit(0))
-    out = _computed(pages, __hit=first)
+    out = staged(pages, __hit=first)
     return out.select(*pages.columns, F.col("__hit.format").alias("format"), F.col("__hit.payload").alias("payload"))
 
 
@@ -79,7 +75,7 @@ def located(df: DataFrame) -> DataFrame:
     for name, paths in KNOWN_PATHS.items():
         at = F.coalesce(*[F.get_json_object("payload", p) for p in paths])
         known = F.when(F.col("format") == name, at).otherwise(known)
-    df = _computed(df, __known=known)
+    df = staged(df, __known=known)
     hit = df.filter("__known IS NOT NULL OR payload IS NULL").withColumn("found", F.col("__known"))
     key = F.lit(None).cast("string")
     for name, k in ITEM_KEYS.items():
@@ -96,7 +92,7 @@ def items(df: DataFrame) -> DataFrame:
         .when(F.col("format") == "sigi", first_of_map)
         .otherwise(F.col("found"))
     )
-    return _computed(df, item=F.try_parse_json(text))
+    return staged(df, item=F.try_parse_json(text))
 
 
 def _get(path: str, kind: str = "string") -> Column:
