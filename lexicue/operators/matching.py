@@ -8,7 +8,7 @@ from lexicue import constants as K
 from lexicue.functions import text as T
 from lexicue.operators import intervals as I
 from lexicue.operators.scans import asof
-from lexicue.operators.staging import staged
+from lexicue.operators.staging import materialized, staged
 
 _GRAM = 4
 
@@ -70,11 +70,12 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
         .join(base.select("tap_id", F.col("time_ms").alias("__time")), "tap_id")
         .withColumn("__time2", F.col("__time") * 2)
     )
+    covering = materialized(covering)
     # twice the middle of a word's time keeps whole numbers
     timed = words.select(
         "video", "word_index", "display_text", T.normalize_for_match(F.col("display_text")).alias("__w"),
         (F.col("start_ms") + F.col("end_ms")).alias("__mid2"),
-    )
+    ).join(covering.select("video", "__w").distinct(), ["video", "__w"], "left_semi")
     near = asof(
         covering, timed, ["video", "__w"], "__time2", "__mid2", ["word_index", "display_text"],
         {"__back": ("backward", False), "__ahead": ("forward", True)}, "word_index",
@@ -96,7 +97,8 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
         F.array_min(F.filter(F.array(option("__back"), option("__ahead")), lambda s: s.isNotNull())).alias("__o"),
     ).groupBy("tap_id").agg(F.min("__o").alias("__best"))
 
-    joined = base.join(best, "tap_id", "left")
+    # one row per tap, read by the matched and by the unmatched branch
+    joined = materialized(taps.join(best, "tap_id", "left"))
     # original position of the pos-th kept character
     kept = F.filter(
         F.transform(T.chars(F.col("full_text")), lambda ch, i: F.when(~ch.rlike(f"[{K.MATCH_IGNORED}]"), i)),
@@ -111,11 +113,13 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
 
 
 def _by_character(taps: DataFrame, words: DataFrame, chunk_width: int | None) -> DataFrame:
+    # only the characters of unmatched taps are looked up
+    asked = taps.select("video", "tapped").distinct()
     lettered = words.select(
         "video", "word_index", "display_text",
         (F.col("start_ms") - K.TAP_WINDOW_MS).alias("start_ms"), (F.col("end_ms") + K.TAP_WINDOW_MS).alias("end_ms"),
         F.explode(F.array_distinct(T.chars(F.col("display_text")))).alias("tapped"),
-    )
+    ).join(asked, ["video", "tapped"], "left_semi")
     anytime = lettered.groupBy("video", "tapped").agg(
         F.min(F.struct("word_index", "display_text")).alias("__any")
     )

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexicue.session import shared_dir
+
 #: Inputs up to this size may be shuffled to occupy all cores.
 SPREAD_BYTES = 256 * 1024 * 1024
 
@@ -31,3 +35,15 @@ def spread(df: DataFrame) -> DataFrame:
     if estimated_bytes(df) > SPREAD_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For results used by several branches of one job: they are computed once, their lineage ends, and a
+    lost executor only costs a read. The folder is the one the cluster names for checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from lexicue.operators import vocab as V
 from lexicue.operators.scans import chunk_of
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
-from lexicue.operators.staging import spread
+from lexicue.operators.staging import materialized, spread
 from lexicue.sources.tables import table
 
 NOISE = r"^[^\p{L}\p{M}\p{Nl}\p{Pc}]+$"
@@ -177,8 +177,9 @@ SELECT m.tap_id, m.video, coalesce(b.display_text, f.display_text, '') AS displa
 FROM m LEFT JOIN b USING (tap_id) LEFT JOIN f USING (tap_id)""").replace(")\n\n,", "),\n"))
 def tap_match(spark, folder):
     """Every turn is tapped once; words of lengths divisible by three are missing from the vocabulary."""
-    words = occ(spark, folder).filter(F.length("word") % 3 != 0).select(
-        "video", "word_index", F.col("word").alias("display_text"), "start_ms", "end_ms")
+    # stands for the stored table of word occurrences
+    words = materialized(occ(spark, folder).filter(F.length("word") % 3 != 0).select(
+        "video", "word_index", F.col("word").alias("display_text"), "start_ms", "end_ms"))
     out = M.match_taps(taps(spark, folder), words, S.HOUR)
     return out.select("tap_id", "video", F.coalesce("display_text", F.lit("")).alias("display_text"), F.coalesce("word_index", F.lit(-1)).alias("word_index"))
 
