@@ -109,6 +109,16 @@ def requeue(reviews: DataFrame, keys: list[str], card: str, at: str, tie: str, d
     ).withColumn("requeued", F.col(due) - F.col(at) < K.REQUEUE_MS)
 
 
+def queue_order(reviews: DataFrame, keys: list[str], card: str, at: str, tie: str) -> DataFrame:
+    """Mark repeats and the order key of the session queue: first tries in time order, repeats behind them."""
+    first = reviews.groupBy(*keys, card).agg(F.min(F.struct(at, tie)).alias("__f"))
+    return (
+        reviews.join(first, [*keys, card])
+        .withColumn("is_repeat", F.struct(at, tie) != F.col("__f"))
+        .drop("__f")
+    )
+
+
 def counters(base: DataFrame, key: str, facts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Left-join one grouped count per fact table; missing means 0."""
     out = base

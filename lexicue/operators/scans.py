@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task, so a key with a third of the
 rows decides the run time. Here the order axis is cut into chunks (a day of time, a range of ids): each
 (key, chunk) is scanned on its own, one summary row per chunk is scanned across chunks, and the
-carried value is joined back. Results equal those of the plain window. Without ``chunk`` the plain
+carried value is joined back. Rows are shuffled once. Results equal those of the plain window. Without ``chunk`` the plain
 window is used, for keys known to be short.
 
 Keys must not be null.
@@ -37,6 +37,23 @@ def chunk_of(col: Column, width: int | float) -> Column:
     return F.floor(col / F.lit(width))
 
 
+def _shared(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows by (key, chunk) once for both branches of a scan.
+
+    Both read the same shuffle: the generator above it uses every column, so neither branch prunes the
+    shuffle into something different. Without this each scan would evaluate its input twice, and a chain
+    of scans 2, 4, 8 times.
+    """
+    rest = [c for c in df.columns if c not in keys and c != _CHUNK]
+    hashed = df.repartition(*keys, _CHUNK)
+    return hashed.select(*keys, _CHUNK, F.inline(F.array(F.struct(*rest)))) if rest else hashed
+
+
+def _sealed(df: DataFrame) -> DataFrame:
+    """Keep the join's not-null filters above this point; pushed down, they would make its shuffle differ."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def _over(look: Look, value: Column, spec) -> Column:
     if look.kind == "last":
         return F.last(value, ignorenulls=True).over(spec)
@@ -70,7 +87,7 @@ def scan(
             out = out.withColumn(look.out, F.coalesce(got, F.lit(0)) if look.kind == "sum" else got)
         return out
 
-    base = df.withColumn(_CHUNK, chunk)
+    base = _shared(df.withColumn(_CHUNK, chunk), keys)
     at = F.struct(*[F.col(c) for c in order])
     summaries, carried = [], []
     for i, look in enumerate(looks):
@@ -83,7 +100,7 @@ def scan(
         step = F.col(_CHUNK).desc() if look.ahead else F.col(_CHUNK).asc()
         spec = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
         carried.append(_over(look, F.col(name), spec).alias(f"__c{i}"))
-    across = base.groupBy(*keys, _CHUNK).agg(*summaries).select(*keys, _CHUNK, *carried)
+    across = _sealed(base.groupBy(*keys, _CHUNK).agg(*summaries).select(*keys, _CHUNK, *carried))
 
     local = base
     for i, look in enumerate(looks):
@@ -126,7 +143,7 @@ def islands(
         total = F.sum("__flag").over(w.rowsBetween(Window.unboundedPreceding, 0))
         return flagged.withColumn(out, total).drop("__prev", "__flag")
 
-    base = df.withColumn(_CHUNK, chunk)
+    base = _shared(df.withColumn(_CHUNK, chunk), keys)
     w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     local = base.withColumn("__prev", F.lag(cur).over(w)).withColumn(
         "__flag", F.when(F.col("__prev").isNull() | ~changed(F.col("__prev"), cur), 0).otherwise(1)
@@ -154,6 +171,7 @@ def islands(
         )
         .select(*keys, _CHUNK, "__base")
     )
+    ends = _sealed(ends)
     counted = local.withColumn(
         "__run", F.sum("__flag").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )

@@ -10,6 +10,7 @@ from lexicue.functions import text as T
 from lexicue.operators import intervals as I
 from lexicue.operators.collapse import drop_near_duplicates, gap_groups
 from lexicue.operators.feed import top_per_key
+from lexicue.operators.staging import materialized
 
 
 def persistent_texts(detections: DataFrame, share: float = K.PERSISTENT_SHARE) -> DataFrame:
@@ -132,7 +133,8 @@ def missed_gaps(
     """Groups of missed frames: span, first texts and the segment nearest to the first frame."""
     from lexicue.operators.scans import chunk_of
 
-    missed = diagnosed.filter("seg_idx IS NULL").select("video", "frame_id", "ts_ms", "texts")
+    # the report's rows are read by the grouping and by the nearest-segment lookup
+    missed = materialized(diagnosed.filter("seg_idx IS NULL").select("video", "frame_id", "ts_ms", "texts"))
     chunk = chunk_of(F.col("ts_ms"), chunk_width) if chunk_width else None
     grouped = gap_groups(missed, ["video"], "ts_ms", 2 * interval, "frame_id", chunk, "gap")
     groups = grouped.groupBy("video", "gap").agg(

@@ -317,3 +317,21 @@ def work_left(spark, folder):
     existing = table(spark, folder, "lineitem", "l_orderkey", "l_returnflag").select(
         F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "A", "dense").when(F.col("l_returnflag") == "N", "rapid").alias("model")).dropna()
     return Tb.delete(planned, existing, ["id", "model"])
+
+
+@job("profile_defaults", """
+SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END, 0) AS "streakDays", coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, 'en') AS "nativeLanguage",
+ coalesce(CASE WHEN c_custkey % 5 = 0 THEN c_nationkey END, 10) AS "dailyGoalMinutes", coalesce(CASE WHEN c_custkey % 7 = 0 THEN c_nationkey END, 20) AS "maxReviewsPerDay",
+ coalesce(CASE WHEN c_custkey % 11 = 0 THEN true END, false) AS premium, CAST(0 AS DOUBLE) AS stability, coalesce(CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END, 0.0) AS difficulty FROM customer""")
+def profile_defaults(spark, folder):
+    """Stored rows with gaps to the names and defaults the client reads."""
+    from lexicue.functions import profile as P
+
+    c, k = F.col, F.col("c_custkey")
+    stored = table(spark, folder, "customer", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal").select(
+        k.alias("id"), F.when(k % 2 == 0, c("c_nationkey")).alias("streak_days"), F.when(k % 3 == 0, c("c_mktsegment")).alias("native_language"),
+        F.when(k % 5 == 0, c("c_nationkey")).alias("daily_goal_minutes"), F.when(k % 7 == 0, c("c_nationkey")).alias("max_reviews_per_day"),
+        F.when(k % 11 == 0, F.lit(True)).alias("premium"), F.lit(None).cast("double").alias("stability"), F.when(k % 2 == 1, c("c_acctbal")).alias("difficulty"))
+    named = {n: v for n, v in P.PROFILE_DEFAULTS.items() if v[0] in stored.columns}
+    zero = {n: (n, 0.0) for n in P.CARD_ZERO_DEFAULTS if n in stored.columns}
+    return stored.select("id", *P.with_defaults(named), *P.with_defaults(zero))

@@ -162,3 +162,17 @@ def table_growth(spark, folder):
 SELECT user_id, CASE rating WHEN 1 THEN 'Forgot' WHEN 2 THEN 'Tough' WHEN 3 THEN 'Got it' ELSE 'Easy!' END AS label, count(*) AS n FROM reviews GROUP BY ALL"""))
 def rating_labels(spark, folder):
     return S.reviews(spark, folder).groupBy("user_id", labels.rating_label(F.col("rating")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@job("queue_positions", views("ev", "reviews", body="""
+, m AS (SELECT *, row_number() OVER (PARTITION BY user_id, card_id ORDER BY ts_ms, review_id) > 1 AS is_repeat FROM reviews)
+SELECT user_id, review_id, is_repeat, row_number() OVER (PARTITION BY user_id ORDER BY is_repeat, ts_ms, review_id) AS position FROM m"""))
+def queue_positions(spark, folder):
+    """Session queue: repeated cards come behind all first tries."""
+    from lexicue.operators.scans import row_numbers
+
+    rows = S.reviews(spark, folder).select("user_id", "card_id", "review_id", "ts_ms")
+    marked = L.queue_order(rows, ["user_id"], "card_id", "ts_ms", "review_id").withColumn("late", F.col("is_repeat").cast("int"))
+    # chunks must follow the order: repeats get days behind every first try
+    chunk = F.col("late") * 1_000_000 + chunk_of(F.col("ts_ms"), S.DAY)
+    return row_numbers(marked, ["user_id"], ["late", "ts_ms", "review_id"], "position", chunk).select("user_id", "review_id", "is_repeat", "position")

@@ -358,3 +358,12 @@ def transcript_order(spark, folder):
 
     s = S.speech(spark, folder).select("video", "stt_idx", "start_ms")
     return row_numbers(s, ["video"], ["start_ms", "stt_idx"], "n", chunk_of(F.col("start_ms"), S.HOUR)).select("video", "stt_idx", (F.col("n") - 1).alias("position"))
+
+
+@job("word_centre", f"""WITH {POLY}, p AS (SELECT *, (x1 - x0) / length(text) AS cw FROM poly WHERE y1 - y0 > 0)
+SELECT id, n, (CAST(round_even(x0, 0) AS INTEGER) + CAST(round_even(x0 + 4 * cw, 0) AS INTEGER) + CAST(round_even(cw, 0) AS INTEGER)) / 2 AS centre FROM p""")
+def word_centre(spark, folder):
+    """Middle between the first and last character box of each detection."""
+    b = D.boxed(_polys(spark, folder))
+    first, last = F.element_at("chars", 1), F.element_at("chars", -1)
+    return b.select("id", "n", G.span_centre(first["x"], last["x"], last["width"]).alias("centre"))

@@ -242,3 +242,24 @@ def translation_window(spark, folder):
         (F.col("start_ms") <= F.col("w0")) & (F.col("w1") <= F.col("end_ms")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "translation"))), lambda x: x["translation"]), " ")
     return pairs.groupBy("video", "seg_idx").agg(F.md5(text).alias("translation_md5"), F.count("*").alias("n"))
+
+
+@job("tap_highlight")
+def tap_highlight(spark, folder):
+    """Range of characters to highlight for each matched tap."""
+    words = materialized(occ(spark, folder).select("video", "word_index", F.col("word").alias("display_text"), "start_ms", "end_ms"))
+    out = M.match_taps(taps(spark, folder), words, S.HOUR).filter("display_text IS NOT NULL")
+    return out.select("tap_id", F.col("word_start").alias("highlight_start"), (F.col("word_start") + F.length("display_text")).alias("highlight_end"))
+
+
+@job("definition_rows", """
+SELECT p_partkey AS vocab_id, lang AS target_language, p_name || '-' || lang AS translation, CASE lang WHEN 'en' THEN p_type ELSE '' END AS part_of_speech
+FROM part, (VALUES ('en'), ('fr'), ('es')) l(lang) WHERE lang <> CASE p_partkey % 2 WHEN 0 THEN 'es' ELSE '' END""")
+def definition_rows(spark, folder):
+    """Nested maps {language: {translation, part of speech}} to one row per language."""
+    p = table(spark, folder, "part", "p_partkey", "p_name", "p_type")
+    entry = lambda lang, pos: (F.lit(lang), F.struct(F.concat_ws("-", "p_name", F.lit(lang)).alias("translation"), pos.alias("part_of_speech")))
+    full = F.create_map(*entry("en", F.col("p_type")), *entry("fr", F.lit(None).cast("string")), *entry("es", F.lit(None).cast("string")))
+    defs = F.when(F.col("p_partkey") % 2 == 0, F.map_filter(full, lambda k, v: k != "es")).otherwise(full)
+    return p.select(F.col("p_partkey").alias("vocab_id"), F.explode(defs).alias("target_language", "d")).select(
+        "vocab_id", "target_language", "d.translation", F.coalesce("d.part_of_speech", F.lit("")).alias("part_of_speech"))
