@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexicue import constants as K
 from lexicue.functions import text as T
 from lexicue.operators import intervals as I
+from lexicue.operators.staging import staged
 
 _CJK = re.compile(T.CJK)
 
@@ -42,8 +43,11 @@ def attach_words(segments: DataFrame, words: DataFrame, bucket_s: float = 4.0) -
     return segments.join(lists, ["video", "seg_idx"], "left").withColumn("words", F.coalesce("words", empty))
 
 
-def punctuation_parts(segments: DataFrame) -> DataFrame:
-    """Parts of each text with interpolated times; offsets ignore white space lost at the cuts."""
+def _with_parts(segments: DataFrame) -> DataFrame:
+    """Add ``parts array<struct<part_idx,text,start_ms,end_ms>>``.
+
+    Times are interpolated; offsets ignore white space lost at the cuts.
+    """
     text = T.strip(F.col("text"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<part:string,at:int>>").alias("out"))
     offsets = F.aggregate(
@@ -55,17 +59,23 @@ def punctuation_parts(segments: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["out"],
     )
-    rest = [c for c in segments.columns if c not in ("text", "start_ms", "end_ms")]
-    n, s, e = F.length("__text"), F.col("__s"), F.col("__e")
-    return (
-        segments.select(*rest, text.alias("__text"), F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e"),
-                        F.posexplode(offsets).alias("part_idx", "__p"))
-        .select(
-            *rest, "part_idx", T.strip(F.col("__p.part")).alias("text"),
-            interpolated(n, F.col("__p.at"), s, e).alias("start_ms"),
-            interpolated(n, F.col("__p.at") + F.length("__p.part"), s, e).alias("end_ms"),
-        )
+    cut = staged(segments, __n=F.length(text), __cuts=offsets)
+    n, s, e = F.col("__n"), F.col("start_ms"), F.col("end_ms")
+    parts = F.transform(
+        "__cuts",
+        lambda p, i: F.struct(
+            i.alias("part_idx"), T.strip(p["part"]).alias("text"),
+            interpolated(n, p["at"], s, e).alias("start_ms"),
+            interpolated(n, p["at"] + F.length(p["part"]), s, e).alias("end_ms"),
+        ),
     )
+    return staged(cut, parts=parts).drop("__n", "__cuts")
+
+
+def punctuation_parts(segments: DataFrame) -> DataFrame:
+    """Parts of each text with their times, one row per part."""
+    rest = [c for c in segments.columns if c not in ("text", "start_ms", "end_ms")]
+    return _with_parts(segments).select(*rest, F.inline("parts"))
 
 
 def _width(text: str) -> int:
@@ -138,29 +148,34 @@ def chunk_captions(segments: DataFrame) -> DataFrame:
     narrow = segments.filter(~wide).select(
         "video", "seg_idx", zero.alias("part_idx"), zero.alias("cut_idx"), "start_ms", "end_ms", "text"
     )
-    parts = punctuation_parts(segments.filter(wide))
-    fitting = parts.filter(~T.too_wide(F.col("text"))).withColumn("cut_idx", zero).select(*out)
-    slack = int(K.WORD_SLACK_S * 1000)
-    left = parts.filter(T.too_wide(F.col("text"))).withColumn(
-        "words",
-        F.filter(
-            "words",
-            lambda w: (w["start"] * 1000 >= F.col("start_ms") - slack) & (w["end"] * 1000 <= F.col("end_ms") + slack),
-        ),
+    parts = _with_parts(segments.filter(wide)).select("video", "seg_idx", "words", "parts")
+    # a segment's words travel once, with all its wide parts
+    split = parts.select(
+        "video", "seg_idx", "words",
+        F.filter("parts", lambda p: ~T.too_wide(p["text"])).alias("ok"),
+        F.filter("parts", lambda p: T.too_wide(p["text"])).alias("wide"),
     )
+    fitting = split.select("video", "seg_idx", F.inline("ok")).withColumn("cut_idx", zero).select(*out)
+    left = split.filter(F.size("wide") > 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (r.video, r.seg_idx, r.part_idx, i, s, e, t)
-                for r in batch.itertuples(index=False)
-                for i, (t, s, e) in enumerate(_cut(r.text, int(r.start_ms), int(r.end_ms), list(r.words)))
-            ]
+            rows = []
+            for r in batch.itertuples(index=False):
+                words = list(r.words)
+                for p in r.wide:
+                    start, end = int(p["start_ms"]), int(p["end_ms"])
+                    lo, hi = start / 1000 - K.WORD_SLACK_S, end / 1000 + K.WORD_SLACK_S
+                    inside = [w for w in words if w["start"] >= lo and w["end"] <= hi]
+                    rows += [
+                        (r.video, r.seg_idx, p["part_idx"], i, s, e, t)
+                        for i, (t, s, e) in enumerate(_cut(p["text"], start, end, inside))
+                    ]
             yield pd.DataFrame(rows, columns=out)
 
     types = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
     schema = f"video {types['video']}, seg_idx {types['seg_idx']}, part_idx int, cut_idx int, start_ms bigint, end_ms bigint, text string"
-    cut = left.select("video", "seg_idx", "part_idx", "start_ms", "end_ms", "text", "words").mapInPandas(run, schema)
+    cut = left.select("video", "seg_idx", "words", "wide").mapInPandas(run, schema)
     return narrow.unionByName(fitting).unionByName(cut)
 
 

@@ -59,13 +59,11 @@ def feed_pages_flat(spark, folder):
     """Two pages in one list: the second starts behind the last row of the first."""
     rows = _feed(spark, folder).select("id", "created_ms")
     first = Q.keyset_page(rows, FEED, LIMIT, CURSOR)
-    cur = Q.next_cursor(first, FEED, LIMIT).select(F.col("created_ms").alias("c"), F.col("id").alias("i"))
-    # the cursor is one row, so this is a filter with a broadcast constant
-    second = Q.keyset_page(
-        rows.join(F.broadcast(cur), (F.col("created_ms") < F.col("c")) | ((F.col("created_ms") == F.col("c")) & (F.col("id") < F.col("i")))).drop("c", "i"),
-        FEED, LIMIT,
-    )
-    return first.unionByName(second)
+    cur = Q.next_cursor(first, FEED, LIMIT)
+    # the cursor is one row: scalar subqueries, no join
+    at, last = cur.select("created_ms").scalar(), cur.select("id").scalar()
+    behind = rows.filter((F.col("created_ms") < at) | ((F.col("created_ms") == at) & (F.col("id") < last)))
+    return first.unionByName(Q.keyset_page(behind, FEED, LIMIT))
 
 
 @job("unseen_feed", S.with_views("videos", body=f"""
