@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexicue.operators.scans import Look, chunk_of, scan
 from lexicue.plans import standins as S
-from lexicue.plans.registry import job
+from lexicue.plans.registry import JOBS, job
 from lexicue.session import pin_utc, shared_dir
 from lexicue.sources.tables import table
 from lexicue.streaming import streams as St
@@ -21,8 +21,9 @@ def _events(spark, folder):
 def _event_stream(spark, folder):
     pin_utc(spark)
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    # a pattern matches a single file as well as a folder of files; a stream takes no plain file path
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+        spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
 
@@ -103,6 +104,33 @@ def stream_latest_views(spark, folder):
     e = _event_stream(spark, folder).select(
         "user_id", F.get_json_object("props", "$.k").cast("int").alias("video_id"), "event_id", F.unix_millis("ts").alias("ts_ms"))
     sink = St.upsert_sink(f"{path}/table", ["user_id", "video_id"], F.struct("ts_ms", "event_id"), buckets=8)
-    q = e.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    return _drained(spark, e, sink, path, "append")
+
+
+def _drained(spark, stream, sink, path, mode):
+    q = (
+        stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True).start()
+    )
     q.awaitTermination()
     return spark.read.parquet(f"{path}/table").drop("bucket")
+
+
+@job("stream_view_counts", JOBS["view_counts_60s"].sql)
+def stream_view_counts(spark, folder):
+    """The counter flush as a stream: each update of a window replaces its row in the keyed table."""
+    path = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    v = _event_stream(spark, folder).filter("event_type = 'view'")
+    counts = St.view_counts(v, "ts", "user_id").select("user_id", F.unix_millis("window_start").alias("window_ms"), "views")
+    sink = St.upsert_sink(f"{path}/table", ["user_id", "window_ms"], F.col("views"), buckets=8)
+    return _drained(spark, counts, sink, path, "update")
+
+
+@job("stream_daily_counters", JOBS["daily_counters"].sql)
+def stream_daily_counters(spark, folder):
+    path = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
+    kind = lambda k: F.col("event_type") == k
+    d = St.daily_counters(_event_stream(spark, folder), "ts", "user_id", {"videos": kind("view"), "cards": kind("click")})
+    d = d.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    sink = St.upsert_sink(f"{path}/table", ["user_id", "day"], F.col("videos") + F.col("cards"), buckets=8)
+    return _drained(spark, d, sink, path, "update")

@@ -25,7 +25,7 @@ def connect(folder: str):
 
 def norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}"
+        return "nan" if math.isnan(v) else repr(v)
     if isinstance(v, bool):
         return str(v)
     if v is None:

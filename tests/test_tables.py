@@ -113,3 +113,39 @@ def test_surrogate_ids_repeat(spark):
     df = spark.createDataFrame([("a", "en"), ("a", "en"), ("b", "en")], "w string, l string").select(Tb.surrogate_id("w", "l").alias("i"))
     a, b, c = [r.i for r in df.collect()]
     assert a == b != c and a > 0
+
+
+def test_append_fills_defaults_and_keeps_old_rows(spark, tmp_path):
+    path = str(tmp_path / "videos")
+    rows = spark.createDataFrame([(1, "en")], "id int, language string")
+    Wr.append(rows, path, ["language"], status=F.lit("processing"))
+    Wr.append(rows.withColumn("id", F.lit(2)).withColumn("status", F.lit("ready")), path, ["language"], status=F.lit("processing"))
+    got = spark.read.parquet(path).select("id", "status", "language").collect()
+    assert sorted(map(tuple, got)) == [(1, "processing", "en"), (2, "ready", "en")]
+
+
+def test_captions_and_documents_are_written_per_video(spark, tmp_path):
+    segs = spark.createDataFrame([("a", 1, 61_500, 62_000, "two"), ("a", 0, 0, 900, "one")], "video string, seg_idx int, start_ms int, end_ms int, text string")
+    caps = Wr.timed_captions(segs)
+    assert caps.first().captions == "WEBVTT\n\n00:00:00.000 --> 00:00:00.900\none\n\n00:01:01.500 --> 00:01:02.000\ntwo\n"
+    Wr.write_captions(caps, str(tmp_path / "c"))
+    assert spark.read.text(str(tmp_path / "c")).filter("value = 'two'").count() == 1
+    docs = Wr.documents(segs.select("video", F.lit("stt").alias("kind"), "seg_idx", "start_ms", "end_ms", F.array("text").alias("detections")),
+                        spark.createDataFrame([("a", 99)], "video string, duration_ms int"))
+    Wr.write_documents(docs, str(tmp_path / "d"))
+    back = spark.read.json(str(tmp_path / "d")).first()
+    assert back.kind == "stt" and [s.detections[0] for s in back.segments] == ["one", "two"]
+
+
+def test_attach_words(spark):
+    segs = spark.createDataFrame([("v", 0, 1000, 2000), ("v", 1, 5000, 6000)], "video string, seg_idx int, start_ms int, end_ms int")
+    words = spark.createDataFrame([("v", "b", 1.5, 2.04), ("v", "a", 0.96, 1.2), ("v", "late", 1.9, 2.2)], "video string, word string, start double, end double")
+    got = {r.seg_idx: [w.word for w in r.words] for r in Cp.attach_words(segs, words, 1.0).collect()}
+    assert got == {0: ["a", "b"], 1: []}
+
+
+def test_surviving_copies_of_videos(spark, tmp_path):
+    for n in ("video_1.mp4", "video_1_clean.mp4", "video_2_noaudio.mp4", "video_3.mp4", "notes.txt"):
+        (tmp_path / n).write_bytes(b"x" * 1048576)
+    got = Sub.catalog(spark, str(tmp_path)).orderBy("file_name").collect()
+    assert [tuple(r) for r in got] == [("video_1.mp4", 1.0), ("video_3.mp4", 1.0)]
