@@ -12,6 +12,7 @@ from lexicue.operators import segments as Sg
 from lexicue.operators.scans import chunk_of
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
+from lexicue.plans.sequence import NEAR
 from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
@@ -56,7 +57,10 @@ def merge_provenance(spark, folder):
     return out.groupBy("video").agg(F.count_if(F.col("source") == "ocr+stt").alias("ocr_matched"), F.count_if(F.col("source") == "stt_only").alias("stt_only"))
 
 
-@job("merged_transcript")
+@job("merged_transcript", views("ocr_dets", "speech", body=f""", {PERSISTENT}, {MATCH},
+s AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start_ms, stt_idx) AS rn, list_distinct(string_split(trim(text), '')) AS cs FROM matched),
+{NEAR}, laid AS (SELECT k.*, m.source, least(CAST(612 // greatest(length(k.text), 1) AS INTEGER), 43) AS cw, length(k.text) AS n FROM kept k JOIN matched m USING (video, stt_idx))
+SELECT video, stt_idx, start_ms, end_ms, source, text, CAST(floor((720 - cw * n) / 2) AS INTEGER) AS x, 1049 AS y, CAST(cw * n AS INTEGER) AS width, 64 AS height FROM laid""").replace("WITH ", "WITH RECURSIVE ", 1))
 def merged_transcript(spark, folder):
     """The whole merge: best match, near-duplicate removal, caption layout."""
     out = Sg.merged_transcript(S.speech(spark, folder), S.ocr_dets(spark, folder), F.lit(720), F.lit(1280), chunk_of(F.col("start_ms"), S.HOUR))

@@ -12,6 +12,15 @@ from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 
+#: Near-duplicate removal over ``s`` (rows numbered ``rn`` with character sets ``cs``), row by row.
+NEAR = """walk AS (SELECT video, rn, stt_idx, start_ms, end_ms, text, cs FROM s WHERE rn = 1
+ UNION ALL SELECT s.video, s.rn, CASE WHEN j.same THEN w.stt_idx ELSE s.stt_idx END, CASE WHEN j.same THEN w.start_ms ELSE s.start_ms END,
+  CASE WHEN j.same THEN greatest(w.end_ms, s.end_ms) ELSE s.end_ms END, CASE WHEN j.same THEN w.text ELSE s.text END, CASE WHEN j.same THEN w.cs ELSE s.cs END
+ FROM walk w JOIN s ON s.video = w.video AND s.rn = w.rn + 1,
+ LATERAL (SELECT trim(s.text) <> '' AND trim(w.text) <> '' AND len(list_intersect(s.cs, w.cs)) / len(list_distinct(list_concat(s.cs, w.cs))) >= 0.8 AS same) j),
+kept AS (SELECT video, stt_idx, any_value(start_ms) AS start_ms, max(end_ms) AS end_ms, any_value(text) AS text FROM walk GROUP BY video, stt_idx)"""
+
+
 def day_chunk(col: str = "ts_ms"):
     return chunk_of(F.col(col), S.DAY)
 
@@ -105,14 +114,42 @@ def _turn_frames(spark, folder):
     )
 
 
-@job("fuzzy_collapse")
+TURN_FRAMES = """tf AS (SELECT conv_id AS video, turn * 40 + i AS frame_id, (turn * 40 + i) * 100 AS ts_ms,
+ CASE WHEN turn % 5 = 4 OR i % 9 = 8 THEN '' WHEN i % 2 = 1 THEN replace(text, 'e', '3') ELSE text END AS text
+ FROM (SELECT conv_id, turn, text, unnest(range(greatest(1, length(text) // 60))) AS i FROM conversations))"""
+SIMILAR = """({a} = {b} OR contains({b}, {a}) OR contains({a}, {b}) OR
+ len(list_filter(string_split({a}, ''), lambda c: contains({b}, c))) / greatest(length({a}), length({b})) >= 0.8)"""
+#: The fold, frame by frame, as a recursive query.
+FUZZY = TURN_FRAMES + f""", f AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY ts_ms) AS rn FROM tf),
+walk AS (SELECT video, 0::BIGINT AS rn, 0 AS seg, false AS live, NULL::BIGINT AS start_ms, NULL::BIGINT AS end_ms, ''::VARCHAR AS match_text, NULL::BIGINT AS last_frame, NULL::BIGINT AS gap FROM (SELECT DISTINCT video FROM f)
+ UNION ALL SELECT f.video, f.rn,
+  CASE WHEN f.text <> '' AND NOT (w.live AND {SIMILAR.format(a='f.text', b='w.match_text')}) THEN seg + 1 ELSE seg END,
+  CASE WHEN f.text <> '' THEN true WHEN w.live AND gap IS NOT NULL AND f.ts_ms - gap + 100 > 500 THEN false ELSE w.live END,
+  CASE WHEN f.text <> '' AND NOT (w.live AND {SIMILAR.format(a='f.text', b='w.match_text')}) THEN f.ts_ms ELSE w.start_ms END,
+  CASE WHEN f.text <> '' THEN f.ts_ms + 100 ELSE w.end_ms END,
+  CASE WHEN f.text <> '' AND NOT (w.live AND {SIMILAR.format(a='f.text', b='w.match_text')}) THEN f.text ELSE w.match_text END,
+  CASE WHEN f.text <> '' THEN f.frame_id ELSE w.last_frame END,
+  CASE WHEN f.text <> '' THEN NULL WHEN w.live AND gap IS NULL THEN f.ts_ms WHEN w.live AND f.ts_ms - gap + 100 > 500 THEN NULL ELSE gap END
+ FROM walk w JOIN f ON f.video = w.video AND f.rn = w.rn + 1),
+fuzzy AS (SELECT video, any_value(start_ms) AS start_ms, max(end_ms) AS end_ms, any_value(match_text) AS match_text, max(last_frame) AS last_frame FROM walk WHERE seg > 0 GROUP BY video, seg)"""
+
+
+@job("fuzzy_collapse", f"WITH RECURSIVE {FUZZY} SELECT * FROM fuzzy")
 def fuzzy_collapse(spark, folder):
     return C.fuzzy_collapse(
         _turn_frames(spark, folder), ["video"], "ts_ms", "text", "frame_id", 100, 500, 100, chunk_of(F.col("ts_ms"), S.HOUR)
     )
 
 
-@job("flicker_merge")
+@job("flicker_merge", f"""WITH RECURSIVE {FUZZY},
+lowed AS (SELECT *, CASE WHEN length(match_text) % 3 <> 0 THEN match_text ELSE '' END AS low_text FROM fuzzy),
+c AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start_ms) AS rn FROM lowed WHERE low_text <> ''),
+m AS (SELECT video, rn, rn AS grp, end_ms, low_text, last_frame FROM c WHERE rn = 1
+ UNION ALL SELECT c.video, c.rn, CASE WHEN c.start_ms - m.end_ms <= 1500 AND {SIMILAR.format(a='c.low_text', b='m.low_text')} THEN m.grp ELSE c.rn END, c.end_ms, c.low_text, c.last_frame
+ FROM m JOIN c ON c.video = m.video AND c.rn = m.rn + 1),
+g AS (SELECT video, grp, arg_max(end_ms, rn) AS end_ms, arg_max(low_text, rn) AS low_text, arg_max(last_frame, rn) AS last_frame FROM m GROUP BY ALL)
+SELECT g.video, c.start_ms, g.end_ms, c.match_text, g.last_frame, g.low_text FROM g JOIN c ON c.video = g.video AND c.rn = g.grp
+UNION ALL SELECT video, start_ms, end_ms, match_text, last_frame, low_text FROM lowed WHERE low_text = ''""")
 def flicker_merge(spark, folder):
     segs = C.fuzzy_collapse(
         _turn_frames(spark, folder), ["video"], "ts_ms", "text", "frame_id", 100, 500, 100, chunk_of(F.col("ts_ms"), S.HOUR)
@@ -121,7 +158,9 @@ def flicker_merge(spark, folder):
     return C.flicker_merge(low, ["video"], chunk_of(F.col("start_ms"), S.HOUR))
 
 
-@job("near_duplicates")
+@job("near_duplicates", "WITH RECURSIVE speech AS (" + S.SQL["speech"] + """), s AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start_ms, stt_idx) AS rn,
+   list_distinct(string_split(trim(text), '')) AS cs FROM speech),
+""" + NEAR + " SELECT video, stt_idx, start_ms, end_ms, text FROM kept")
 def near_duplicates(spark, folder):
     return C.drop_near_duplicates(
         S.speech(spark, folder), ["video"], ["start_ms", "stt_idx"], chunk=chunk_of(F.col("start_ms"), S.HOUR)
