@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexicue.llm import secrets
-from lexicue.llm.common import read
+from lexicue.llm import langid, quality, secrets
+from lexicue.llm.common import id_crc, read
 
 #: name -> (function of the session and the folder, SQL that gives the same rows or None)
 JOBS: dict = {}
@@ -22,3 +22,17 @@ def job(name: str, sql: str | None = None):
 @job("op5_secret_spans")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@job("op6_hyperdimensional_language")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text", "lang")
+    names, prototypes = langid.train(docs.where(id_crc("doc_id") % 5 != 0))
+    return langid.predict(docs, names, prototypes, held=id_crc("doc_id") % 5 == 0)
+
+
+@job("op10_likelihood_ratio_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    model = quality.fit(docs, read(spark, folder, "labels", "doc_id", "quality", "toxic"))
+    return quality.judge(docs, model).drop("text_hash")
