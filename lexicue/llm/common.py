@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lexicue.operators.staging import materialized  # noqa: F401  re-exported
@@ -27,29 +29,36 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def ranked(df: DataFrame, keys: list[str], draw: Column, name: str, chunks: int = 64) -> DataFrame:
+def chunks_for(rows: int, most: int = 200_000) -> int:
+    """Parts to number a key of ``rows`` rows in, so that a part has about ``most`` rows."""
+    return max(16, -(-rows // most))
+
+
+def ranked(df: DataFrame, keys: list[str], draw: Column, name: str, chunks: int) -> DataFrame:
     """Add ``name``: a gapless 0-based rank of each row within its key, in the order of ``draw``.
 
-    ``draw`` is a long that spreads evenly over the 64-bit range and differs between rows (a hash of a
-    unique id). Its leading bits cut each key into ``chunks`` parts that are numbered alone; the parts'
-    counts, one row per key and part, give the offsets. No key meets in one task, however hot it is.
-    ``df`` must give the same rows when read twice.
+    ``draw`` is a long that spreads evenly over the 64-bit range (a hash). Its leading bits cut each key into
+    ``chunks`` parts that are numbered alone; the parts' counts, keys x chunks rows, give the offsets and are
+    broadcast. No key meets in one task, however hot it is. Rows of equal draw keep any order among
+    themselves. ``draw`` must depend on the row alone, as ``df`` is read twice.
     """
     cut = df.withColumn("_draw", draw).withColumn(
         "_part", F.floor((F.shiftrightunsigned(F.col("_draw"), 11) / F.lit(float(1 << 53))) * chunks).cast("int")
     )
     group = [*keys, "_part"]
-    counts = cut.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    offsets = counts.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(before.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_n")
-    right = offsets.select(*[F.col(k).alias(f"_r_{k}") for k in group], "_before")
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = cut.groupBy(*group).agg(F.count("*").alias("_n")).select(
+        *[F.col(k).alias(f"_r_{k}") for k in group], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
     numbered = cut.withColumn("_row", F.row_number().over(W.partitionBy(*group).orderBy("_draw")))
-    on = None
+    same = F.lit(True)
     for k in group:
-        same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        on = same if on is None else on & same
-    return numbered.join(right, on, "left").withColumn(name, F.col("_before") + F.col("_row") - 1).drop(
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return numbered.join(F.broadcast(offsets), same, "left").withColumn(name, F.col("_before") + F.col("_row") - 1).drop(
         "_draw", "_part", "_row", "_before", *[f"_r_{k}" for k in group]
     )
+
+
+def rows_of(spark: SparkSession, values: list, schema: str) -> DataFrame:
+    """A small table of known size from the driver, as one constant."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(values)), f"array<struct<{schema}>>")))

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexicue.llm import langid, quality, secrets
+from lexicue.llm import langid, mixing, packing, quality, secrets, shards, warc
 from lexicue.llm.common import id_crc, read
 
 #: name -> (function of the session and the folder, SQL that gives the same rows or None)
 JOBS: dict = {}
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the installed public tokenizers; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def job(name: str, sql: str | None = None):
     def add(fn):
         JOBS[name] = (fn, sql)
@@ -36,3 +43,25 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text")
     model = quality.fit(docs, read(spark, folder, "labels", "doc_id", "quality", "toxic"))
     return quality.judge(docs, model).drop("text_hash")
+
+
+@job("op3_hypergeometric_shards")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.deal(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@job("op1_pfair_mixture")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mixing.schedule(read(spark, folder, "documents", "doc_id", "source"))
+    names = ("block", "slot", "release", "deadline", "position")
+    return mix.select("doc_id", "source", *[F.col(f"_{n}").cast("long").alias(n) for n in names])
+
+
+@job("op7_histogram_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents", "doc_id", "text"), tokenizer_path())
+
+
+@job("op4_indexed_warc")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(read(spark, folder, "pages", "page_id", "url", "html")).drop("url")
