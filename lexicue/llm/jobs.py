@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexicue.llm import langid, mixing, packing, quality, secrets, shards, warc
+from lexicue.llm import fingerprints, langid, mixing, packing, quality, secrets, shards, warc
 from lexicue.llm.common import id_crc, read
 
 #: name -> (function of the session and the folder, SQL that gives the same rows or None)
@@ -65,3 +65,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @job("op4_indexed_warc")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive(read(spark, folder, "pages", "page_id", "url", "html")).drop("url")
+
+
+@job("op2_imatch_fingerprints")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, folder, "documents", "doc_id", "text"))
