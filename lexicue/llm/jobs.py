@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexicue.llm import fingerprints, langid, mixing, packing, quality, scoring, secrets, shards, warc
+from lexicue.llm import fingerprints, jaccard, langid, mixing, packing, quality, scoring, secrets, shards, warc
 from lexicue.llm.common import id_crc, read
 
 #: name -> (function of the session and the folder, SQL that gives the same rows or None)
@@ -77,3 +77,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text")
     held = id_crc("doc_id") % 7 == 2
     return scoring.train_and_score(docs, ~held, held)
+
+
+@job("op9_set_relation_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.duplicates(read(spark, folder, "documents", "doc_id", "text")).drop("_key")
