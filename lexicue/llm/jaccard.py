@@ -312,9 +312,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     found = duplicates(docs, key, text, width, percent)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
     keep = found.where("n_shingles > 0").groupBy("component_id").agg(F.min_by("_key", first).alias("_keep")).select("_keep")
-    same = F.xxhash64(docs[key], docs[text])
-    mine = docs.join(keep, same == keep["_keep"], "left_semi")
-    # of rows equal in id and text one stays: chosen among them by their number within the hash
-    numbered = mine.withColumn("_copy", F.row_number().over(W.partitionBy(F.xxhash64(key, text)).orderBy(F.lit(1)))).where("_copy = 1").drop("_copy")
-    blank = docs.where(F.coalesce(docs[text], F.lit("")).rlike(r"^[\x20\x09-\x0D]*$"))
-    return numbered.unionByName(blank)
+    rows = docs.select(
+        F.struct("*").alias("_doc"), F.xxhash64(F.col(key), F.col(text)).alias("_key"),
+        F.coalesce(F.col(text), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$").alias("_blank"),
+    )
+    mine = rows.where(~F.col("_blank")).join(keep, F.col("_key") == F.col("_keep"), "left_semi")
+    one = mine.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(1)))).where("_copy = 1")
+    return one.select("_doc.*").union(rows.where("_blank").select("_doc.*"))

@@ -54,7 +54,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.schedule(read(spark, folder, "documents", "doc_id", "source"))
     names = ("block", "slot", "release", "deadline", "position")
-    return mix.select("doc_id", "source", *[F.col(f"_{n}").cast("long").alias(n) for n in names])
+    return mix.select("doc.doc_id", "doc.source", *[F.col(n).cast("long").alias(n) for n in names])
 
 
 @job("op7_histogram_packing")

@@ -96,15 +96,15 @@ def schedule(
     docs: DataFrame, weights: dict | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK,
     period: int = PERIOD, temperature: float = TEMPERATURE, seed: int = 11,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_block`` (within the source), ``_slot``, ``_release``, ``_deadline``
-    and ``_position`` (the order of the mix).
+    """All rows of ``docs``, as a struct ``doc`` of their columns, with ``block`` (within the source), ``slot``,
+    ``release``, ``deadline`` and ``position`` (the order of the mix).
 
     A source's documents are dealt into blocks in the order of a hash of their ids; its last block may be smaller.
     No row is left out: when a source ends, the others share its part. Null is a source like others; sources
     without a given weight get the smallest given one. Rows repeated under one id are rows of their own.
     Weights must be positive. The driver gets one count per source, and plans sources x period numbers.
     """
-    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.count("*").alias("n")).collect()}
     if weights is None:
         weights = {s: n**temperature for s, n in counts.items()}
     else:
@@ -116,21 +116,22 @@ def schedule(
          "_offsets": p.offsets[s]}
         for p in phases for s in p.quota if p.used[s]
     ], "_s string, _first bigint, _end bigint, _start bigint, _period bigint, _quota bigint, _offsets array<int>")
-    keyed = ranked(docs, [source], F.xxhash64(F.col(key), F.lit(seed)), "_rank", chunks_for(max(counts.values(), default=0)))
-    b, i = F.floor(F.col("_rank") / block), F.col("_block") - F.col("_first")
-    own = F.col("_s").eqNullSafe(F.col(source).cast("string")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"))
+    keyed = ranked(rows, ["_source"], F.xxhash64(F.col("_key"), F.lit(seed)), "_rank", chunks_for(max(counts.values(), default=0)))
+    b, i = F.floor(F.col("_rank") / block), F.col("block") - F.col("_first")
+    own = F.col("_s").eqNullSafe(F.col("_source")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end"))
     cycle = F.floor(i / F.col("_quota"))
-    return (
-        keyed.withColumn("_block", b)
-        .join(F.broadcast(table), own)
-        .withColumn("_slot", F.col("_start") + cycle * F.col("_period") + F.get("_offsets", (i % F.col("_quota")).cast("int")))
-        .withColumn("_release", F.col("_start") + F.floor(i * F.col("_period") / F.col("_quota")))
-        .withColumn("_deadline", F.col("_start") + F.ceil((i + 1) * F.col("_period") / F.col("_quota")))
-        .withColumn("_position", F.col("_slot") * block + F.col("_rank") % block)
-        .drop("_s", "_first", "_end", "_start", "_period", "_quota", "_offsets", "_rank")
+    return keyed.withColumn("block", b).join(F.broadcast(table), own).select(
+        "doc", "block", "_rank", "_first", "_period", "_quota", "_start",
+        (F.col("_start") + cycle * F.col("_period") + F.get("_offsets", (i % F.col("_quota")).cast("int"))).alias("slot"),
+    ).select(
+        "doc", "block", "slot",
+        (F.col("_start") + F.floor(i * F.col("_period") / F.col("_quota"))).alias("release"),
+        (F.col("_start") + F.ceil((i + 1) * F.col("_period") / F.col("_quota"))).alias("deadline"),
+        (F.col("slot") * block + F.col("_rank") % block).alias("position"),
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` laid out in the order of the mix: files and rows within them follow it."""
-    return schedule(docs, **options).repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    return schedule(docs, **options).repartitionByRange("position").sortWithinPartitions("position").select("doc.*")
