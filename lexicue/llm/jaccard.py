@@ -25,7 +25,7 @@ CELLS = 1 << 21
 FILTER_BITS = 1 << 24
 #: Members of a list that its other sets are compared with in a round, and rounds before the last.
 LEADERS, ROUNDS = 8, 4
-#: Distinct words a worker keeps hashes of.
+#: Distinct words a worker keeps hashes of: the first it meets, which has the common ones.
 WORDS = 400_000
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
@@ -34,9 +34,9 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < WORDS and len(word) < 64:
+            self[word] = h
         return h
 
 
