@@ -131,23 +131,25 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     body = F.coalesce(F.col(text), F.lit(""))
     known = lexicon(docs, text)
     small = materialized(_before(docs, key, body))
-    read = docs.select(F.col(key).alias("_id"), body.alias("_text"), F.xxhash64(body).alias("_h"), F.xxhash64(F.col(key)).alias("_k"))
-    dealt = fingerprinted(read, "_text", "_fp", known).repartition("_k")
-    numbered = dealt.withColumn("_copy", F.row_number().over(W.partitionBy("_k", "_id", "_h").orderBy(F.lit(1))))
-    left = small.select(F.xxhash64("_id").alias("_sk"), F.col("_id").alias("_sid"), F.col("_h").alias("_sh"), "_m", "_prev")
-    placed = numbered.join(
-        left, (F.col("_k") == F.col("_sk")) & F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_h") == F.col("_sh"))
-    ).drop("_sk", "_sid", "_sh")
+    read = docs.select(F.col(key).alias("_id"), body.alias("_text"), F.xxhash64(body).alias("_h"))
+    # one key for id and text: all that follows is dealt by it, so texts stay where their first exchange put them
+    keyed = fingerprinted(read, "_text", "_fp", known).select(F.xxhash64("_id", "_h").alias("_k"), "_h", "_text", "_fp")
+    numbered = keyed.repartition("_k").withColumn("_copy", F.row_number().over(W.partitionBy("_k", "_h").orderBy("_h")))
+
+    def same(k: str, h: str) -> Column:
+        # the bounds on the hash settle keys that collide; as an equality they would be a second key to deal by
+        return (F.col("_k") == F.col(k)) & (F.col("_h") >= F.col(h)) & (F.col("_h") <= F.col(h))
+
+    left = small.select(F.xxhash64("_id", "_h").alias("_sk"), F.col("_h").alias("_sh"), "_id", "_m", "_prev")
+    placed = numbered.join(left, same("_sk", "_sh")).drop("_sk", "_sh")
     starts = placed.where("_copy = 1").select(
-        F.xxhash64("_prev.id").alias("_pk"), F.col("_prev.id").alias("_pid"), F.col("_prev.h").alias("_ph"),
+        F.xxhash64("_prev.id", "_prev.h").alias("_pk"), F.col("_prev.h").alias("_ph"),
         F.col("_text").substr(F.lit(1), F.floor(F.col("_prev.n") / 4).cast("int")).alias("_start"), F.col("_fp").alias("_next_fp"),
     )
     n = F.char_length("_text")
     last = F.col("_copy") == F.col("_m")
     own_start = F.col("_text").substr(F.lit(1), F.floor(n / 4).cast("int"))
-    joined = placed.join(
-        starts, (F.col("_k") == F.col("_pk")) & F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_h") == F.col("_ph"))
-    ).select(
+    joined = placed.join(starts, same("_pk", "_ph")).select(
         "_id", "_fp", n.cast("long").alias("_n"), F.when(last, F.col("_next_fp")).otherwise(F.col("_fp")).alias("_next_fp"),
         F.concat(
             F.col("_text").substr(F.lit(1), (n - F.floor(n / 4)).cast("int")), F.when(last, F.col("_start")).otherwise(own_start)
