@@ -21,7 +21,7 @@ from lexicue.llm import gru
 from lexicue.llm.common import materialized
 
 #: Words every worker knows by heart, with their counts; a bound that does not grow. Rarer ones are joined.
-KNOWN = 1 << 18
+KNOWN = 1 << 17
 #: Words with a symbol of their own (with the end of text), and slots for the others.
 SYMBOLS, SLOTS = 4096, 256
 #: One training text in so many trains the network; rounds of averaging and the replicas of each.
@@ -101,18 +101,28 @@ class _Numbers(dict):
 def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, int, int, np.ndarray]:
     """The known words, the number of tokens and of distinct ones, and the symbols' counts.
 
-    The driver gets ``known`` words and one row per slot. The end of text always comes first.
+    Known are the words of the highest counts, down to the step of a logarithmic scale at which they would be more
+    than ``known``. The driver gets these, the steps and one row per slot. The end of text always comes first.
     """
-    top = counts.orderBy((F.col("word") == END).desc(), F.col("n").desc(), "word").limit(known).collect()
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, n = None, 1
+    for r in counts.where(F.col("word") != END).groupBy(step.alias("s")).agg(F.count("*").alias("k")).orderBy(F.desc("s")).collect():
+        n += r["k"]
+        if n > known:
+            break
+        least = r["s"]
+    chosen = (F.col("word") == END) | (F.lit(False) if least is None else step >= least)
+    table = counts.where(chosen).select("word", "n").toArrow()
+    top = sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist()), key=lambda x: (x[0] != END, -x[1], x[0]))
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     slots = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     mass = np.zeros(SYMBOLS + SLOTS)
     types = np.zeros(SYMBOLS + SLOTS)
     for r in slots:
         mass[r["slot"]], types[r["slot"]] = r["n"], r["v"]
-    words, n = [r["word"].encode() for r in top], [r["n"] for r in top]
-    if not words:
-        words, n = [b""], [0]
+    words, n = [w.encode() for w, _ in top], [k for _, k in top]
+    if not words or words[0]:
+        words, n = [b"", *words], [0, *n]
     for i in range(min(SYMBOLS, len(words))):  # words with a symbol of their own leave their slot
         mass[slot(words[i])] -= n[i]
         types[slot(words[i])] -= n[i] > 0
