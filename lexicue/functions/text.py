@@ -168,10 +168,19 @@ def minutes_seconds(ms: Column) -> Column:
 
 
 def short_count(n: Column) -> Column:
-    """0 for none, one decimal of ten-thousands with ``w``, else grouped digits."""
+    """0 for none, one decimal of ten-thousands with ``w``, else grouped digits.
+
+    The decimal is that of the quotient as a double, exact ties upwards: 12500 gives 1.3w, 14500, whose quotient
+    lies a trace below 1.45, gives 1.4w. Half-way counts are settled by whole-number comparison of the double.
+    """
+    tenths = F.floor(n / 1000).cast("bigint")
+    bits = n / 10000 * F.lit(float(1 << 30))
+    whole = F.floor(bits).cast("bigint")
+    up = 20 * (bits - whole) >= ((2 * tenths + 1) * F.lit(1 << 30) - 20 * whole).cast("double")
+    digits = tenths + F.when((n % 1000 > 500) | ((n % 1000 == 500) & up), 1).otherwise(0)
     return (
         F.when(n.isNull() | (n == 0), F.lit("0"))
-        .when(n >= 10000, F.concat(F.format_number(n / 10000, 1), F.lit("w")))
+        .when(n >= 10000, F.concat(F.floor(digits / 10).cast("string"), F.lit("."), (digits % 10).cast("string"), F.lit("w")))
         .otherwise(F.format_number(n, 0))
     )
 

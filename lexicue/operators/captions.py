@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -83,15 +85,24 @@ def _width(text: str) -> int:
 
 
 def _pause(text: str, words: list) -> int | None:
-    """Character position of the longest pause between words, or None."""
-    widest, place, seen = K.PAUSE_S, None, 0
-    for word, following in zip(words, words[1:]):
-        found = text.find(word["word"], seen)
-        seen = found + len(word["word"]) if found >= 0 else seen
-        silence = following["start"] - word["end"]
-        if silence > widest:
-            widest, place = silence, seen
-    return place
+    """Where the text goes on after its longest silence, if that is longer than a pause; the first wins ties.
+
+    The silences are one array difference. Only for the chosen one are words located: the running end of what
+    was found of the words up to it. A word that the text lacks moves nothing.
+    """
+    if len(words) < 2:
+        return None
+    starts, ends = (np.array([w[k] for w in words], dtype=float) for k in ("start", "end"))
+    silences = starts[1:] - ends[:-1]
+    chosen = int(silences.argmax())
+    if silences[chosen] <= K.PAUSE_S:
+        return None
+
+    def past(at: int, spoken: str) -> int:
+        _, there, rest = text[at:].partition(spoken)
+        return len(text) - len(rest) if there else at
+
+    return reduce(past, (w["word"] for w in words[: chosen + 1]), 0)
 
 
 def _fit(text: str) -> int:

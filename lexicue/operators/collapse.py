@@ -115,7 +115,7 @@ def similar(a: str, b: str) -> bool:
     return sum(ch in letters for ch in a) / max(len(a), len(b)) >= K.FUZZY_RATIO
 
 
-class _FuzzyFold(Fold):
+class FuzzyFold(Fold):
     """Open segment plus the start of the current empty stretch."""
 
     def __init__(self, interval: int, tolerance: int):
@@ -203,7 +203,7 @@ def fuzzy_collapse(
         parts.select(*keys, "part", "run", "first_ms", "last_ms", "last_frame", "match_text"),
         [*keys, "part"],
         ["run"],
-        lambda: _FuzzyFold(interval, tolerance),
+        lambda: FuzzyFold(interval, tolerance),
         schema,
     )
     return folded.filter(F.col("end_ms") - F.col("start_ms") >= min_duration)
@@ -245,16 +245,17 @@ def flicker_merge(
     ``last_frame``; other columns stay with the segment that is kept.
     """
     captioned = F.when(F.col("low_text") != "", F.col("end_ms"))
-    cut = scan(segments, keys, ["start_ms"], [Look("__last_end", captioned, "max", inclusive=False)], chunk)
+    order = ["start_ms", "end_ms", "last_frame"]  # equal starts have one order
+    cut = scan(segments, keys, order, [Look("__last_end", captioned, "max", inclusive=False)], chunk)
     # Ends only grow, so a caption starting later than this after every earlier end cannot be merged.
     fresh = (F.col("low_text") != "") & (
         F.col("__last_end").isNull() | (F.col("start_ms") - F.col("__last_end") > K.FLICKER_MS)
     )
     parts = scan(
         cut.withColumn("__fresh", F.when(fresh, F.lit(1)).otherwise(0).cast("bigint")),
-        keys, ["start_ms"], [Look("part", F.col("__fresh"), "sum")], chunk,
+        keys, order, [Look("part", F.col("__fresh"), "sum")], chunk,
     ).drop("__last_end", "__fresh")
-    return ordered_fold(parts, [*keys, "part"], ["start_ms"], _FlickerFold, segments.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+    return ordered_fold(parts, [*keys, "part"], order, _FlickerFold, segments.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
 
 
 class _NearDuplicateFold(Fold):

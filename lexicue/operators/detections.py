@@ -8,7 +8,7 @@ from lexicue import constants as K
 from lexicue.functions import geometry as G
 from lexicue.functions import text as T
 from lexicue.operators.staging import staged
-from lexicue.sources.dimensions import fixed
+from lexicue.sources.dimensions import fixed, known
 
 
 def settings(spark) -> DataFrame:
@@ -17,9 +17,11 @@ def settings(spark) -> DataFrame:
 
 
 def readable(detections: DataFrame, spark) -> DataFrame:
-    """Keep texts of enough confidence and length for their model; ``model, text, confidence`` needed."""
-    cfg = F.broadcast(settings(spark).select("model", "min_confidence"))  # five rows
-    return detections.join(cfg, "model").filter(
+    """Keep texts of enough confidence and length for their model; ``model, text, confidence`` needed.
+
+    A model without settings stops the job.
+    """
+    return known(detections, settings(spark).select("model", "min_confidence"), "model").filter(
         (F.col("confidence") >= F.col("min_confidence")) & T.long_enough(F.col("text"))
     ).drop("min_confidence")
 

@@ -25,7 +25,7 @@ def covering(
     chunk_width: int | None = None,
     out: str = "segment",
 ) -> DataFrame:
-    """First listed segment that covers each point, or null. Segments are listed by start.
+    """First listed segment that covers each point, or null. Segments must be listed by start: others stop the job.
 
     A segment that ends no later than an earlier-listed one can never be first, so only segments that
     push the running end forward matter. Their ends rise with their starts: the one with the first end
@@ -34,9 +34,12 @@ def covering(
     payload = payload or []
     live = segments.filter(F.col(end) > F.col(start))
     chunk = chunk_of(F.col(start), chunk_width) if chunk_width else None
-    leading = scan(
-        live, keys, [start, index], [Look("__reach", F.col(end), "max", inclusive=False)], chunk
-    ).filter(F.col("__reach").isNull() | (F.col(end) > F.col("__reach")))
+    looks = [Look("__reach", F.col(end), "max", inclusive=False), Look("__listed", F.col(index), "max", inclusive=False)]
+    disorder = F.raise_error(F.lit("segments are not listed by start")).cast("boolean")
+    leading = (
+        scan(live, keys, [start, index], looks, chunk)
+        .filter(F.when(F.col("__listed") > F.col(index), disorder).otherwise(F.col("__reach").isNull() | (F.col(end) > F.col("__reach"))))
+    )
     cols = [index, start, end, *payload]
     found = asof(
         points, leading, keys, at, end, cols, {out: ("forward", True)}, index, chunk_width, unique=True

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexicue import constants as K
 from lexicue.operators.staging import staged
-from lexicue.sources.dimensions import fixed
+from lexicue.sources.dimensions import fixed, known
 
 SETTINGS = [
     "mau", "dau_percent", "upload_percent", "video_sec", "sub_price", "sub_percent", "ad_rpm", "lean",
@@ -42,17 +42,11 @@ def steps(value: Column, levels: list[tuple]) -> Column:
 def with_rates(scenarios: DataFrame) -> DataFrame:
     """Look up all provider rates."""
     spark = scenarios.sparkSession
-    dim = lambda cols, rows: F.broadcast(fixed(spark, cols, rows))
-    return (
-        scenarios.join(dim(["stt", "stt_rate"], list(K.SPEECH_RATES.items())), "stt")
-        .join(dim(["translation", "translation_rate"], list(K.TRANSLATION_RATES.items())), "translation")
-        .join(dim(["model", "in_rate", "out_rate"], [(k, *v) for k, v in K.DEFINITION_RATES.items()]), "model")
-        .join(
-            dim(["transcode", "min_rate", "renditions", "share", "stored_mb", "objects", "managed"],
-                [(k, *v) for k, v in K.TRANSCODE.items()]),
-            "transcode",
-        )
-    )
+    out = known(scenarios, fixed(spark, ["stt", "stt_rate"], list(K.SPEECH_RATES.items())), "stt")
+    out = known(out, fixed(spark, ["translation", "translation_rate"], list(K.TRANSLATION_RATES.items())), "translation")
+    out = known(out, fixed(spark, ["model", "in_rate", "out_rate"], [(k, *v) for k, v in K.DEFINITION_RATES.items()]), "model")
+    columns = ["transcode", "min_rate", "renditions", "share", "stored_mb", "objects", "managed"]
+    return known(out, fixed(spark, columns, [(k, *v) for k, v in K.TRANSCODE.items()]), "transcode")
 
 
 def activity(df: DataFrame) -> DataFrame:

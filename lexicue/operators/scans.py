@@ -68,6 +68,14 @@ def _combine(look: Look, local: Column, carried: Column) -> Column:
     return (F.greatest if look.kind == "max" else F.least)(local, carried)
 
 
+def _for_keys(keys: list[str], chunk: Column) -> Column:
+    """The chunk of a row; a null key stops the job, as what is carried across chunks is joined by equal keys."""
+    out = chunk
+    for k in keys:
+        out = F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in key {k} of a chunked scan")).cast("bigint")).otherwise(out)
+    return out
+
+
 def scan(
     df: DataFrame, keys: list[str], order: list[str], looks: list[Look], chunk: Column | None = None
 ) -> DataFrame:
@@ -87,7 +95,7 @@ def scan(
             out = out.withColumn(look.out, F.coalesce(got, F.lit(0)) if look.kind == "sum" else got)
         return out
 
-    base = _shared(df.withColumn(_CHUNK, chunk), keys)
+    base = _shared(df.withColumn(_CHUNK, _for_keys(keys, chunk)), keys)
     at = F.struct(*[F.col(c) for c in order])
     summaries, carried = [], []
     for i, look in enumerate(looks):
@@ -143,7 +151,7 @@ def islands(
         total = F.sum("__flag").over(w.rowsBetween(Window.unboundedPreceding, 0))
         return flagged.withColumn(out, total).drop("__prev", "__flag")
 
-    base = _shared(df.withColumn(_CHUNK, chunk), keys)
+    base = _shared(df.withColumn(_CHUNK, _for_keys(keys, chunk)), keys)
     w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     local = base.withColumn("__prev", F.lag(cur).over(w)).withColumn(
         "__flag", F.when(F.col("__prev").isNull() | ~changed(F.col("__prev"), cur), 0).otherwise(1)

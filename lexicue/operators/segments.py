@@ -13,14 +13,18 @@ from lexicue.operators.feed import top_per_key
 from lexicue.operators.staging import materialized
 
 
-def persistent_texts(detections: DataFrame, share: float = K.PERSISTENT_SHARE) -> DataFrame:
+def persistent_texts(
+    detections: DataFrame, share: float = K.PERSISTENT_SHARE, segments: DataFrame | None = None
+) -> DataFrame:
     """``(video, text, n_segments)`` of texts shown in at least ``share`` of a video's segments.
 
+    ``segments`` lists all of them (``video, seg_idx``), those without a detection too; without it those with one count.
+
     Two aggregation levels: the pair (text, segment) is reduced before it is counted, so neither a long
     video nor a text shown everywhere gathers raw rows in one task.
     """
     shown = detections.select("video", "seg_idx", T.strip(F.col("text")).alias("text"))
-    total = shown.select("video", "seg_idx").distinct().groupBy("video").agg(F.count("*").alias("total"))
+    total = (shown if segments is None else segments).select("video", "seg_idx").distinct().groupBy("video").agg(F.count("*").alias("total"))
     per_text = shown.filter("text <> ''").distinct().groupBy("video", "text").agg(F.count("*").alias("n_segments"))
     return per_text.join(total, "video").filter(
         F.col("n_segments") / F.greatest("total", F.lit(1)) >= share
@@ -33,6 +37,7 @@ def best_match(
     height: Column,
     tolerance: int = K.MERGE_TOLERANCE_MS,
     bucket: int = 4000,
+    segments: DataFrame | None = None,
 ) -> DataFrame:
     """For each speech row the most similar detection that overlaps it in time.
 
@@ -43,7 +48,7 @@ def best_match(
     said = speech.select(
         "video", "stt_idx", "start_ms", "end_ms", T.strip(F.col("text")).alias("text")
     ).filter("text <> ''")
-    lasting = persistent_texts(detections).select("video", F.col("text").alias("det_text"))
+    lasting = persistent_texts(detections, segments=segments).select("video", F.col("text").alias("det_text"))
     shown = (
         detections.filter(F.col("y") / height >= K.UPPER_AREA)
         .select(

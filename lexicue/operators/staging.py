@@ -1,4 +1,4 @@
-"""Plan helpers: keep an expensive value from being repeated, and small inputs from filling one task."""
+"""Plan helpers: keep an expensive value from being repeated."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexicue.session import shared_dir
 
-#: Inputs up to this size may be shuffled to occupy all cores.
-SPREAD_BYTES = 256 * 1024 * 1024
-
-
 def staged(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns behind a one-row generator.
 
@@ -21,22 +17,6 @@ def staged(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate; plans the query but runs nothing."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before per-row work on long texts.
-
-    A small table sits in one or two row groups, which one task reads. Larger inputs have enough splits
-    and are left alone: no shuffle.
-    """
-    if estimated_bytes(df) > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def materialized(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 

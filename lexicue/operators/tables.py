@@ -23,8 +23,12 @@ def first_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def surrogate_id(*cols: str) -> Column:
-    """Stable positive id from a key: the same row gets the same id when a lost task is run again."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 12), 16, 10).cast("bigint")
+    """Stable 128-bit id from a key, as hex: the same row gets the same id when a lost task is run again.
+
+    Each part goes in with its length, a null as its own mark, so different keys never read alike.
+    """
+    part = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.md5(F.concat(*[part(F.col(c).cast("string")) for c in cols]))
 
 
 def upsert(

@@ -37,7 +37,7 @@ def upsert(spark, folder):
 @job("upsert_vocabulary", """
 WITH w AS (SELECT DISTINCT p_name AS word, p_type AS language FROM part),
 known AS (SELECT word, language, min(p_partkey) AS id FROM w JOIN part ON p_name = word AND p_type = language WHERE p_size <= 2 GROUP BY ALL)
-SELECT w.word, w.language, known.id IS NOT NULL AS was_known, coalesce(known.id, CAST('0x' || substr(md5(w.word || '|' || w.language), 1, 12) AS BIGINT)) AS id
+SELECT w.word, w.language, known.id IS NOT NULL AS was_known, coalesce(CAST(known.id AS VARCHAR), md5(strlen(w.word) || ':' || w.word || strlen(w.language) || ':' || w.language)) AS id
 FROM w LEFT JOIN known USING (word, language)""")
 def upsert_vocabulary(spark, folder):
     """Word table keyed by (word, language); words not known yet get a fresh id."""
@@ -46,7 +46,7 @@ def upsert_vocabulary(spark, folder):
     known = p.filter("p_size <= 2").groupBy("word", "language").agg(F.min("p_partkey").alias("id"))
     words = p.select("word", "language").distinct()
     return words.join(known, ["word", "language"], "left").select(
-        "word", "language", F.col("id").isNotNull().alias("was_known"), F.coalesce("id", Tb.surrogate_id("word", "language")).alias("id"))
+        "word", "language", F.col("id").isNotNull().alias("was_known"), F.coalesce(F.col("id").cast("string"), Tb.surrogate_id("word", "language")).alias("id"))
 
 
 @job("view_upsert", """

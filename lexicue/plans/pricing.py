@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexicue import constants as K
 from lexicue.operators import pricing as Pr
 from lexicue.plans.registry import job
-from lexicue.sources.dimensions import fixed
+from lexicue.sources.dimensions import fixed, known
 from lexicue.sources.tables import table
 
 STT, TTS = list(K.SPEECH_RATES), list(K.SYNTHESIS_RATES)
@@ -161,10 +161,10 @@ def usage_priced(spark, folder):
     l = table(spark, folder, "lineitem", "l_shipdate", "l_suppkey", "l_quantity")
     u = l.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month"), _pick(STT, F.col("l_suppkey")).alias("stt")).agg(
         F.count("*").alias("videos"), F.sum("l_quantity").cast("bigint").alias("seconds"))
-    rates = F.broadcast(fixed(spark, ["stt", "rate"], list(K.SPEECH_RATES.items())))
+    rates = fixed(spark, ["stt", "rate"], list(K.SPEECH_RATES.items()))
     t_in, t_out = K.DEFINITION_RATES["Claude 3.5 Haiku"]
     per_video = (K.TOKENS_IN / 1e6 * t_in + K.TOKENS_OUT / 1e6 * t_out) * 11
-    return u.join(rates, "stt").select("month", "stt", "videos", near(F.col("seconds") / 60, 4).alias("minutes"),
+    return known(u, rates, "stt").select("month", "stt", "videos", near(F.col("seconds") / 60, 4).alias("minutes"),
                                        near(F.col("seconds") / 60 * F.col("rate"), 4).alias("stt_cost"), near(F.col("videos") * per_video, 4).alias("definitions_cost"))
 
 

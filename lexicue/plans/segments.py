@@ -13,7 +13,6 @@ from lexicue.operators.scans import chunk_of
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
 from lexicue.plans.sequence import NEAR
-from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 
@@ -38,9 +37,13 @@ matched AS (SELECT s.video, s.stt_idx, s.start_ms, s.end_ms, coalesce(b.sim, 0.0
   CASE WHEN coalesce(b.sim, 0) >= 0.5 THEN b.text ELSE trim(s.text) END AS text FROM said s LEFT JOIN best b USING (video, stt_idx))"""
 
 
-@job("persistent_text", views("ocr_dets", body=f", {PERSISTENT} SELECT video, text, n_segments FROM persistent"))
+@job("persistent_text", views("ocr_dets", body=""", total AS (SELECT video, count(DISTINCT seg_idx) AS total FROM ocr_dets GROUP BY ALL)
+SELECT video, trim(text) AS text, count(DISTINCT seg_idx) AS n_segments FROM ocr_dets JOIN total USING (video) WHERE seg_idx % 4 <> 3 AND trim(text) <> ''
+GROUP BY video, trim(text) HAVING count(DISTINCT seg_idx) / any_value(total) >= 0.7"""))
 def persistent_text(spark, folder):
-    return Sg.persistent_texts(S.ocr_dets(spark, folder))
+    """Every fourth segment shows nothing, and still counts."""
+    d = S.ocr_dets(spark, folder)
+    return Sg.persistent_texts(d.filter("seg_idx % 4 <> 3"), segments=d.select("video", "seg_idx"))
 
 
 @job("best_match", views("ocr_dets", "speech", body=f""", {PERSISTENT}, {MATCH}
@@ -211,7 +214,7 @@ POLY = """poly AS (SELECT l_orderkey AS id, l_linenumber AS n, l_returnflag || '
 
 def _polys(spark, folder):
     c = F.col
-    l = spread(table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_discount"))
+    l = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_discount")
     x0, y0 = c("l_quantity") * 7.25, c("l_extendedprice") / 100
     x1, y1 = x0 + c("l_partkey") % 300, y0 + c("l_suppkey") % 40
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -267,11 +270,12 @@ def screen_fit(spark, folder):
 
 @job("frame_grid", f"""WITH {CORPUS}
 SELECT video, CAST(t AS BIGINT) AS ts_ms, t // 250 AS frame_idx, least(CAST(floor((t + 130) / 250 + 0.5) AS BIGINT), (duration - 1) // 250) AS shown_idx, round(t / duration, 9) AS position
-FROM (SELECT DISTINCT video, duration FROM corpus), LATERAL (SELECT unnest(range(0, least(duration, 10000), 250)) AS t)""")
-def frame_grid(spark, folder):
-    """Frame times of the first ten seconds, the frame shown 130 ms later and its place on the time line."""
+FROM (SELECT DISTINCT video, duration FROM corpus), LATERAL (SELECT unnest(range(0, duration, 250)) AS t)""")
+def frame_grid(spark, folder, limit_ms=None):
+    """Frame times, the frame shown 130 ms later and its place on the time line; the whole video unless limited."""
     v = _corpus(spark, folder).groupBy("video").agg(F.max("duration").alias("duration"))
-    g = v.withColumn("ts_ms", F.explode(F.sequence(F.lit(0), F.least(F.col("duration"), F.lit(10000)) - 1, F.lit(250))))
+    end = F.col("duration") if limit_ms is None else F.least(F.col("duration"), F.lit(limit_ms))
+    g = v.filter(end > 0).withColumn("ts_ms", F.explode(F.sequence(F.lit(0), end - 1, F.lit(250))))
     last = F.floor((F.col("duration") - 1) / 250)
     return g.select("video", F.col("ts_ms").cast("bigint").alias("ts_ms"), F.floor(F.col("ts_ms") / 250).alias("frame_idx"),
                     F.least(T.half_up((F.col("ts_ms") + 130) / 250), last).alias("shown_idx"), F.round(F.col("ts_ms") / F.col("duration"), 9).alias("position"))

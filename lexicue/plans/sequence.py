@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexicue.operators import collapse as C
-from lexicue.operators.scans import Look, chunk_of, scan
+from lexicue.operators.scans import Look, chunk_of, scan, row_numbers
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
-from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 
@@ -95,18 +94,16 @@ def keyframes(spark, folder):
 
 
 def _turn_frames(spark, folder):
-    """Turns as frames 100 ms apart, one per 60 characters.
+    """Turns as frames 100 ms apart, one per 60 characters, numbered through the conversation.
 
     Odd frames misread a letter, every 9th shows nothing, and so does every 5th turn.
     """
-    t = spread(table(spark, folder, "conversations", "conv_id", "turn", "text"))
+    t = table(spark, folder, "conversations", "conv_id", "turn", "text")
     n = F.greatest(F.lit(1), F.floor(F.length("text") / 60)).cast("int")
-    return t.select(
-        F.col("conv_id").alias("video"), "turn", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")
-    ).select(
-        "video",
-        (F.col("turn") * 40 + F.col("i")).alias("frame_id"),
-        ((F.col("turn") * 40 + F.col("i")) * 100).alias("ts_ms"),
+    frames = t.select(F.col("conv_id").alias("video"), "turn", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    numbered = row_numbers(frames, ["video"], ["turn", "i"], "frame_id", F.floor(F.col("turn") / 20))
+    return numbered.select(
+        "video", "frame_id", (F.col("frame_id") * 100).alias("ts_ms"),
         F.when((F.col("turn") % 5 == 4) | (F.col("i") % 9 == 8), "")
         .when(F.col("i") % 2 == 1, F.translate("text", "e", "3"))
         .otherwise(F.col("text"))
@@ -114,7 +111,7 @@ def _turn_frames(spark, folder):
     )
 
 
-TURN_FRAMES = """tf AS (SELECT conv_id AS video, turn * 40 + i AS frame_id, (turn * 40 + i) * 100 AS ts_ms,
+TURN_FRAMES = """tf AS (SELECT conv_id AS video, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS frame_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) * 100 AS ts_ms,
  CASE WHEN turn % 5 = 4 OR i % 9 = 8 THEN '' WHEN i % 2 = 1 THEN replace(text, 'e', '3') ELSE text END AS text
  FROM (SELECT conv_id, turn, text, unnest(range(greatest(1, length(text) // 60))) AS i FROM conversations))"""
 SIMILAR = """({a} = {b} OR contains({b}, {a}) OR contains({a}, {b}) OR

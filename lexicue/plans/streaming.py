@@ -107,6 +107,10 @@ def stream_latest_views(spark, folder):
     return _drained(spark, e, sink, path, "append")
 
 
+#: A backfill reads files in any order, so no row of it is late.
+BACKFILL = "36500 days"
+
+
 def _drained(spark, stream, sink, path, mode):
     q = (
         stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{path}/state")
@@ -121,7 +125,7 @@ def stream_view_counts(spark, folder):
     """The counter flush as a stream: each update of a window replaces its row in the keyed table."""
     path = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
     v = _event_stream(spark, folder).filter("event_type = 'view'")
-    counts = St.view_counts(v, "ts", "user_id").select("user_id", F.unix_millis("window_start").alias("window_ms"), "views")
+    counts = St.view_counts(v, "ts", "user_id", late=BACKFILL).select("user_id", F.unix_millis("window_start").alias("window_ms"), "views")
     sink = St.upsert_sink(f"{path}/table", ["user_id", "window_ms"], F.col("views"), buckets=8)
     return _drained(spark, counts, sink, path, "update")
 
@@ -130,7 +134,7 @@ def stream_view_counts(spark, folder):
 def stream_daily_counters(spark, folder):
     path = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
     kind = lambda k: F.col("event_type") == k
-    d = St.daily_counters(_event_stream(spark, folder), "ts", "user_id", {"videos": kind("view"), "cards": kind("click")})
+    d = St.daily_counters(_event_stream(spark, folder), "ts", "user_id", {"videos": kind("view"), "cards": kind("click")}, late=BACKFILL)
     d = d.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
     sink = St.upsert_sink(f"{path}/table", ["user_id", "day"], F.col("videos") + F.col("cards"), buckets=8)
     return _drained(spark, d, sink, path, "update")

@@ -11,7 +11,6 @@ from lexicue.operators import captions as Cp
 from lexicue.operators.scans import Look, chunk_of, scan
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
-from lexicue.operators.staging import spread
 from lexicue.sources.tables import table
 
 CJK = "[一-鿿㐀-䶿぀-ヿ가-힯]"
@@ -36,7 +35,7 @@ def _turns(spark, folder):
     words = F.transform(
         toks, lambda w, i: F.struct(
             ((start + i * 300 + F.floor(i / 7) * 400) / 1000).alias("start"), ((start + i * 300 + F.floor(i / 7) * 400 + 250) / 1000).alias("end"), w.alias("word")))
-    return spread(table(spark, folder, "conversations", "conv_id", "turn", "text")).select(
+    return table(spark, folder, "conversations", "conv_id", "turn", "text").select(
         F.col("conv_id").alias("video"), F.col("turn").alias("seg_idx"), start.alias("start_ms"),
         (start + F.size(toks) * 360).cast("bigint").alias("end_ms"), "text", words.alias("words"))
 
@@ -110,14 +109,14 @@ def overlay_units(spark, folder):
 
 
 @job("number_formats", """
-SELECT o_orderkey AS id, CASE WHEN n = 0 THEN '0' WHEN n >= 10000 THEN format('{:,.1f}', n / 10000) || 'w' ELSE format('{:,}', n) END AS shown,
+SELECT o_orderkey AS id, CASE WHEN n = 0 THEN '0' WHEN n >= 10000 AND n % 5000 = 2500 THEN ((n + 500) // 10000) || '.' || ((n + 500) // 1000 % 10) || 'w' WHEN n >= 10000 THEN printf('%.1f', n / 10000) || 'w' ELSE format('{:,}', n) END AS shown,
  CAST(ms // 60000 AS VARCHAR) || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') AS clock,
  CASE o_orderkey % 8 WHEN 0 THEN 'zh-CN' WHEN 1 THEN 'en-US' WHEN 2 THEN 'ja-JP' WHEN 3 THEN 'fr-FR' WHEN 4 THEN 'es-ES' WHEN 5 THEN 'ko-KR' WHEN 6 THEN 'de-DE' ELSE 'pt' END AS locale
-FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE CAST(trunc(o_totalprice) AS BIGINT) // 20 * 10 END AS n, CAST(trunc(o_totalprice) AS BIGINT) AS ms FROM orders)""")
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 0 WHEN o_orderkey % 10 = 1 THEN 10000 + o_orderkey * 500 ELSE CAST(trunc(o_totalprice) AS BIGINT) // 20 * 10 END AS n, CAST(trunc(o_totalprice) AS BIGINT) AS ms FROM orders)""")
 def number_formats(spark, folder):
     o = table(spark, folder, "orders", "o_orderkey", "o_totalprice")
     whole = F.col("o_totalprice").cast("bigint")
-    n = F.when(F.col("o_orderkey") % 10 == 0, F.lit(0)).otherwise(F.floor(whole / 20) * 10)
+    n = F.when(F.col("o_orderkey") % 10 == 0, F.lit(0)).when(F.col("o_orderkey") % 10 == 1, 10000 + F.col("o_orderkey") * 500).otherwise(F.floor(whole / 20) * 10)
     code = F.get(F.array(*[F.lit(x) for x in ("zh", "en", "ja", "fr", "es", "ko", "de", "pt")]), (F.col("o_orderkey") % 8).cast("int"))
     return o.select(F.col("o_orderkey").alias("id"), T.short_count(n).alias("shown"), T.minutes_seconds(whole).alias("clock"), labels.voice_locale(code).alias("locale"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lexicue.operators import tables as Tb
-from lexicue.operators.collapse import similar
+from lexicue.operators.collapse import FuzzyFold
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -116,10 +116,10 @@ def ready_notices(changes: DataFrame, id_type: str = "bigint") -> DataFrame:
 
 
 class SegmentBuilder(StatefulProcessor):
-    """Collapse frames into segments of similar text; an open segment closes after a long silence.
+    """The batch fold of frames into segments, fed in time order.
 
-    Frames of a batch are ordered by time per key; frames older than the state are dropped, as the
-    watermark does for late rows.
+    Frames wait until the watermark has passed them, so any order inside it gives the same segments; then they are
+    sorted and pushed through the fold that the batch job uses. A segment still open closes after a long silence.
     """
 
     def __init__(self, interval: int, tolerance: int):
@@ -127,45 +127,48 @@ class SegmentBuilder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start_ms bigint, end_ms bigint, text string, empty_since bigint, seen_ms bigint")
+        self.waiting = handle.getListState("waiting", "ts_ms bigint, text string")
+        self.open = handle.getValueState("open", "start_ms bigint, end_ms bigint, text string, frame bigint, empty_since bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, end, text, empty, seen = self.open.get() if self.open.exists() else (None, None, None, None, -1)
-        done = []
-        for row in pd.concat(list(rows)).sort_values("ts_ms").itertuples(index=False):
-            at = int(row.ts_ms)
-            if at <= seen:
-                continue
-            seen = at
-            if not row.text:
-                if text is not None and empty is None:
-                    empty = at
-                elif text is not None and at - empty + self.interval > self.tolerance:
-                    done.append((key[0], start, end, text))
-                    start = end = text = empty = None
-                continue
-            if text is not None and similar(row.text, text):
-                end = at + self.interval
-            else:
-                if text is not None:
-                    done.append((key[0], start, end, text))
-                start, end, text = at, at + self.interval, row.text
-            empty = None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if text is not None:
-            self.handle.registerTimer(seen + self.interval + self.tolerance)
-        self.open.update((start, end, text, empty, seen))
-        yield pd.DataFrame(done, columns=["video", "start_ms", "end_ms", "text"])
+        for batch in rows:
+            self.waiting.appendList([(int(t), x) for t, x in zip(batch["ts_ms"], batch["text"])])
+            self.handle.registerTimer(int(batch["ts_ms"].max()) + 1)
+        yield self._table([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get(), key=lambda r: r[0]) if self.waiting.exists() else []
+        due, later = [r for r in waiting if r[0] < passed], [r for r in waiting if r[0] >= passed]
+        fold = FuzzyFold(self.interval, self.tolerance)
         if self.open.exists():
-            start, end, text, _, seen = self.open.get()
+            start, end, text, frame, fold.empty_since = self.open.get()
             if text is not None:
-                out.append((key[0], start, end, text))
-            self.open.update((None, None, None, None, seen))
-        yield pd.DataFrame(out, columns=["video", "start_ms", "end_ms", "text"])
+                fold.seg = {"video": key[0], "start_ms": start, "end_ms": end, "match_text": text, "last_frame": frame}
+        done = []
+        for at, text in due:
+            done += fold.push({"video": key[0], "first_ms": at, "last_ms": at, "last_frame": at, "match_text": text or ""})
+        if fold.seg is not None:
+            # nothing older than the watermark can come, so silence up to it is certain
+            silent = fold.seg["end_ms"] + self.tolerance + 1
+            if silent <= passed:
+                done += fold.close()
+            else:
+                self.handle.registerTimer(max(silent, passed + 1))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if fold.seg is None:
+            self.open.clear()
+        else:
+            self.open.update((*(fold.seg[k] for k in ("start_ms", "end_ms", "match_text", "last_frame")), fold.empty_since))
+        yield self._table(done)
+
+    @staticmethod
+    def _table(done: list[dict]) -> pd.DataFrame:
+        rows = [(s["video"], s["start_ms"], s["end_ms"], s["match_text"]) for s in done]
+        return pd.DataFrame(rows, columns=["video", "start_ms", "end_ms", "text"])
 
     def close(self) -> None:
         pass

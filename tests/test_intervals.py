@@ -75,3 +75,13 @@ def test_time_buckets_last_listed_wins(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1}
     early = {r.bucket: r.seg_idx for r in I.time_buckets(s, ["video"], "duration", 50, early=50).collect()}
     assert early == {0: 1, 1: 1, 2: 1, 3: 1}
+
+
+def test_covering_needs_segments_listed_by_start(spark):
+    points = spark.createDataFrame([(1, 1200)], "v bigint, at bigint")
+    segs = lambda rows: spark.createDataFrame(rows, "v bigint, seg_idx bigint, start_ms bigint, end_ms bigint")
+    for width in (None, 1000):
+        listed = segs([(1, 0, 0, 1500), (1, 1, 1000, 2000)])
+        assert I.covering(points, listed, ["v"], "at", chunk_width=width).first()["segment"]["seg_idx"] == 0
+        with pytest.raises(Exception, match="not listed by start"):
+            I.covering(points, segs([(1, 0, 1000, 2000), (1, 1, 0, 1500)]), ["v"], "at", chunk_width=width).collect()

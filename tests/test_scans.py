@@ -74,3 +74,10 @@ def test_asof(spark, seed, direction, strict):
         return min(ok)[1] if ok else None
 
     assert got == {p: best(k, at) for k, at, p in points}
+
+
+def test_null_keys_stop_a_chunked_scan(spark):
+    df = spark.createDataFrame([(None, i) for i in range(3)], "k bigint, t bigint")
+    assert [r.n for r in row_numbers(df, ["k"], ["t"], "n").orderBy("t").collect()] == [1, 2, 3]
+    with pytest.raises(Exception, match="null in key k"):
+        row_numbers(df, ["k"], ["t"], "n", F.col("t")).collect()

@@ -97,3 +97,36 @@ def test_upsert_sink_replay_changes_nothing(spark, tmp_path):
     got = spark.read.parquet(path).select("user_id", "k", "id")
     want = ev.groupBy("user_id", "k").agg(F.max_by("id", F.struct("ts_ms", "id")).alias("id"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_segments_in_any_order_within_the_watermark(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(1, 1000 + i * 100, r.choice(["", "aaaa", "bbbb"]) if i % 7 == 0 else "aaaa" if i % 40 < 25 else "") for i in range(200)]
+    end = [(1, 90_000, "end"), (2, 200_000, "end")]
+    ordered = spark.createDataFrame(rows + end, "video bigint, ts_ms bigint, text string")
+    # neighbours are swapped within five frames, less than the lateness, and files keep that order
+    keyed = [(v, t, x, t + (r.randrange(5) * 100 if t < 21_000 else 0)) for v, t, x in rows + end]
+    mixed = spark.createDataFrame(keyed, "video bigint, ts_ms bigint, text string, arrives bigint").withColumn("ts", F.timestamp_millis("ts_ms"))
+    got = run(spark, mixed, lambda s: St.build_segments(s, "ts", 100, 500), tmp_path, "so", order="arrives", files=6)
+    want = fuzzy_collapse(ordered.withColumn("frame", F.col("ts_ms")), ["video"], "ts_ms", "text", "frame", 100, 500, 100)
+    assert sorted((x.start_ms, x.end_ms, x.text) for x in got.collect() if x.text != "end") == sorted(
+        (x.start_ms, x.end_ms, x.match_text) for x in want.collect() if x.match_text != "end")
+
+
+def test_backfill_of_unordered_files_loses_nothing(spark, tmp_path):
+    from lexicue.plans.streaming import BACKFILL
+
+    ev = events(spark)
+    src = str(tmp_path / "src")
+    for day in (3, 1, 2, 0):  # newest file first, one file a batch
+        ev.withColumn("ts", F.col("ts") + F.make_interval(days=F.lit(day))).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sink = St.upsert_sink(str(tmp_path / "t"), ["user_id", "window_start"], F.col("views"), buckets=2)
+    q = (
+        St.view_counts(stream, "ts", "user_id", late=BACKFILL).writeStream.foreachBatch(sink).outputMode("update")
+        .option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    want = St.view_counts(spark.read.parquet(src), "ts", "user_id")
+    got = spark.read.parquet(str(tmp_path / "t")).select("user_id", "window_start", "views")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

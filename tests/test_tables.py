@@ -1,5 +1,6 @@
 """Table changes, documents, pricing edges."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexicue.operators import captions as Cp
@@ -112,7 +113,13 @@ def test_pricing_edges(spark):
 def test_surrogate_ids_repeat(spark):
     df = spark.createDataFrame([("a", "en"), ("a", "en"), ("b", "en")], "w string, l string").select(Tb.surrogate_id("w", "l").alias("i"))
     a, b, c = [r.i for r in df.collect()]
-    assert a == b != c and a > 0
+    assert a == b != c and len(a) == 32
+
+
+def test_surrogate_ids_keep_parts_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("a", None), (None, "a"), ("", "a"), (None, None), ("1:a", ""), ("", "1:a")]
+    ids = [r.i for r in spark.createDataFrame(rows, "w string, l string").select(Tb.surrogate_id("w", "l").alias("i")).collect()]
+    assert len(set(ids)) == len(rows)
 
 
 def test_append_fills_defaults_and_keeps_old_rows(spark, tmp_path):
@@ -149,3 +156,12 @@ def test_surviving_copies_of_videos(spark, tmp_path):
         (tmp_path / n).write_bytes(b"x" * 1048576)
     got = Sub.catalog(spark, str(tmp_path)).orderBy("file_name").collect()
     assert [tuple(r) for r in got] == [("video_1.mp4", 1.0), ("video_3.mp4", 1.0)]
+
+
+def test_unknown_names_stop_the_job(spark):
+    from lexicue.operators import detections as D
+
+    rows = spark.createDataFrame([("dense", "text", 0.9), ("pipeline", "text", 0.9)], "model string, text string, confidence double")
+    assert D.readable(rows.filter("model = 'dense'"), spark).count() == 1
+    with pytest.raises(Exception, match="unknown model: pipeline"):
+        D.readable(rows, spark).collect()

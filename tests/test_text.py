@@ -61,7 +61,7 @@ def test_half_even_boxes(spark):
     assert (b.x, b.y, b.width, b.height) == (0, 2, 2, 2)
 
 
-@pytest.mark.parametrize("n,want", [(0, "0"), (9999, "9,999"), (12345, "1.2w"), (None, "0")])
+@pytest.mark.parametrize("n,want", [(0, "0"), (9999, "9,999"), (12345, "1.2w"), (12500, "1.3w"), (14500, "1.4w"), (12345678, "1234.6w"), (99950, "10.0w"), (None, "0")])
 def test_short_count(spark, n, want):
     assert one(spark, T.short_count(F.lit(n).cast("bigint"))) == want
 
