@@ -133,6 +133,20 @@ def due_capped_per_user(spark, folder):
     return capped.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+#: The greatest daily limit a user may set; the cap by it runs before the shuffle.
+MOST_REVIEWS = 4
+
+
+@job("due_own_limit", S.with_views("cards", body=f"""
+SELECT id, user_id, due_ms, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY due_ms, id) AS rn
+ FROM cards WHERE due_ms <= {AS_OF}) WHERE rn <= 1 + user_id % 4"""))
+def due_own_limit(spark, folder):
+    """Each user's own limit, here one to four by id; no limit is above the greatest one that can be set."""
+    due = cards(spark, folder).filter(F.col("due_ms") <= AS_OF).select("id", "user_id", "due_ms")
+    capped = Q.top_per_key(due, ["user_id"], [F.col("due_ms"), F.col("id")], MOST_REVIEWS)
+    return capped.filter(F.col("rank") <= 1 + F.col("user_id") % 4).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @job("due_session_plan", S.with_views("cards", body=f"""
 SELECT user_id, count(*) AS due, CAST(greatest(1, floor(count(*) * 0.5 + 0.5)) AS BIGINT) AS minutes,
  CASE WHEN count(*) <= 0 THEN '' WHEN count(*) <= 5 THEN 'Quick session ahead'

@@ -335,6 +335,18 @@ def diagnosis_gaps(spark, folder):
     return Sg.missed_gaps(d, segs, S.HOUR, S.DAY)
 
 
+@job("missed_time", views("ev", "segs", body=f""", {DIAG},
+g0 AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY video ORDER BY ts_ms, frame_id) > 7200000 THEN 1 ELSE 0 END AS flag FROM diag WHERE seg_idx IS NULL),
+g1 AS (SELECT *, sum(flag) OVER (PARTITION BY video ORDER BY ts_ms, frame_id) AS gap FROM g0),
+g AS (SELECT video, gap, max(ts_ms) - min(ts_ms) + 3600000 AS span FROM g1 GROUP BY ALL)
+SELECT video, count(*) AS gaps, CAST(sum(span) AS BIGINT) AS missed_ms FROM g GROUP BY ALL"""))
+def missed_time(spark, folder):
+    """Groups of missed frames and their total time per video."""
+    d, segs = _diag(spark, folder)
+    gaps = Sg.missed_gaps(d, segs, S.HOUR, S.DAY)
+    return gaps.groupBy("video").agg(F.count("*").alias("gaps"), F.sum("duration_ms").cast("bigint").alias("missed_ms"))
+
+
 @job("diagnosis_mismatches", views("ev", "segs", body=f""", {DIAG}
 SELECT video, frame_id, array_to_string(new_texts, ',') AS new_texts FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY ts_ms, frame_id) AS rn FROM diag WHERE len(new_texts) > 0) WHERE rn <= 10"""))
 def diagnosis_mismatches(spark, folder):
