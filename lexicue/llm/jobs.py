@@ -79,6 +79,19 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.train_and_score(docs, ~held, held)
 
 
-@job("op9_set_relation_join")
+LINKS = """WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+reach AS (SELECT doc_id AS root, doc_id FROM documents UNION SELECT root, l.b FROM reach JOIN l ON l.a = reach.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.root) AS component_id
+FROM documents d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY ALL"""
+
+
+@job("op9_set_relation_join", LINKS)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.duplicates(read(spark, folder, "documents", "doc_id", "text")).drop("_key")

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from lexicue.llm.jobs import JOBS
+from tests.compare import connect
 from tests.conftest import SMALL
 
 
@@ -23,6 +24,17 @@ def test_a_row_for_every_row(spark, name):
     assert sorted(r[0] for r in rows.select(key).collect()) == sorted(r[0] for r in want.collect())
 
 
+@pytest.mark.parametrize("name", [n for n, (_, sql) in JOBS.items() if sql])
+def test_sql_gives_the_same_rows(spark, name):
+    run, sql = JOBS[name]
+    got = run(spark, SMALL)
+    cursor = connect(SMALL).execute(sql)
+    names = [d[0] for d in cursor.description]
+    want = [dict(zip(names, r)) for r in cursor.fetchall()]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(repr(r.asDict()) for r in got.collect()) == sorted(repr({c: r[c] for c in got.columns}) for r in want)
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, seen = docs.columns, []
