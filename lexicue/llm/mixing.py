@@ -117,7 +117,7 @@ def schedule(
         for p in phases for s in p.quota if p.used[s]
     ], "_s string, _first bigint, _end bigint, _start bigint, _period bigint, _quota bigint, _offsets array<int>")
     rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"))
-    keyed = ranked(rows, ["_source"], F.xxhash64(F.col("_key"), F.lit(seed)), "_rank", chunks_for(max(counts.values(), default=0)))
+    keyed = ranked(rows, ["_source"], F.xxhash64(F.col("_key"), F.lit(seed)), "_rank", max(64, chunks_for(max(counts.values(), default=0))))
     b, i = F.floor(F.col("_rank") / block), F.col("block") - F.col("_first")
     own = F.col("_s").eqNullSafe(F.col("_source")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end"))
     cycle = F.floor(i / F.col("_quota"))
