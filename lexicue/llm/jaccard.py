@@ -74,8 +74,26 @@ def _name(x: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parities(x: np.ndarray) -> bytes:
+    """One bit per cell of a set's hashes: whether an odd number falls there; at least two cells for each.
+
+    The bits in which two sets differ are no more than the elements in which they differ.
+    """
+    cells = max(256, 1 << int(2 * len(x) - 1).bit_length())
+    odd = np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def most_common(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """The most elements that two sets of these parities and sizes can share. The longer row is folded to the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return min(na, nb, (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2)
+
+
 def describe(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """Every row's key, id, set size and set number, and the sketch of how often each cell's shingles occur.
+    """Every row's key, id, set size, set number and parities, and the sketch of how often each cell's shingles occur.
 
     Each task sends one sketch, in blocks that are added up by Spark; the driver gets CELLS numbers.
     """
@@ -83,25 +101,28 @@ def describe(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, cells = Shingler(width), np.zeros(CELLS, np.uint32)
-        names = ["_key", "doc_id", "n", "rec", "block", "counts"]
+        names = ["_key", "doc_id", "n", "rec", "bits", "block", "counts"]
         kind = None
         for b in batches:
             kind = b.schema.field(1).type
-            sizes, recs = [], []
+            sizes, recs, bits = [], [], []
             for t in b.column(2).to_pylist():
                 x = shingle(t)
                 sizes.append(len(x))
                 recs.append(_name(x) if len(x) else None)
+                bits.append(parities(x) if len(x) else None)
                 np.add.at(cells, _cell(x), 1)
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(recs, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(recs, pa.int64()), pa.array(bits, pa.binary()),
+                 none.cast(pa.int32()), none.cast(pa.binary())],
+                names=names,
             )
         if kind is not None:
             used = [i for i in range(CELLS // block) if cells[i * block : (i + 1) * block].any()]
             none = pa.nulls(len(used))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(used, pa.int32()),
+                [none.cast(pa.int64()), none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used, pa.int32()),
                  pa.array([zlib.compress(cells[i * block : (i + 1) * block].tobytes(), 1) for i in used], pa.binary())],
                 names=names,
             )
@@ -118,13 +139,13 @@ def describe(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = materialized(docs.select("_key", "doc_id", "text").mapInArrow(
-        scan, f"_key long, doc_id {kind}, n long, rec long, block int, counts binary"
+        scan, f"_key long, doc_id {kind}, n long, rec long, bits binary, block int, counts binary"
     ))
     parts = out.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
     sketch = np.zeros(CELLS, np.uint64)
     for r in parts.collect():
         sketch[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
-    return out.where("block is null").select("_key", "doc_id", "n", "rec"), sketch
+    return out.where("block is null").drop("block", "counts"), sketch
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -217,6 +238,23 @@ def _texts(docs: DataFrame, reps: DataFrame, recs: DataFrame) -> DataFrame:
     return found.join(wanted.select("_key", "rec"), "_key").select("rec", "text").dropDuplicates(["rec"])
 
 
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their parities, a small fraction of the texts' size; no pair that links is lost."""
+    one = marks.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    two = marks.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, xa, nb, xb in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                common = most_common(xa, xb, na, nb)
+                keep.append(100 * common >= percent * (na + nb - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "xa", "nb", "xb")
+    return materialized(both.mapInArrow(test, "a long, b long"))
+
+
 def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough, counted on the whole texts; stored."""
     recs = pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
@@ -247,14 +285,15 @@ def _labelled(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Set rows (key, id, size, set number) and (node, root) of the sets that have a link.
+    """Set rows (key, id, size, set number, parities) and (node, root) of the sets that have a link.
 
     ``docs`` has _key, doc_id and text.
     """
     sets, sketch = describe(docs, width)
     reps = sets.where("rec is not null").groupBy("rec").agg(F.min("_key").alias("_key"))
+    marks = materialized(sets.where("rec is not null").select("rec", "n", "bits").dropDuplicates(["rec"]))
     lists = index_lists(prefixes(docs, sketch, width, percent), percent)
-    links, roots = None, None
+    links, roots, tried = None, None, None
     for k in range(ROUNDS + 1):
         named = materialized(_labelled(lists, roots)) if k else _labelled(lists, None)
         if k:
@@ -275,7 +314,11 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
             pick = W.partitionBy("token").orderBy(F.xxhash64("rec", F.lit(k)), "rec")
             leaders = named.withColumn("_i", F.row_number().over(pick)).where(F.col("_i") <= LEADERS)
             pairs = _candidates(leaders, outside if k else named, percent)
-        found = _links(docs, reps, materialized(pairs), width, percent)
+        if tried is not None:  # what was compared in an earlier round has its answer
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialized(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        found = _links(docs, reps, _possible(pairs, marks, percent), width, percent)
         links = found if links is None else links.union(found)
         roots = materialized(components(links))
         if k and final:

@@ -316,7 +316,7 @@ def test_gradients_and_whole_text_scores(monkeypatch):
             p[k][i] = old
             assert abs((up - down) / 2 / e - g[k][i]) < 1e-4 * (1 + abs(g[k][i]))
     texts = [np.append(rng.integers(1, 12, n), 0) for n in (0, 5, 70, 33, 1)]
-    for text, got in zip(texts, gru.score(p, texts, lanes=2, window=4)):
+    for text, got in zip(texts, gru.score(p, texts, lanes=2, together=4)):
         h, before, total = np.zeros((1, 5)), 0, 0.0
         for y in text:
             h, _ = gru.step(p, h, np.array([before]))
@@ -402,6 +402,20 @@ def test_components_of_links(docs, spark):
     same_with_more_columns(jaccard.duplicates, docs, "doc_id", "component_id")
 
 
+def test_parities_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, m, c = rng.integers(1, 3000), rng.integers(1, 3000), 0
+        x, y = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+        c = int(rng.integers(0, min(len(x), len(y)) + 1))
+        y = np.unique(np.concatenate([x[:c], y[c:]]))
+        common = len(np.intersect1d(x, y))
+        assert common <= jaccard.most_common(jaccard.parities(x), jaccard.parities(y), len(x), len(y)) <= min(len(x), len(y))
+    x = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    y = np.unique(np.concatenate([x[:420], rng.integers(0, 1 << 63, 80).astype(np.uint64)]))
+    assert jaccard.most_common(jaccard.parities(x), jaccard.parities(y), 500, 500) < 440  # close enough to rule the pair out
+
+
 def test_one_row_of_each_group_stays(docs):
     kept = jaccard.deduplicated(docs)
     assert kept.columns == docs.columns
