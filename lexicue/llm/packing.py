@@ -20,14 +20,16 @@ from lexicue.llm.common import chunks_for, materialized, ranked, rows_of
 
 CAPACITY = 4096
 END = 1
-#: Distinct words a worker remembers before it starts afresh.
-WORDS = 400_000
+#: Distinct words a worker remembers: the first it meets, which has the common ones.
+WORDS = 1_000_000
+_PUNCTUATED = re.compile(r"([A-Za-z]+)([!-/:-@\[-`{-~]+)")
 
 
 class Words(dict):
     """Word -> its token ids as little-endian 32-bit bytes.
 
-    The tokenizer drops blanks and never joins across them, so a text's ids are those of its words in turn.
+    The tokenizer drops blanks and never joins across them, so a text's ids are those of its words in turn. It also
+    lowers case and parts letters from marks, so words that differ in these share the work.
     """
 
     def __init__(self, path: str):
@@ -37,10 +39,14 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) < 64:
+        parts = _PUNCTUATED.fullmatch(word)
+        if parts:
+            ids = self[parts[1]] + self[parts[2]]
+        elif word.isascii() and (low := word.lower()) != word and "<|" not in word:
+            ids = self[low]
+        else:
+            ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(word) < 64 and len(self) < WORDS:
             self[word] = ids
         return ids
 
@@ -48,11 +54,21 @@ class Words(dict):
         return b"".join(map(self.__getitem__, re.split("[ \n\r\t]+", text) if text else ()))
 
 
+def worker_words(path: str) -> Words:
+    """This Python worker's table, which outlives the task: Spark keeps its workers, and words repeat from task to task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_lexicue_words", {})
+    if path not in kept:
+        kept[path] = Words(path)
+    return kept[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ids and the end id, cut at ``capacity``: piece, start, length and checksum of the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = worker_words(tokenizer)
         for b in batches:
             which, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
