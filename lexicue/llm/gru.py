@@ -47,18 +47,38 @@ def _by_class(target: np.ndarray):
     return cls, order, zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(cls)])
 
 
+def _log_softmax_at(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log softmax(h w' + b) at each target, in place.
+
+    States lie between -1 and 1, so no logit is above its bias and the sum of its absolute weights: that bound is
+    taken off instead of each row's maximum. Rows that it leaves too small are done again with their own.
+    """
+    bound = (b + np.abs(w).sum(1)).max()
+    logits = h @ w.T
+    logits += b - bound
+    own = logits[np.arange(len(target)), target]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(len(b), logits.dtype)
+    small = np.flatnonzero(total < 1e-30)
+    with np.errstate(divide="ignore"):
+        out = own - np.log(total)
+    if len(small):
+        again = h[small] @ w.T + b
+        top = again.max(1)
+        out[small] = again[np.arange(len(small)), target[small]] - top - np.log(np.exp(again - top[:, None]).sum(1))
+    return out
+
+
 def log_prob(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after each state."""
     cls, order, parts = _by_class(target)
-    logits = h @ p["wc"].T + p["bc"]
-    top = logits.max(1)
-    out = logits[np.arange(len(cls)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+    out = _log_softmax_at(h, p["wc"], p["bc"], cls)
+    h, target = h[order], target[order]
+    inside = np.empty_like(out)
     for k, a, b in parts:
-        at = order[a:b]
         s = slice(k * WIDTH, (k + 1) * WIDTH)
-        logits = h[at] @ p["wo"][s].T + p["bo"][s]
-        top = logits.max(1)
-        out[at] += logits[np.arange(b - a), target[at] - k * WIDTH] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        inside[a:b] = _log_softmax_at(h[a:b], p["wo"][s], p["bo"][s], target[a:b] - k * WIDTH)
+    out[order] += inside
     return out
 
 
@@ -161,28 +181,44 @@ def train(p: dict, texts, lanes: int = 128, window: int = WINDOW, rate: float =
     return p, seen
 
 
-def score(p: dict, texts: list[np.ndarray], lanes: int = 1024, window: int = 32) -> np.ndarray:
-    """Natural log probability of each whole text (symbols with the ending 0), the state carried to its end."""
+def score(p: dict, texts: list[np.ndarray], lanes: int = 1024, together: int = 1 << 15) -> np.ndarray:
+    """Natural log probability of each whole text (symbols with the ending 0), the state carried to its end.
+
+    Texts of like length run side by side; the softmax is taken for about ``together`` states at a time.
+    """
     out = np.zeros(len(texts))
     sizes = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-sizes, kind="stable")
+    states: list[np.ndarray] = []
+    wants: list[np.ndarray] = []
+    whose: list[np.ndarray] = []
+
+    def settle() -> None:
+        if states:
+            got = log_prob(p, np.concatenate(states), np.concatenate(wants))
+            np.add(out, np.bincount(np.concatenate(whose), got.astype(np.float64), minlength=len(out)), out=out)
+        for x in (states, wants, whose):
+            x.clear()
+
+    held = 0
     for lo in range(0, len(order), lanes):
         mine = order[lo : lo + lanes]
         size = sizes[mine]
-        flat = np.concatenate([texts[i] for i in mine]) if len(mine) else np.empty(0, np.int64)
+        flat = np.concatenate([texts[i] for i in mine])
         start = np.cumsum(size) - size
         h = np.zeros((len(mine), p["u"].shape[0]), np.float32)
         before = np.zeros(len(mine), np.int64)
-        for t0 in range(0, int(size[0]) if len(size) else 0, window):
-            states, wants, lane = [], [], []
-            for t in range(t0, min(t0 + window, int(size[0]))):
-                n = int(np.searchsorted(-size, -t, side="left"))  # texts longer than t
-                h, before, start = h[:n], before[:n], start[:n]
-                h, _ = step(p, h, before)
-                before = flat[start + t]
-                states.append(h)
-                wants.append(before)
-                lane.append(np.arange(n))
-            got = log_prob(p, np.concatenate(states), np.concatenate(wants))
-            out[mine] += np.bincount(np.concatenate(lane), got.astype(np.float64), minlength=len(mine))
+        for t in range(int(size[0])):
+            n = int(np.searchsorted(-size, -t, side="left"))  # texts longer than t
+            h, before, start = h[:n], before[:n], start[:n]
+            h, _ = step(p, h, before)
+            before = flat[start + t]
+            states.append(h)
+            wants.append(before)
+            whose.append(mine[:n])
+            held += n
+            if held >= together:
+                settle()
+                held = 0
+    settle()
     return out
