@@ -140,9 +140,9 @@ class Adagrad:
 
     def update(self, g: dict, win) -> None:
         syms, rows = win
-        touched, place = np.unique(syms, return_inverse=True)
-        dense = np.zeros((len(touched), rows.shape[1]), np.float32)
-        np.add.at(dense, place, rows)
+        order = np.argsort(syms, kind="stable")
+        touched, starts = np.unique(syms[order], return_index=True)
+        dense = np.add.reduceat(rows[order], starts, axis=0)
         for k, d, at in [*((k, d, slice(None)) for k, d in g.items()), ("win", dense, touched)]:
             d = np.clip(d, -5, 5)
             s = self.sums[k][at] + d * d

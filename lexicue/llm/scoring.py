@@ -1,17 +1,19 @@
 """Scoring texts with a gated recurrent language model that is trained here.
 
 Token counts cover every training text. The most frequent words are symbols of the model; the others share slots by
-their ending, and within a slot a word has its smoothed share of the counts. The network is trained on a fixed
-share of the training texts, chosen by hash, so what it learns from grows with the corpus; replicas train side by
-side and are averaged after each round.
+their ending, and within a slot a word has its smoothed share of the counts. The network is trained on every training
+text once: texts are dealt by hash to rounds and replicas, replicas of a bounded part each train side by side, and are
+averaged after each round by the symbols they saw.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from lexicue.llm.common import materialized
 KNOWN = 1 << 17
 #: Words with a symbol of their own (with the end of text), and slots for the others.
 SYMBOLS, SLOTS = 4096, 256
-#: One training text in so many trains the network; rounds of averaging and the replicas of each.
-SHARE, ROUNDS, REPLICAS = 48, 3, 4
+#: Rounds of averaging, and the symbols that a replica of a round trains on, about.
+ROUNDS, PART = 3, 2_000_000
 #: Distinct words a task counts before it hands them on.
 HELD = 300_000
 END = ""
@@ -133,39 +135,67 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, int,
     return Vocabulary(words, n, np.log10(mass + types + 1)), int(sums["n"] or 0), int(sums["v"] or 0), frequency
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, frequency: np.ndarray, key: str = "doc_id", text: str = "text") -> dict:
-    """Network parameters: local training in replicas on one text in SHARE, averaged after each round.
+def replicas(tokens: int) -> int:
+    """Replicas of a round that share ``tokens`` training tokens between all rounds: one for each bounded part."""
+    return max(1, -(-tokens // (ROUNDS * PART)))
 
-    A replica that is repeated reads the same texts in the same order, so it gives the same numbers. The driver
-    holds one set of parameters per replica.
+
+def _averaged(got: Iterable[tuple[int, bytes]]) -> tuple[int, dict]:
+    """Symbols seen in all, and the running mean of pickled parameters weighted by the symbols each has seen."""
+    total, p = 0, {}
+    for n, x in got:
+        total += n
+        for name, v in pickle.loads(bytes(x)).items():
+            p[name] = p[name] + np.float32(n / total) * (v - p[name]) if name in p else v
+    return total, p
+
+
+def fit(
+    docs: DataFrame, vocab: Vocabulary, frequency: np.ndarray, tokens: int, key: str = "doc_id", text: str = "text"
+) -> tuple[dict, int]:
+    """Network parameters, and the symbols they were trained on: those of all texts, each in one round.
+
+    In a round the replicas train alone on a part each, and are averaged. A replica that is repeated reads the same
+    texts in the same order, so it gives the same numbers. Replicas are averaged in groups first: the driver holds
+    one set of parameters per group, about the square root of the replicas.
     """
-    p = gru.fresh(frequency)
-    spark = docs.sparkSession
-    # null ids are texts like others: they are chosen by their text
+    p, trained = gru.fresh(frequency), 0
+    spark, n = docs.sparkSession, replicas(tokens)
+    # null ids are texts like others: they are dealt by their text
     draw = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")), F.lit(8))
     words = spark.sparkContext.broadcast(vocab)
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, mean = _averaged((r["seen"], r["p"]) for b in batches for r in b.to_pylist())
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([pickle.dumps(mean)], pa.binary())], names=["seen", "p"])
+
     try:
         for k in range(ROUNDS):
-            chosen = docs.where(F.pmod(draw, F.lit(SHARE * ROUNDS)) == k).select(
-                F.pmod(F.shiftright(draw, 20), F.lit(REPLICAS)).cast("int").alias("_lane"), draw.alias("_order"), F.col(text).alias("_text")
-            ).repartition(REPLICAS, "_lane").sortWithinPartitions("_order")
+            dealt = docs.where(F.pmod(draw, F.lit(ROUNDS)) == k).select(draw.alias("_order"), F.col(text).alias("_text"))
+            chosen = dealt.repartition(n, "_order").sortWithinPartitions("_order")
             start = spark.sparkContext.broadcast(pickle.dumps(p))
 
             def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-                texts = (words.value.symbols(split(t))[1] for b in batches for t in b.column(2).to_pylist())
-                own, seen = gru.train(pickle.loads(start.value), texts)
-                if seen:
-                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary()), pa.array([seen], pa.int64())], names=["p", "seen"])
-
-            got = sorted(((r["seen"], r["p"]) for r in chosen.mapInArrow(learn, "p binary, seen long").collect()), key=lambda x: x)
+                texts = (words.value.symbols(split(t))[1] for b in batches for t in b.column(1).to_pylist())
+                first = next(texts, None)
+                if first is not None:
+                    own, seen = gru.train(pickle.loads(start.value), itertools.chain([first], texts))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(first.sum())], pa.int64()), pa.array([seen], pa.int64()), pa.array([pickle.dumps(own)], pa.binary())],
+                        names=["mark", "seen", "p"],
+                    )
+
+            own = chosen.mapInArrow(learn, "mark long, seen long, p binary")
+            grouped = own.repartition(math.isqrt(n)).sortWithinPartitions("mark", "seen").mapInArrow(average, "seen long, p binary")
+            got = sorted(((r["seen"], bytes(r["p"])) for r in grouped.collect()), key=lambda x: x)
             start.destroy()
             if got:
-                total = sum(n for n, _ in got)
-                trained = [(n / total, pickle.loads(bytes(x))) for n, x in got]
-                p = {name: sum(np.float32(w) * q[name] for w, q in trained) for name in p}
+                seen, p = _averaged(got)
+                trained += seen
     finally:
         words.unpersist()
-    return p
+    return p, trained
 
 
 def score(
@@ -226,5 +256,5 @@ def train_and_score(docs: DataFrame, training: Column, held: Column, key: str =
     own = docs.where(training)
     counts = materialized(count_words(own, text))
     vocab, tokens, types, frequency = vocabulary(counts)
-    p = fit(own, vocab, frequency, key, text)
+    p, _ = fit(own, vocab, frequency, tokens, key, text)
     return score(docs, counts, vocab, tokens, types, p, key, text, held)

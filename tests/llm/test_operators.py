@@ -343,6 +343,19 @@ def test_scores(docs, monkeypatch):
     same_with_more_columns(run, docs, "doc_id", "n_tokens", "n_known")
 
 
+def test_every_training_text_trains_the_network(docs, monkeypatch):
+    own = docs.where(id_crc("doc_id") % 7 != 2)
+    counts = scoring.count_words(own).cache()
+    vocab, tokens, _, frequency = scoring.vocabulary(counts)
+    assert tokens == sum(len((x[1] or "").encode().split()) + 1 for x in own.select("doc_id", "text").collect())
+    few, seen = scoring.fit(own, vocab, frequency, tokens)
+    assert seen == tokens
+    monkeypatch.setattr(scoring, "PART", 300)  # many replicas, averaged in groups
+    assert scoring.replicas(tokens) > 16 and scoring.replicas(10 * tokens) > 9 * scoring.replicas(tokens)
+    many, seen = scoring.fit(own, vocab, frequency, tokens)
+    assert seen == tokens and all(np.isfinite(v).all() and v.shape == few[k].shape for k, v in many.items())
+
+
 def test_probabilities_sum_to_one():
     p = gru.fresh(np.arange(1.0, 257.0), 6)
     h = np.random.default_rng(1).standard_normal((1, 6)).astype(np.float32)
