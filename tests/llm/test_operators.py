@@ -6,6 +6,8 @@ import hashlib
 import math
 import re
 import zlib
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -70,6 +72,34 @@ def test_mixture_is_the_sequential_schedule(docs):
     assert data.multiset(mixing.mixed(docs)) == data.multiset(docs)
 
 
+@pytest.mark.parametrize("weights", [
+    {"a": 7, "b": 2, "c": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 12345**0.5, "b": 678**0.5, "c": 9**0.5},
+    {"big": 99, **{f"s{i}": 2 for i in range(99)}}, {"a": 10_007, "b": 1},
+])
+def test_shares_follow_the_given_weights(weights):
+    total = sum(map(Fraction, weights.values()))
+    phase = mixing.plan(dict.fromkeys(weights, 20_000), weights)[0]
+    assert phase.slots > 19_000
+    seen = collections.Counter()
+    for t, (s, release, deadline) in enumerate(islice(mixing.slots(phase.quota, phase.period), phase.slots)):
+        w = Fraction(weights[s]) / total
+        assert (release, deadline) == (math.floor(seen[s] / w), math.ceil((seen[s] + 1) / w)) and release <= t < deadline
+        seen[s] += 1
+        if t % 97 == 0:
+            assert all(abs(seen[k] - Fraction(x) / total * (t + 1)) < 1 for k, x in weights.items())
+    assert seen == phase.used
+
+
+def test_mixture_without_a_short_period(docs):
+    weights = {"a": 2**0.5, "b": 3**0.5, "c": 0.7, "s0": 1}
+    got = mixing.schedule(docs, weights, block=1).collect()
+    names = collections.Counter(r["doc"]["source"] for r in got)
+    phases = mixing.plan(dict(names), {s: weights.get(s, 0.7) for s in names})
+    want = [s for p in phases for s, _, _ in islice(mixing.slots(p.quota, p.period), p.slots)]
+    assert [r["doc"]["source"] for r in sorted(got, key=lambda r: r["position"])] == want
+    assert len(got) == docs.count() and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
 # 2
 
 def test_fingerprints(docs):
