@@ -37,14 +37,22 @@ PLACEHOLDERS = re.compile(
     r"(?i)(change_?me|example|placeholder|your[_-]|dummy|redacted|x{4,}|\*{3,}|<.*>|\$\{.*\}|none|null|true|false|undefined)"
 )
 
-_STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
-_TERM = rf"(?:{_STRING}|[A-Za-z0-9_/+.=-]*[A-Za-z0-9_/=])"
-PAIR = re.compile(
-    rf"""(?:(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*(?:\[["'][\w.-]+["']\])?)|"(?P<key>[\w.-]+)"|'(?P<quoted>[\w.-]+)')"""
-    rf"""\x20*(?::=|=>|=(?!=)|:)\x20*(?P<expr>{_TERM}(?:\x20+\+\x20*{_TERM})*)""",
-    re.A,
+_STRING = (
+    r"""[rRbBuUfF]{0,2}(?:"{3}(?:[^\\]|\\[\s\S])*?"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}"""
+    r"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
 )
-TERM = re.compile(_TERM, re.A)
+TERM = re.compile(rf"(?P<string>{_STRING})|[A-Za-z0-9_/+.=-]*[A-Za-z0-9_/=]", re.A)
+PLUS = re.compile(r"[ \t]*\+[ \t]*")
+_NAME = r"""(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*(?:\[["'][\w.-]+["']\])?)"""
+TARGET = re.compile(rf"""(?:{_NAME}|"(?P<key>[\w.-]+)"|'(?P<quoted>[\w.-]+)')[ \t]*(?::=|=>|=(?!=)|:)[ \t]*""", re.A)
+#: A further target of the same value, or the type of the target before it; a colon counts only before a blank.
+NEXT = re.compile(rf"{_NAME}[ \t]*(?::=|=>|=(?!=)|:(?=[ \t]))[ \t]*", re.A)
+#: Types that are no plain name: with arguments, optional or one of several.
+TYPE = re.compile(
+    r"[*&]?[A-Za-z_][\w.]*(?:\[[^=\n]*?\]|<[^=\n]*?>)*[?*&]?(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*(?:\[[^=\n]*?\])?)*[ \t]*=(?![=>])[ \t]*", re.A
+)
+#: Words after a colon that are a type and not a target.
+TYPES = frozenset("str string String bytes int float bool any Any object char text final Final".split())
 IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*\Z", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -75,6 +83,61 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _sum(text: str, at: int) -> tuple[list, int]:
+    """The parts (start, end, name or None) of the sum that begins at ``at``, and where it ends."""
+    parts: list = []
+    end = at
+    while t := TERM.match(text, at):
+        if t["string"]:
+            quote = next(i for i in range(t.start(), t.end()) if text[i] in "\"'")
+            n = 3 if t.end() - quote >= 6 and text[quote : quote + 3] == text[quote] * 3 else 1
+            parts.append((quote + n, t.end() - n, None))
+        else:
+            parts.append((t.start(), t.end(), t[0] if IDENTIFIER.match(t[0]) else None))
+        end = t.end()
+        plus = PLUS.match(text, end)
+        if not plus:
+            break
+        at = plus.end()
+    return parts, end
+
+
+def _pairs(text: str) -> Iterator[tuple[str, list, bool]]:
+    """(name, parts, True) of each assignment; of ``a = b = value`` and ``a: b = value`` both names have the value.
+
+    A word with digits that is taken for a further target may be a value after all: it is given, with False, to the
+    target before it, for which it does not stand from then on.
+    """
+    at = 0
+    while m := TARGET.search(text, at):
+        at, names, starts = m.end(), [m["name"] or m["key"] or m["quoted"]], [m.end()]
+        typed = text[m.start() : m.end()].rstrip(" \t")[-1] == ":"
+        while True:
+            if n := NEXT.match(text, at):
+                names.append(n["name"])
+            elif typed and len(names) == 1 and (n := TYPE.match(text, at)):
+                names.append("")
+            else:
+                break
+            at = n.end()
+            starts.append(at)
+        while starts:
+            parts, end = _sum(text, starts[-1])
+            if parts:
+                break
+            starts.pop()
+        if not starts:
+            continue
+        at = end
+        for name, start in zip(names, starts[:-1]):
+            word = TERM.match(text, start)
+            if name and word and not word["string"] and any(c.isdigit() for c in word[0]):
+                yield name, [(start, word.end(), None)], False
+        for name in names[: len(starts)]:
+            if name and not (name in TYPES and len(names) > 1):
+                yield name, parts, True
+
+
 def named_spans(text: str, least: float = 0.6) -> list[tuple[int, int, str]]:
     """Literals that flow into a sensitive name.
 
@@ -83,24 +146,14 @@ def named_spans(text: str, least: float = 0.6) -> list[tuple[int, int, str]]:
     """
     if ":" not in text and "=" not in text:
         return []
-    pairs = []
-    for m in PAIR.finditer(text):
-        name = m["name"] or m["key"] or m["quoted"]
-        parts = []
-        for t in TERM.finditer(text, m.start("expr"), m.end("expr")):
-            if t[0][0] in "\"'":
-                parts.append((t.start() + 1, t.end() - 1, None))
-            elif IDENTIFIER.match(t[0]):
-                parts.append((t.start(), t.end(), t[0]))
-            elif t[0] != "+":
-                parts.append((t.start(), t.end(), None))
-        pairs.append((name, parts))
+    pairs = list(_pairs(text))
     first = {}
-    for name, parts in pairs:
-        first.setdefault(name, parts)
+    for name, parts, lasting in pairs:
+        if lasting:
+            first.setdefault(name, parts)
     given: dict[str, list] = {}
     found = set()
-    for name, parts in pairs:
+    for name, parts, lasting in pairs:
         # constants are folded as they are met, so a chain of names costs one step each
         value = []
         for a, b, ref in parts:
@@ -119,7 +172,8 @@ def named_spans(text: str, least: float = 0.6) -> list[tuple[int, int, str]]:
                 # configuration files leave literals unquoted: a word that names nothing is one if it has a digit
                 if ref is not None and any(c.isdigit() for c in ref) and weight * literal_score(ref) >= least:
                     found.add((a, b))
-        given[name] = value
+        if lasting:
+            given[name] = value
     return [(a, b, "named") for a, b in found if b > a]
 
 

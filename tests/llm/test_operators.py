@@ -218,6 +218,25 @@ def test_named_spans(text, found):
     assert sorted(text[a:b] for a, b, k in secrets.spans(text) if k == "named") == sorted(found)
 
 
+@pytest.mark.parametrize("text", [
+    'db_pwd: str = "Tr0ub4dor&3x!"', 'const dbPassword: string = "Tr0ub4dor&3x!"', 'db_pwd: Optional[str] = "Tr0ub4dor&3x!"',
+    'db_pwd: str | None = "Tr0ub4dor&3x!"', 'note: pwd = "Tr0ub4dor&3x!"', 'a = pwd = "Tr0ub4dor&3x!"', 'pwd = a = "Tr0ub4dor&3x!"',
+    'pwd\t=\t"Tr0ub4dor&3x!"', 'pwd  =  "Tr0ub4dor&3x!"', 'pwd = """Tr0ub4dor&3x!"""', "pwd = \'\'\'Tr0ub4dor&3x!\'\'\'", 'pwd = b"Tr0ub4dor&3x!"',
+    'pwd = "Tr0ub4"+"dor&3x!"', 'p = "Tr0ub4"\npwd = p+"dor&3x!"', 'p = "dor&3x!"\npwd = "Tr0ub4"+p',
+])
+def test_forms_of_assignment(text):
+    got = sorted(s for s in secrets.spans(text) if s[2] == "named")
+    assert "".join(text[a:b] for a, b, _ in got) in ("Tr0ub4dor&3x!", "dor&3x!Tr0ub4")
+
+
+@pytest.mark.parametrize("text,found", [
+    ("auth_key = Zx81kQ=p02mAAz", ["Zx81kQ=p02mAAz"]), ("auth_key = Zx81kQp02mAAz: note", ["Zx81kQp02mAAz"]),
+    ("auth_key: Zx81kQp02mAAz==", ["Zx81kQp02mAAz=="]), ("auth_key = a == b", []), ('title: str = "Zx81kQp02mAAz"', []),
+])
+def test_values_that_look_like_targets(text, found):
+    assert sorted(text[a:b] for a, b, k in secrets.spans(text) if k == "named") == found
+
+
 def test_secret_rows_and_redaction(docs):
     got = {(r["doc_id"], r["spans"]) for r in secrets.find(docs).collect()}
     assert got == {(x[0], ",".join(f"{k}:{a}:{b}" for a, b, k in secrets.spans(x[1] or ""))) for x in data.rows()}
