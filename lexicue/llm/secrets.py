@@ -23,6 +23,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A maximal run of 32 or more is what the open-ended run pattern leaves after its length test.
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "named")
+#: Parts of one value up to which repeated values are repeated; no literal depends on it being reported.
+REPEATS = 10_000
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 #: Weight of each part of a target name; parts that say "this is a number, place or label" count against it.
@@ -138,42 +140,65 @@ def _pairs(text: str) -> Iterator[tuple[str, list, bool]]:
                 yield name, parts, True
 
 
+def _leaves(k: int, parts: list, ends: list) -> list[tuple[int, int, str | None]]:
+    """The literals and unquoted words that assignment ``k`` comes down to, in the order of the sum.
+
+    ``ends`` has for each part the assignment it stands for, or None. Cycles end where they close. Values that
+    are repeated are repeated here, up to REPEATS parts; from there each assignment met is opened once only, so
+    none of its literals is missing and the work is bounded by the text.
+    """
+    out, path, seen, stack, steps = [], {k}, {k}, [(k, 0)], 0
+    while stack:
+        n, i = stack.pop()
+        if i == len(parts[n]):
+            path.discard(n)
+            continue
+        stack.append((n, i + 1))
+        steps += 1
+        to = ends[n][i]
+        if to is None:
+            out.append(parts[n][i])
+        elif to not in path and (steps <= REPEATS or to not in seen):
+            path.add(to)
+            seen.add(to)
+            stack.append((to, 0))
+    return out
+
+
 def named_spans(text: str, least: float = 0.6) -> list[tuple[int, int, str]]:
     """Literals that flow into a sensitive name.
 
-    Each pair's expression is a sum of literals and names. A name stands for the parts it was last given; one
-    that is used before it is given takes its first value. Cycles end where they close.
+    Each assignment's expression is a sum of literals and names. A name stands for what it was last given; one
+    that is used before it is given takes its first value. Names are followed as far as they lead.
     """
     if ":" not in text and "=" not in text:
         return []
     pairs = list(_pairs(text))
-    first = {}
-    for name, parts, lasting in pairs:
+    first: dict[str, int] = {}
+    for k, (name, _, lasting) in enumerate(pairs):
+        if lasting:
+            first.setdefault(name, k)
+    given: dict[str, int] = {}
+    ends = []
+    for k, (name, own, lasting) in enumerate(pairs):
+        to = [None if ref is None else given.get(ref, first.get(ref) if ref != name else None) for _, _, ref in own]
+        ends.append([None if t == k else t for t in to])
         if lasting:
-            first.setdefault(name, parts)
-    given: dict[str, list] = {}
+            given[name] = k
+    parts = [own for _, own, _ in pairs]
     found = set()
-    for name, parts, lasting in pairs:
-        # constants are folded as they are met, so a chain of names costs one step each
-        value = []
-        for a, b, ref in parts:
-            known = None if ref is None else given.get(ref, first.get(ref) if ref != name else None)
-            if known is None:
-                value.append((a, b, ref))
-            else:
-                value += [p for p in known if p[2] is None][:64]
-        literals = [(a, b) for a, b, ref in value if ref is None]
+    for k, (name, _, _) in enumerate(pairs):
         weight = name_score(name)
-        if weight:
-            joined = "".join(text[a:b] for a, b in literals)
-            if literals and weight * literal_score(joined) >= least:
-                found.update(literals)
-            for a, b, ref in value:
-                # configuration files leave literals unquoted: a word that names nothing is one if it has a digit
-                if ref is not None and any(c.isdigit() for c in ref) and weight * literal_score(ref) >= least:
-                    found.add((a, b))
-        if lasting:
-            given[name] = value
+        if not weight:
+            continue
+        value = _leaves(k, parts, ends)
+        literals = [(a, b) for a, b, ref in value if ref is None]
+        if literals and weight * literal_score("".join(text[a:b] for a, b in literals)) >= least:
+            found.update(literals)
+        for a, b, ref in value:
+            # configuration files leave literals unquoted: a word that names nothing is one if it has a digit
+            if ref is not None and any(c.isdigit() for c in ref) and weight * literal_score(ref) >= least:
+                found.add((a, b))
     return [(a, b, "named") for a, b in found if b > a]
 
 

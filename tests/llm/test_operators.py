@@ -229,6 +229,19 @@ def test_forms_of_assignment(text):
     assert "".join(text[a:b] for a, b, _ in got) in ("Tr0ub4dor&3x!", "dor&3x!Tr0ub4")
 
 
+def test_names_are_followed_to_the_end():
+    named = lambda t: [t[a:b] for a, b, k in secrets.spans(t) if k == "named"]
+    pieces = [f"{chr(65 + i % 26)}{i:02d}" for i in range(70)]
+    assert named("p = " + " + ".join(f'"{x}"' for x in pieces) + "\nauth_key = p") == pieces
+    assert named('auth_key = a; a = b; b = "qW8rT5yU"') == ["qW8rT5yU"]
+    assert named("k = Zx81kQp02mAAz\nj = k\nauth_key = j") == ["Zx81kQp02mAAz"]
+    chain = "auth_key = n0\n" + "".join(f"n{i} = n{i + 1}\n" for i in range(3000)) + 'n3000 = "qW8rT5yU"'
+    assert named(chain) == ["qW8rT5yU"]
+    assert named('a = "Zk9aLq"\nauth_key = a + a') == ["Zk9aLq"]
+    doubled = 'n0 = "qW8rT5yU"\n' + "".join(f"n{i + 1} = n{i} + n{i}\n" for i in range(60)) + 'n61 = n60 + "Lq8xPP01"\nauth_key = n61'
+    assert named(doubled) == ["qW8rT5yU", "Lq8xPP01"]
+
+
 @pytest.mark.parametrize("text,found", [
     ("auth_key = Zx81kQ=p02mAAz", ["Zx81kQ=p02mAAz"]), ("auth_key = Zx81kQp02mAAz: note", ["Zx81kQp02mAAz"]),
     ("auth_key: Zx81kQp02mAAz==", ["Zx81kQp02mAAz=="]), ("auth_key = a == b", []), ('title: str = "Zx81kQp02mAAz"', []),
