@@ -1,10 +1,11 @@
-"""Exact Jaccard join of documents' word shingles by prefix index lists, with set-relation skipping.
+"""Exact components of the Jaccard join of documents' word shingles by prefix index lists, with connectivity skipping.
 
 Two relations between sets save work. Inside an index list, entries lie in blocks by size and carry their position;
-whole blocks, and entries too far back to leave the overlap a link needs, are skipped. And a set's answers come from
-those of similar sets: each round compares the sets of a list with a few of its members, and sets that are then known
-to be connected are not compared again, so a list of n near copies costs n comparisons and not n squared. The last
-round compares all that is left, so no link between components is lost.
+whole blocks are skipped by size, and joined entries too far back to leave the overlap a link needs are left out. And
+connectivity takes the place of answers derived from a similar set's: each round compares the sets of a list with a few
+of its members, and sets that are then known to be connected are not compared again, so a list of n near copies costs n
+comparisons and not n squared. The last round compares all that is left, so no link between components is lost; links
+inside a component are not all established, and no pairs are returned.
 """
 
 from __future__ import annotations
