@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexicue.llm import fingerprints, jaccard, langid, mixing, packing, quality, scoring, secrets, shards, warc
+from lexicue.llm import (
+    bpe, fingerprints, jaccard, langid, lexical, mixing, negatives, packing, quality, scoring, secrets, shards, warc,
+)
 from lexicue.llm.common import id_crc, read
 
 #: name -> (function of the session and the folder, SQL that gives the same rows or None)
@@ -95,3 +97,25 @@ FROM documents d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY A
 @job("op9_set_relation_join", LINKS)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.duplicates(read(spark, folder, "documents", "doc_id", "text")).drop("_key")
+
+
+@job("op12_lexical_search", lexical.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(read(spark, folder, "documents", "doc_id", "text"), read(spark, folder, "benchmark", "item_id", "text"))
+
+
+@job("op13_byte_pair_round_trip")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path()
+    coded = bpe.decode(bpe.encode(read(spark, folder, "documents", "doc_id", "text"), path), path)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@job("op11_strassen_hard_negatives", negatives.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    noise = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors, F.col("id") % 50 == 0, noise=noise)
