@@ -11,10 +11,10 @@ from tests.conftest import SMALL
 
 
 def test_one_query_of_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in JOBS) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in JOBS) == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", sorted(JOBS))
+@pytest.mark.parametrize("name", sorted(n for n in JOBS if not n.startswith(("op11_", "op12_"))))
 def test_a_row_for_every_row(spark, name):
     rows = JOBS[name][0](spark, SMALL)
     table, key = ("pages", "page_id") if name.startswith("op4_") else ("documents", "doc_id")
