@@ -1,8 +1,8 @@
 """Frame sequences to timed segments: exact and fuzzy collapse, flicker merge, near-duplicate removal.
 
 Fuzzy rules compare with the first text of the open segment or with the last kept row. Similarity is not
-transitive, so they need an ordered fold. Before folding, each key is cut wherever the state is certain to
-be reset, and runs of equal text, which always share one decision, are merged.
+transitive, so they need an ordered fold; long keys are folded in chunks. Runs of equal text, which always share one
+decision, are merged before.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexicue import constants as K
-from lexicue.functions import text as T
-from lexicue.operators.folds import Fold, ordered_fold
+from lexicue.operators.folds import Fold, split_fold
 from lexicue.operators.scans import Look, islands, scan
 
 
+#: Runs of equal text in one chunk of the fuzzy fold.
+RUNS = 50_000
+
+
 def exact_collapse(
     frames: DataFrame,
     keys: list[str],
@@ -116,47 +119,31 @@ def similar(a: str, b: str) -> bool:
 
 
 class FuzzyFold(Fold):
-    """Open segment plus the start of the current empty stretch."""
-
-    def __init__(self, interval: int, tolerance: int):
-        self.interval, self.tolerance = interval, tolerance
-        self.seg, self.empty_since = None, None
-
-    def push(self, row):
-        done = []
-        if not row["match_text"]:
-            if self.seg is not None:
-                if self.empty_since is None:
-                    self.empty_since = row["first_ms"]
-                if (
-                    row["last_ms"] > self.empty_since
-                    and row["last_ms"] - self.empty_since + self.interval > self.tolerance
-                ):
-                    done.append(self.seg)
-                    self.seg = None
-            return done
-        end = row["last_ms"] + self.interval
-        if self.seg is not None and similar(row["match_text"], self.seg["match_text"]):
-            self.seg.update(end_ms=end, last_frame=row["last_frame"])
-        else:
-            done.extend(self.close())
-            self.seg = {k: row[k] for k in self.keys_of(row)} | {
-                "start_ms": row["first_ms"],
-                "end_ms": end,
-                "match_text": row["match_text"],
-                "last_frame": row["last_frame"],
-            }
-        self.empty_since = None
-        return done
-
-    @staticmethod
-    def keys_of(row):
-        return [k for k in row if k not in ("first_ms", "last_ms", "last_frame", "match_text", "part", "run")]
-
-    def close(self):
-        out = [self.seg] if self.seg is not None else []
-        self.seg = None
-        return out
+    """State: the open segment, or None, and the start of the empty stretch after it, or None."""
+
+    def __init__(self, keys: list[str], interval: int, tolerance: int):
+        self.keys, self.interval, self.tolerance = keys, interval, tolerance
+
+    def step(self, state, row):
+        seg, empty_since = state or (None, None)
+        text, first, last = row["match_text"], row["first_ms"], row["last_ms"]
+        if not text:
+            if seg is None:
+                return state, []
+            since = first if empty_since is None else empty_since
+            if last > since and last - since + self.interval > self.tolerance:
+                return None, [seg]
+            return (seg, since), []
+        end = last + self.interval
+        if seg is not None and similar(text, seg["match_text"]):
+            return (seg | {"end_ms": end, "last_frame": row["last_frame"]}, None), []
+        fresh = {k: row[k] for k in self.keys} | {
+            "start_ms": first, "end_ms": end, "match_text": text, "last_frame": row["last_frame"],
+        }
+        return (fresh, None), [] if seg is None else [seg]
+
+    def close(self, state):
+        return [state[0]] if state and state[0] is not None else []
 
 
 def fuzzy_collapse(
@@ -185,55 +172,27 @@ def fuzzy_collapse(
         F.max_by(frame_id, F.struct(at, frame_id)).alias("last_frame"),
         F.first(text).alias("match_text"),
     )
-    # A stretch of empty frames longer than the tolerance closes any open segment: cut the key there.
-    long_gap = (
-        (F.col("match_text") == "")
-        & (F.col("last_ms") > F.col("first_ms"))
-        & (F.col("last_ms") - F.col("first_ms") + interval > tolerance)
-    )
-    run_chunk = F.floor(F.col("run") / 100_000) if chunk is not None else None
-    parts = scan(
-        stretch, keys, ["run"], [Look("part", F.when(long_gap, F.lit(1)).otherwise(0).cast("bigint"), "sum")], run_chunk
-    ).filter(~long_gap)
     types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
         f", start_ms bigint, end_ms bigint, match_text string, last_frame {types[frame_id]}"
     )
-    folded = ordered_fold(
-        parts.select(*keys, "part", "run", "first_ms", "last_ms", "last_frame", "match_text"),
-        [*keys, "part"],
-        ["run"],
-        lambda: FuzzyFold(interval, tolerance),
-        schema,
-    )
+    run_chunk = F.floor(F.col("run") / RUNS) if chunk is not None else None
+    folded = split_fold(stretch, keys, ["run"], FuzzyFold(keys, interval, tolerance), schema, run_chunk)
     return folded.filter(F.col("end_ms") - F.col("start_ms") >= min_duration)
 
 
 class _FlickerFold(Fold):
-    """Last captioned segment; plain segments pass through untouched."""
+    """State: the last captioned segment; plain segments pass through untouched."""
 
-    def __init__(self):
-        self.last = None
-
-    def push(self, row):
-        row.pop("part", None)
+    def step(self, state, row):
         if not row["low_text"]:
-            return [row]
-        if self.last is not None:
-            close = row["start_ms"] - self.last["end_ms"] <= K.FLICKER_MS
-            if close and similar(row["low_text"], self.last["low_text"]):
-                self.last.update(
-                    end_ms=row["end_ms"], last_frame=row["last_frame"], low_text=row["low_text"]
-                )
-                return []
-        done = [self.last] if self.last is not None else []
-        self.last = row
-        return done
-
-    def close(self):
-        out = [self.last] if self.last is not None else []
-        self.last = None
-        return out
+            return state, [row]
+        if state is not None and row["start_ms"] - state["end_ms"] <= K.FLICKER_MS and similar(row["low_text"], state["low_text"]):
+            return state | {c: row[c] for c in ("end_ms", "last_frame", "low_text")}, []
+        return row, [] if state is None else [state]
+
+    def close(self, state):
+        return [] if state is None else [state]
 
 
 def flicker_merge(
@@ -244,41 +203,30 @@ def flicker_merge(
     Needs ``start_ms``, ``end_ms``, ``low_text`` (empty when the segment shows no caption) and
     ``last_frame``; other columns stay with the segment that is kept.
     """
-    captioned = F.when(F.col("low_text") != "", F.col("end_ms"))
-    order = ["start_ms", "end_ms", "last_frame"]  # equal starts have one order
-    cut = scan(segments, keys, order, [Look("__last_end", captioned, "max", inclusive=False)], chunk)
-    # Ends only grow, so a caption starting later than this after every earlier end cannot be merged.
-    fresh = (F.col("low_text") != "") & (
-        F.col("__last_end").isNull() | (F.col("start_ms") - F.col("__last_end") > K.FLICKER_MS)
-    )
-    parts = scan(
-        cut.withColumn("__fresh", F.when(fresh, F.lit(1)).otherwise(0).cast("bigint")),
-        keys, order, [Look("part", F.col("__fresh"), "sum")], chunk,
-    ).drop("__last_end", "__fresh")
-    return ordered_fold(parts, [*keys, "part"], order, _FlickerFold, segments.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+    # equal starts have one order
+    return split_fold(segments, keys, ["start_ms", "end_ms", "last_frame"], _FlickerFold(), ddl(segments), chunk)
 
 
 class _NearDuplicateFold(Fold):
-    def __init__(self, threshold):
-        self.threshold, self.kept = threshold, None
-
-    def push(self, row):
-        row.pop("part", None)
-        letters = set(row["text"].strip())
-        if self.kept is not None:
-            union = len(letters | self.letters)
-            same = letters and self.letters and len(letters & self.letters) / union >= self.threshold
-            if same:
-                self.kept["end_ms"] = max(self.kept["end_ms"], row["end_ms"])
-                return []
-        done = self.close()
-        self.kept, self.letters = row, letters
-        return done
-
-    def close(self):
-        out = [self.kept] if self.kept is not None else []
-        self.kept = None
-        return out
+    """State: the last kept row and its letters."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def step(self, state, row):
+        letters = frozenset(row["text"].strip())
+        if state is not None:
+            kept, known = state[0], frozenset(state[1])
+            if letters and known and len(letters & known) / len(letters | known) >= self.threshold:
+                return state if row["end_ms"] <= kept["end_ms"] else (kept | {"end_ms": row["end_ms"]}, state[1]), []
+        return (row, "".join(sorted(letters))), [] if state is None else [state[0]]
+
+    def close(self, state):
+        return [] if state is None else [state[0]]
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def drop_near_duplicates(
@@ -286,17 +234,6 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """Drop a row whose characters nearly equal those of the last kept row, extending that row's end.
 
-    Jaccard distance is a metric. A row merged into the kept one lies within ``1 - threshold`` of it, so a
-    row further than twice that from its predecessor is kept whatever the state: keys are cut there.
-    Needs ``text`` and ``end_ms``.
+    Needs ``text`` and ``end_ms``. ``chunk`` never falls along ``order``.
     """
-    reach = 2 * (1 - threshold)
-    sets = rows.withColumn("__set", T.char_set(F.col("text")))
-    parts = islands(
-        sets, keys, order, ["__set"],
-        lambda p, c: 1 - T.set_jaccard(p["__set"], c["__set"]) > reach + 1e-9, chunk, "part",
-    ).drop("__set")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return ordered_fold(
-        parts, [*keys, "part"], order, lambda: _NearDuplicateFold(threshold), schema
-    )
+    return split_fold(rows, keys, order, _NearDuplicateFold(threshold), ddl(rows), chunk)

@@ -140,29 +140,29 @@ class SegmentBuilder(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(self.waiting.get(), key=lambda r: r[0]) if self.waiting.exists() else []
         due, later = [r for r in waiting if r[0] < passed], [r for r in waiting if r[0] >= passed]
-        fold = FuzzyFold(self.interval, self.tolerance)
+        fold, state, done = FuzzyFold(["video"], self.interval, self.tolerance), None, []
         if self.open.exists():
-            start, end, text, frame, fold.empty_since = self.open.get()
-            if text is not None:
-                fold.seg = {"video": key[0], "start_ms": start, "end_ms": end, "match_text": text, "last_frame": frame}
-        done = []
+            start, end, text, frame, since = self.open.get()
+            state = {"video": key[0], "start_ms": start, "end_ms": end, "match_text": text, "last_frame": frame}, since
         for at, text in due:
-            done += fold.push({"video": key[0], "first_ms": at, "last_ms": at, "last_frame": at, "match_text": text or ""})
-        if fold.seg is not None:
+            state, closed = fold.step(state, {"video": key[0], "first_ms": at, "last_ms": at, "last_frame": at, "match_text": text or ""})
+            done += closed
+        if state is not None:
             # nothing older than the watermark can come, so silence up to it is certain
-            silent = fold.seg["end_ms"] + self.tolerance + 1
+            silent = state[0]["end_ms"] + self.tolerance + 1
             if silent <= passed:
-                done += fold.close()
+                done += fold.close(state)
+                state = None
             else:
                 self.handle.registerTimer(max(silent, passed + 1))
         if later:
             self.waiting.put(later)
         else:
             self.waiting.clear()
-        if fold.seg is None:
+        if state is None:
             self.open.clear()
         else:
-            self.open.update((*(fold.seg[k] for k in ("start_ms", "end_ms", "match_text", "last_frame")), fold.empty_since))
+            self.open.update((*(state[0][k] for k in ("start_ms", "end_ms", "match_text", "last_frame")), state[1]))
         yield self._table(done)
 
     @staticmethod
