@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexicue.functions import geometry as G
 from lexicue.operators import collapse as C
 from lexicue.operators.scans import Look, chunk_of, scan, row_numbers
 from lexicue.plans import standins as S
@@ -139,7 +140,7 @@ def fuzzy_collapse(spark, folder):
 
 
 @job("flicker_merge", f"""WITH RECURSIVE {FUZZY},
-lowed AS (SELECT *, CASE WHEN length(match_text) % 3 <> 0 THEN match_text ELSE '' END AS low_text FROM fuzzy),
+lowed AS (SELECT fuzzy.*, CASE WHEN length(tf.text) % 3 <> 0 THEN tf.text ELSE '' END AS low_text FROM fuzzy JOIN tf ON tf.video = fuzzy.video AND frame_id = last_frame),
 c AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start_ms) AS rn FROM lowed WHERE low_text <> ''),
 m AS (SELECT video, rn, rn AS grp, end_ms, low_text, last_frame FROM c WHERE rn = 1
  UNION ALL SELECT c.video, c.rn, CASE WHEN c.start_ms - m.end_ms <= 1500 AND {SIMILAR.format(a='c.low_text', b='m.low_text')} THEN m.grp ELSE c.rn END, c.end_ms, c.low_text, c.last_frame
@@ -148,11 +149,16 @@ g AS (SELECT video, grp, arg_max(end_ms, rn) AS end_ms, arg_max(low_text, rn) AS
 SELECT g.video, c.start_ms, g.end_ms, c.match_text, g.last_frame, g.low_text FROM g JOIN c ON c.video = g.video AND c.rn = g.grp
 UNION ALL SELECT video, start_ms, end_ms, match_text, last_frame, low_text FROM lowed WHERE low_text = ''""")
 def flicker_merge(spark, folder):
-    segs = C.fuzzy_collapse(
-        _turn_frames(spark, folder), ["video"], "ts_ms", "text", "frame_id", 100, 500, 100, chunk_of(F.col("ts_ms"), S.HOUR)
-    )
-    low = segs.withColumn("low_text", F.when(F.length("match_text") % 3 != 0, F.col("match_text")).otherwise(""))
-    return C.flicker_merge(low, ["video"], chunk_of(F.col("start_ms"), S.HOUR))
+    """Segments whose last frame shows the same caption are joined; what stands above the caption line does not count.
+
+    Each frame shows a heading and its text, which is a caption where its length is no multiple of three.
+    """
+    frames = _turn_frames(spark, folder)
+    segs = C.fuzzy_collapse(frames, ["video"], "ts_ms", "text", "frame_id", 100, 500, 100, chunk_of(F.col("ts_ms"), S.HOUR))
+    shown = lambda text, y: F.struct(F.struct(y.alias("y")).alias("bbox"), text.alias("text"))
+    detections = F.array(shown(F.lit("heading"), F.lit(40)), shown(F.col("text"), F.when(F.length("text") % 3 != 0, 900).otherwise(500)))
+    low = frames.select("video", F.col("frame_id").alias("last_frame"), G.lower_text(detections).alias("low_text"))
+    return C.flicker_merge(segs.join(low, ["video", "last_frame"]).select(*segs.columns, "low_text"), ["video"], chunk_of(F.col("start_ms"), S.HOUR))
 
 
 @job("near_duplicates", "WITH RECURSIVE speech AS (" + S.SQL["speech"] + """), s AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start_ms, stt_idx) AS rn,
