@@ -1,9 +1,9 @@
 """Joins on time intervals ``[start, end)``.
 
 Point lookups (covering, nearest, last ended) are scans over the union of points and interval ends:
-linear in both sides, no pairs. Joins whose result *is* pairs (overlaps, words inside a segment) use an
-equi-join on a time bucket, which Spark can hash, sort and split when skewed; a plain inequality would
-plan a nested loop.
+linear in both sides, no pairs. Spans are cut into dyadic blocks, of which even a long one needs few. Joins whose result
+*is* pairs (overlaps, words inside a segment) are equi-joins on such a block, which Spark can hash, sort and
+split when skewed; a plain inequality would plan a nested loop.
 """
 
 from __future__ import annotations
@@ -13,6 +13,37 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexicue.operators.scans import Look, asof, chunk_of, scan
 
 
+def dyadic(lo: Column, hi: Column) -> Column:
+    """The whole numbers from ``lo`` to below ``hi`` as the fewest aligned blocks: ``array<struct<level, node>>``.
+
+    A block of a level is 2^level numbers. On each level at most two blocks are not part of a larger one inside the span, one at
+    either end, so a span of n numbers has at most 2 log2(n) blocks.
+    """
+    at = lambda x, level: F.call_function("shiftright", x, level)
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    def ends(level: Column) -> Column:
+        first, last = -at(-lo.cast("bigint"), level), at(hi.cast("bigint"), level)
+        block = lambda keep, node: F.when(keep & (first < last), F.struct(level.alias("level"), node.alias("node")))
+        return F.array(block(odd(first), first), block(odd(last), last - 1))
+
+    top = F.floor(F.log2((hi - lo).cast("double"))).cast("int")
+    found = F.flatten(F.transform(F.sequence(F.lit(0), top), ends))
+    return F.when(hi > lo, F.filter(found, lambda b: b.isNotNull()))
+
+
+def levels_of(blocks: Column) -> Column:
+    """The levels that occur, as bits of a number."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(blocks, F.lit(0).cast("bigint"), lambda m, b: m.bitwiseOR(F.call_function("shiftleft", one, b["level"])))
+
+
+def blocks_with(at: Column, levels: Column) -> Column:
+    """The block of each of the ``levels`` that holds the whole number ``at``."""
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda level: F.call_function("getbit", levels, level) == 1)
+    return F.transform(wanted, lambda level: F.struct(level.alias("level"), F.call_function("shiftright", at.cast("bigint"), level).alias("node")))
+
+
 def covering(
     points: DataFrame,
     segments: DataFrame,
@@ -25,26 +56,28 @@ def covering(
     chunk_width: int | None = None,
     out: str = "segment",
 ) -> DataFrame:
-    """First listed segment that covers each point, or null. Segments must be listed by start: others stop the job.
+    """First listed segment that covers each point, or null; the list may have any order. Times are whole numbers.
 
-    A segment that ends no later than an earlier-listed one can never be first, so only segments that
-    push the running end forward matter. Their ends rise with their starts: the one with the first end
-    after the point is the answer if it has started by then.
+    The answer changes only where a segment starts or ends. It is found there, from the smallest index of each dyadic
+    block, and a scan hands it to the points: no point meets more than one row, and no segment is listed more often than
+    twice the logarithm of its length.
     """
     payload = payload or []
     live = segments.filter(F.col(end) > F.col(start))
-    chunk = chunk_of(F.col(start), chunk_width) if chunk_width else None
-    looks = [Look("__reach", F.col(end), "max", inclusive=False), Look("__listed", F.col(index), "max", inclusive=False)]
-    disorder = F.raise_error(F.lit("segments are not listed by start")).cast("boolean")
-    leading = (
-        scan(live, keys, [start, index], looks, chunk)
-        .filter(F.when(F.col("__listed") > F.col(index), disorder).otherwise(F.col("__reach").isNull() | (F.col(end) > F.col("__reach"))))
-    )
-    cols = [index, start, end, *payload]
+    spans = live.select(*keys, index, start, end, dyadic(F.col(start), F.col(end)).alias("__blocks"))
+    own = F.struct(index, start, end)
+    best = spans.select(*keys, own.alias("__own"), F.inline("__blocks")).groupBy(*keys, "level", "node").agg(F.min("__own").alias("__own"))
+    levels = spans.groupBy(*keys).agg(F.bit_or(levels_of(F.col("__blocks"))).alias("__levels"))
+    stops = live.select(*keys, F.explode(F.array(start, end)).alias("__stop")).distinct().join(levels, keys)
+    asked = stops.select(*keys, "__stop", F.inline(blocks_with(F.col("__stop"), F.col("__levels"))))
+    steps = asked.join(best, [*keys, "level", "node"], "left").groupBy(*keys, "__stop").agg(F.min("__own").alias("__own"))
+    steps = steps.select(*keys, "__stop", *[F.col("__own")[c].alias(c) for c in (index, start, end)])
+    if payload:
+        steps = steps.join(live.select(*keys, index, *payload).dropDuplicates([*keys, index]), [*keys, index], "left")
     found = asof(
-        points, leading, keys, at, end, cols, {out: ("forward", True)}, index, chunk_width, unique=True
+        points, steps, keys, at, "__stop", [index, start, end, *payload], {out: ("backward", False)}, index, chunk_width, unique=True
     )
-    return found.withColumn(out, F.when(F.col(out)[start] <= F.col(at), F.col(out)))
+    return found.withColumn(out, F.when(F.col(out)[index].isNotNull(), F.col(out)))
 
 
 def nearest(
@@ -134,8 +167,17 @@ def hold_last(
     )
 
 
-def _buckets(lo: Column, hi: Column, width: int | float) -> Column:
-    return F.sequence(F.floor(lo / width), F.floor(hi / width))
+def _coarse(x: Column, bucket: int | float) -> Column:
+    return F.floor(x / bucket).cast("bigint")
+
+
+def _met(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of a point (``__at``) and a span (``__blocks``) that share a block, each pair once."""
+    levels = spans.filter("__blocks IS NOT NULL").groupBy(*keys).agg(F.bit_or(levels_of(F.col("__blocks"))).alias("__levels"))
+    p = points.join(levels, keys)
+    p = p.select(*[c for c in points.columns if c != "__at"], F.inline(blocks_with(F.col("__at"), F.col("__levels"))))
+    s = spans.select(*[c for c in spans.columns if c != "__blocks"], F.inline("__blocks"))
+    return p.join(s, [*keys, "level", "node"]).drop("level", "node")
 
 
 def overlapping(
@@ -149,24 +191,21 @@ def overlapping(
 ) -> DataFrame:
     """Pairs whose closed spans meet within ``tolerance``.
 
-    Both sides are listed in every bucket they touch; a pair is kept only in the bucket where the later
-    of the two begins, so no duplicates arise and none have to be removed. Take ``bucket`` near the
-    usual span: much smaller lists spans too often, much larger compares too many.
+    Of two spans that meet, one holds the start of the other. A span is listed in the dyadic blocks of the buckets it touches,
+    a start in the block of each level that holds it, so a pair meets once and a long span is listed seldom.
+    ``bucket`` is the finest block, best near the usual span: spans that share one without meeting are compared.
     """
-    ls, le = left_span
-    rs, re_ = right_span
+    (ls, le), (rs, re_) = left_span, right_span
     lo, hi = F.col(rs) - tolerance, F.col(re_) + tolerance
-    l = left.filter(F.col(le) >= F.col(ls)).withColumn("__first", F.floor(F.col(ls) / bucket)).withColumn(
-        "__bucket", F.explode(_buckets(F.col(ls), F.col(le), bucket))
-    )
-    r = right.filter(F.col(re_) >= F.col(rs)).withColumn("__rfirst", F.floor(lo / bucket)).withColumn(
-        "__bucket", F.explode(_buckets(lo, hi, bucket))
-    )
-    return (
-        l.join(r, [*keys, "__bucket"])
-        .filter(F.col("__bucket") == F.greatest("__first", "__rfirst"))
-        .filter((F.col(re_) + tolerance >= F.col(ls)) & (F.col(rs) - tolerance <= F.col(le)))
-        .drop("__bucket", "__first", "__rfirst")
+    l = left.filter(F.col(le) >= F.col(ls))
+    r = right.filter(F.col(re_) >= F.col(rs))
+    l_blocks = dyadic(_coarse(F.col(ls), bucket), _coarse(F.col(le), bucket) + 1).alias("__blocks")
+    r_blocks = dyadic(_coarse(lo, bucket), _coarse(hi, bucket) + 1).alias("__blocks")
+    later_right = _met(r.select("*", _coarse(lo, bucket).alias("__at")), l.select("*", l_blocks), keys)
+    later_left = _met(l.select("*", _coarse(F.col(ls), bucket).alias("__at")), r.select("*", r_blocks), keys)
+    cols = [*keys, *[c for c in [*left.columns, *right.columns] if c not in keys]]
+    return later_right.filter((lo >= F.col(ls)) & (lo <= F.col(le))).select(*cols).unionByName(
+        later_left.filter((F.col(ls) > lo) & (F.col(ls) <= hi)).select(*cols)
     )
 
 
@@ -179,16 +218,16 @@ def contained(
     bucket: int | float,
     slack: int | float = 0,
 ) -> DataFrame:
-    """Pairs where the word lies inside the segment widened by ``slack`` on both sides."""
-    ws, we = word_span
-    ss, se = segment_span
+    """Pairs where the word lies inside the segment widened by ``slack`` on both sides.
+
+    A word looks up the dyadic blocks that hold its start; ``bucket`` is the finest one.
+    """
+    (ws, we), (ss, se) = word_span, segment_span
     lo, hi = F.col(ss) - slack, F.col(se) + slack
-    w = words.withColumn("__bucket", F.floor(F.col(ws) / bucket))
-    s = segments.filter(hi >= lo).withColumn("__bucket", F.explode(_buckets(lo, hi, bucket)))
-    return (
-        w.join(s, [*keys, "__bucket"])
-        .filter((F.col(ws) >= lo) & (F.col(we) <= hi))
-        .drop("__bucket")
+    blocks = dyadic(_coarse(lo, bucket), _coarse(hi, bucket) + 1).alias("__blocks")
+    met = _met(words.select("*", _coarse(F.col(ws), bucket).alias("__at")), segments.filter(hi >= lo).select("*", blocks), keys)
+    return met.filter((F.col(ws) >= lo) & (F.col(we) <= hi)).select(
+        *keys, *[c for c in [*words.columns, *segments.columns] if c not in keys]
     )
 
 

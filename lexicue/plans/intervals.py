@@ -23,6 +23,22 @@ def covering_segment(spark, folder):
     )
 
 
+@job(
+    "covering_any_order",
+    S.with_views("ev", "segs", "points", body="""
+, listed AS (SELECT *, CASE WHEN seg_idx % 3 = 0 THEN -1 - seg_idx ELSE seg_idx END AS place FROM segs)
+SELECT p.video, p.point_id, p.at_ms, arg_min(s.seg_idx, s.place) AS seg_idx
+FROM points p LEFT JOIN listed s ON s.video = p.video AND p.at_ms >= s.start_ms AND p.at_ms < s.end_ms
+GROUP BY ALL""").replace(")\n\n,", "),\n"),
+)
+def covering_any_order(spark, folder):
+    """The first listed cover where the list has another order than the starts: every third segment comes first, the last such before others."""
+    place = F.when(F.col("seg_idx") % 3 == 0, -1 - F.col("seg_idx")).otherwise(F.col("seg_idx"))
+    listed = S.segs(spark, folder).withColumn("place", place)
+    found = I.covering(S.points(spark, folder), listed, ["video"], "at_ms", index="place", payload=["seg_idx"], chunk_width=S.DAY)
+    return found.select("video", "point_id", "at_ms", F.col("segment.seg_idx").alias("seg_idx"))
+
+
 @job(
     "nearest_segment",
     S.with_views("ev", "segs", "points", body="""

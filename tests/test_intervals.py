@@ -63,7 +63,7 @@ def test_overlapping_has_each_pair_once(spark, bucket):
 
 
 def test_pairs_are_joined_by_bucket_not_by_nested_loop(spark):
-    left = spark.range(10).select(F.lit(1).alias("video"), F.col("id").alias("ls"), (F.col("id") + 1).alias("le"))
+    left = spark.range(10).select((F.col("id") % 2).alias("video"), F.col("id").alias("ls"), (F.col("id") + 1).alias("le"))
     right = left.withColumnsRenamed({"ls": "rs", "le": "re"})
     plan = I.overlapping(left, right, ["video"], ("ls", "le"), ("rs", "re"), 5)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -77,11 +77,37 @@ def test_time_buckets_last_listed_wins(spark):
     assert early == {0: 1, 1: 1, 2: 1, 3: 1}
 
 
-def test_covering_needs_segments_listed_by_start(spark):
-    points = spark.createDataFrame([(1, 1200)], "v bigint, at bigint")
-    segs = lambda rows: spark.createDataFrame(rows, "v bigint, seg_idx bigint, start_ms bigint, end_ms bigint")
-    for width in (None, 1000):
-        listed = segs([(1, 0, 0, 1500), (1, 1, 1000, 2000)])
-        assert I.covering(points, listed, ["v"], "at", chunk_width=width).first()["segment"]["seg_idx"] == 0
-        with pytest.raises(Exception, match="not listed by start"):
-            I.covering(points, segs([(1, 0, 1000, 2000), (1, 1, 0, 1500)]), ["v"], "at", chunk_width=width).collect()
+@pytest.mark.parametrize("lo,hi", [(0, 1), (0, 0), (5, 3), (-7, 9), (1_700_000_000_123, 1_700_604_800_123), (-1, 1), (0, 1 << 40), (3, 1 << 33)])
+def test_dyadic_blocks_are_few_and_fill_the_span(spark, lo, hi):
+    row = spark.range(1).select(I.dyadic(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint")).alias("b")).first()
+    spans = sorted((n << l, (n + 1) << l) for l, n in (tuple(x) for x in row.b or []))
+    if hi <= lo:
+        assert spans == []
+        return
+    assert spans[0][0] == lo and spans[-1][1] == hi and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert len(spans) <= max(1, 2 * (hi - lo).bit_length())
+    if hi - lo == 604_800_000:  # a week in milliseconds
+        assert len(spans) < 60
+
+
+def test_covering_answers_lists_in_any_order(spark):
+    r = random.Random(11)
+    segs = [(v, i, s, s + r.choice([1, 7, 60, 400]), f"{v}/{i}") for v in range(3) for i, s in enumerate(r.sample(range(500), 40))]
+    segs.append(segs[3])  # a repeated row
+    points = [(v, v * 1000 + i, r.randrange(-20, 950)) for v in range(4) for i in range(150)]
+    p = spark.createDataFrame(points, "video int, p int, at int")
+    s = spark.createDataFrame(segs, "video int, seg_idx int, start_ms int, end_ms int, name string")
+    for width in (None, 50):
+        got = {x.p: (x.segment.seg_idx, x.segment.name) if x.segment else None for x in I.covering(p, s, ["video"], "at", payload=["name"], chunk_width=width).collect()}
+        want = {i: min(((x[1], x[4]) for x in segs if x[0] == v and x[2] <= at < x[3]), default=None) for v, i, at in points}
+        assert got == want
+
+
+def test_spans_far_longer_than_a_bucket_meet_once(spark):
+    left = [(1, i, i * 100, i * 100 + (1_000_000 if i % 9 == 0 else 40)) for i in range(60)]
+    right = [(1, i, i * 90 - 500, i * 90 - 500 + (2_000_000 if i % 7 == 0 else 30)) for i in range(60)]
+    got = I.overlapping(
+        spark.createDataFrame(left, "video int, l int, ls long, le long"), spark.createDataFrame(right, "video int, r int, rs long, re long"),
+        ["video"], ("ls", "le"), ("rs", "re"), 50, 5)
+    want = sorted((a[1], b[1]) for a in left for b in right if b[3] + 5 >= a[2] and b[2] - 5 <= a[3])
+    assert sorted((x.l, x.r) for x in got.collect()) == want
