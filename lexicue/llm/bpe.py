@@ -13,6 +13,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import string
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
@@ -26,6 +28,10 @@ GROUP = 1 << 20
 WORDS = 400_000
 #: Stands for the end of a word inside this module; byte-level symbols never are this character.
 END = "\0"
+#: Words of up to so many symbols are merged by looking at all pairs, longer ones with a heap.
+SHORT = 64
+#: Characters that end a word and form parts of their own; the apostrophe may start a part with letters.
+MARKS = string.punctuation.replace("'", "")
 NEVER = np.iinfo(np.int64).max
 _BLANKS = re.compile("[ \n\r\t]+")
 
@@ -61,7 +67,7 @@ class Vocabulary:
             raise ValueError("every token must come from one merge of earlier tokens")
         keys = pairs[:, 0] * self.size + pairs[:, 1]
         order = np.argsort(keys)
-        self._keys, self._ranks, self._made = keys[order], order, pairs[:, 2]
+        self._keys, self._ranks, self._token_of = keys[order], order, pairs[:, 2].tolist()
         self.merge_of = dict(zip(keys.tolist(), range(n)))
         spelled = [""] * self.size
         for name, i in ids.items():
@@ -71,7 +77,7 @@ class Vocabulary:
             spelled[made] = spelled[a] + spelled[b]
         # a token that other merges would break up is never in a result, and so is not proposed
         stands = np.ones(self.size, bool)
-        stands[self._made] = ~self.broken(pairs[:, 0], pairs[:, 1], np.arange(n))
+        stands[self._token_of] = ~self.broken(pairs[:, 0], pairs[:, 1], np.arange(n))
         for a, b, made in pairs.tolist():
             stands[made] &= stands[a] & stands[b]
         self.symbols = {spelled[i]: i for i in ids.values() if self.rank[i] < 0}
@@ -81,6 +87,14 @@ class Vocabulary:
             lengths.setdefault(t[:2], set()).add(len(t))
         # by the first two characters; the last symbol of a word is two long, any other one
         self._lengths = {k: sorted(v if k[-1] == END else v | {1}, reverse=True) for k, v in lengths.items()}
+        self._tries: dict[tuple[str, int], tuple[int, ...]] = {}
+        self._longest = max(map(len, self.tokens))
+        pieces = lambda text: [p for p, _ in self._split(self._normal(text))]
+        letters = string.ascii_letters
+        #: ASCII words of letters are parts in small letters, and marks after a letter are a part of their own
+        self._plain_letters = pieces(letters) == [letters.lower()]
+        self._ends: dict[str, bool] = {}
+        self._marks = MARKS if pieces("a" + MARKS) == ["a", MARKS] == pieces("A" + MARKS) else ""
 
     def broken(self, a: np.ndarray, b: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
         """Whether a merge across the border of tokens ``a`` and ``b`` comes before both are complete.
@@ -114,11 +128,17 @@ class Vocabulary:
         whole = self.tokens.get(word)
         if whole is not None:
             return [whole]
-        out, at, last = [], 0, len(word) - 1
+        out, at, last, tokens = [], 0, len(word) - 1, self.tokens
         while at < last:
-            for k in self._lengths.get(word[at : at + 2], (1,)):
-                token = self.tokens.get(word[at : at + k])
-                if token is not None and at + k != last:  # END is no symbol by itself
+            # END is no symbol by itself, so no match may leave it alone
+            left = last - at
+            key = word[at : at + 2], min(left, self._longest)
+            tries = self._tries.get(key)
+            if tries is None:
+                tries = self._tries[key] = tuple(k for k in self._lengths.get(key[0], (1,)) if k <= left + 1 and k != left)
+            for k in tries:
+                token = tokens.get(word[at : at + k])
+                if token is not None:
                     break
             out.append(token)
             at += k
@@ -128,8 +148,20 @@ class Vocabulary:
         """The exact tokens: merges by rank, equal ones from left to right."""
         ids = [self.symbols[c] for c in word[:-2]] + [self.symbols[word[-2:]]]
         n = len(ids)
+        if n <= SHORT:
+            rank_of = self.merge_of.get
+            ranks = [rank_of(a * self.size + b, NEVER) for a, b in zip(ids, ids[1:])]
+            while ranks and (rank := min(ranks)) != NEVER:
+                i = ranks.index(rank)
+                ids[i : i + 2] = [self._token_of[rank]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank_of(ids[i - 1] * self.size + ids[i], NEVER)
+                if i < len(ranks):
+                    ranks[i] = rank_of(ids[i] * self.size + ids[i + 1], NEVER)
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        size, merge_of, made = self.size, self.merge_of, self._made
+        size, merge_of, made = self.size, self.merge_of, self._token_of
 
         def pair(i: int, j: int):
             rank = merge_of.get(ids[i] * size + ids[j])
@@ -144,7 +176,7 @@ class Vocabulary:
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = int(made[rank]), -1
+            ids[i], ids[j] = made[rank], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
@@ -180,13 +212,35 @@ class Vocabulary:
             proposed[i] = self.merge(parts[i])
         return proposed, failing
 
-    def encode(self, words: Iterable[str]) -> dict[str, bytes]:
-        """The ids of each word between blanks as little-endian unsigned 32-bit numbers."""
-        split = {w: list(self.parts(w)) for w in words}
+    def split(self, word: str) -> tuple[str, ...]:
+        """A word between blanks without the marks at its end, and these; they never share a part."""
+        stem = word.rstrip(self._marks)
+        if not stem or len(stem) == len(word) or not self._closes(stem[-1]) or (self._special and self._special.search(word)):
+            return (word,)
+        return stem, word[len(stem) :]
+
+    def _closes(self, letter: str) -> bool:
+        """Whether a mark after this character starts a part of its own, whatever comes before."""
+        closes = self._ends.get(letter)
+        if closes is None:
+            closes = letter.isalpha() and [p for p, _ in self._split(self._normal(letter + "!"))][-1] == "!"
+            self._ends[letter] = closes
+        return closes
+
+    def encode(self, words: Iterable[str], known: dict[str, bytes] | None = None) -> dict[str, bytes]:
+        """The ids of each word between blanks, and of its stem, as little-endian unsigned 32-bit numbers; ``known`` ones are left out."""
+        known = known or {}
+        cut = {w: self.split(w) for w in words}
+        fresh = {s for ss in cut.values() for s in ss if s not in known}
+        simple = self._plain_letters
+        split = {s: [s.lower() + END] if simple and s.isascii() and s.isalpha() else list(self.parts(s)) for s in fresh}
         parts = list({p for ps in split.values() for p in ps if isinstance(p, str)})
-        known = dict(zip(parts, self.tokenize(parts)[0]))
-        ids = {w: [t for p in ps for t in (known[p] if isinstance(p, str) else (p,))] for w, ps in split.items()}
-        return {w: np.array(t, "<u4").tobytes() for w, t in ids.items()}
+        tokens = dict(zip(parts, self.tokenize(parts)[0]))
+        out = {s: array("I", [t for p in ps for t in (tokens[p] if isinstance(p, str) else (p,))]).tobytes() for s, ps in split.items()}
+        for w, ss in cut.items():
+            if len(ss) == 2:
+                out[w] = b"".join(out[s] if s in out else known[s] for s in ss)
+        return out
 
     @cached_property
     def spaced(self) -> list[str]:
@@ -223,7 +277,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         todo: list[tuple[list[bytes], list[str]]] = []
 
         def finish() -> None:
-            new = vocabulary.encode({w for _, words in todo for w in words} - kept.keys())
+            new = vocabulary.encode({w for _, words in todo for w in words} - kept.keys(), kept)
             kept.update(new)
             for ids, words in todo:
                 ids.append(b"".join(map(kept.__getitem__, words)))
