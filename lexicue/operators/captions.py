@@ -1,25 +1,31 @@
 """Wide captions cut into short ones: after punctuation, at the longest pause, at a word boundary.
 
-Punctuation cuts and their times are column expressions. Only parts that are still too wide reach the
-small row-level helper, in Arrow batches.
+All cuts of a text are planned over offsets: prefix widths, ends of units and silences are arrays made once. Only texts
+that are too wide reach the row-level helper, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexicue import constants as K
+from lexicue.functions import geometry as G
 from lexicue.functions import text as T
 from lexicue.operators import intervals as I
 from lexicue.operators.staging import staged
 
-_CJK = re.compile(T.CJK)
+_WIDE = [(ord(a), ord(b)) for a, b in re.findall("(.)-(.)", K.CJK_RANGES)]
+_BLANK = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isspace()])
+_UNIT = re.compile(rf"{T.CJK}|[^ {K.CJK_RANGES}]+ ?| +")
+#: A part ends with its first mark; blanks behind it belong to none.
+_PART = re.compile(rf"[^\s{K.SPLIT_AFTER}][^{K.SPLIT_AFTER}]*[{K.SPLIT_AFTER}]?|[{K.SPLIT_AFTER}]")
 
 
 def interpolated(total: Column, at: Column, start: Column, end: Column) -> Column:
@@ -80,114 +86,164 @@ def punctuation_parts(segments: DataFrame) -> DataFrame:
     return _with_parts(segments).select(*rest, F.inline("parts"))
 
 
-def _width(text: str) -> int:
-    return sum(2 if _CJK.match(c) else 1 for c in text if not c.isspace())
+class Ruler:
+    """Offsets of one text: widths before each character, ends of units, and where ink stands. Built once, read by all cuts."""
 
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        blank = np.isin(codes, _BLANK)
+        wide = np.zeros(len(codes), bool)
+        for low, high in _WIDE:
+            wide |= (codes >= low) & (codes <= high)
+        self.before = np.concatenate(([0], np.cumsum(np.where(blank, 0, 1 + wide))))
+        self.units = np.array([m.end() for m in _UNIT.finditer(text)])
+        self.ink = np.flatnonzero(~blank)
 
-def _pause(text: str, words: list) -> int | None:
-    """Where the text goes on after its longest silence, if that is longer than a pause; the first wins ties.
+    def trimmed(self, lo: int, hi: int) -> tuple[int, int]:
+        """The span without blanks at its ends; empty where it has no ink."""
+        first, last = np.searchsorted(self.ink, (lo, hi))
+        return (int(self.ink[first]), int(self.ink[last - 1]) + 1) if first < last else (lo, lo)
 
-    The silences are one array difference. Only for the chosen one are words located: the running end of what
-    was found of the words up to it. A word that the text lacks moves nothing.
+    def fits(self, lo: int, hi: int) -> bool:
+        return self.before[hi] - self.before[lo] <= K.MAX_VISUAL_WIDTH
+
+    def line(self, lo: int, hi: int) -> int:
+        """Where a line from ``lo`` must end: after the last whole unit that fits, else after the last character."""
+        most = min(hi, int(np.searchsorted(self.before, self.before[lo] + K.MAX_VISUAL_WIDTH, "right")) - 1)
+        whole = np.searchsorted(self.units, most, "right")
+        end = int(self.units[whole - 1]) if whole else lo
+        return end if end > lo else most
+
+
+class Span(NamedTuple):
+    """A stretch of the text with its time and the way it was cut off what stands before it."""
+
+    lo: int
+    hi: int
+    start: int
+    end: int
+    cut: str
+
+    def at(self, chars: int) -> int:
+        """Time of a number of characters after the start, linear and truncated."""
+        return self.start + int(chars / (self.hi - self.lo) * (self.end - self.start))
+
+
+def _silence(text: str, span: Span, said: tuple[np.ndarray, np.ndarray, list[str]]) -> int | None:
+    """The offset after the longest silence, if that is longer than a pause; the first wins ties.
+
+    Only words up to the silence are located, each behind the one before. A word that the text lacks moves nothing.
     """
+    begins, ends, words = said
     if len(words) < 2:
         return None
-    starts, ends = (np.array([w[k] for w in words], dtype=float) for k in ("start", "end"))
-    silences = starts[1:] - ends[:-1]
-    chosen = int(silences.argmax())
-    if silences[chosen] <= K.PAUSE_S:
+    silent = begins[1:] - ends[:-1]
+    longest = int(silent.argmax())
+    if silent[longest] <= K.PAUSE_S:
         return None
 
-    def past(at: int, spoken: str) -> int:
-        _, there, rest = text[at:].partition(spoken)
-        return len(text) - len(rest) if there else at
-
-    return reduce(past, (w["word"] for w in words[: chosen + 1]), 0)
-
-
-def _fit(text: str) -> int:
-    """Characters of the longest prefix of whole units that is narrow enough, else of single characters."""
-    units = re.findall(rf"{T.CJK}|[^ {K.CJK_RANGES}]+ ?| +", text)
-    taken = 0
-    for unit in units:
-        if _width(text[: taken + len(unit)]) > K.MAX_VISUAL_WIDTH:
-            break
-        taken += len(unit)
-    if taken:
-        return taken
-    return next((i for i in range(1, len(text)) if _width(text[: i + 1]) > K.MAX_VISUAL_WIDTH), len(text))
-
-
-def _cut(text: str, start: int, end: int, words: list) -> Iterator[tuple[str, int, int]]:
-    """Cut one unpunctuated text until every piece fits; a stack keeps the pieces in order."""
-    stack = [(text.strip(), start, end, words)]
-    while stack:
-        text, start, end, words = stack.pop()
-        if not text:
-            continue
-        if _width(text) <= K.MAX_VISUAL_WIDTH:
-            yield text, start, end
-            continue
-
-        def time(chars: int) -> int:
-            return start + int(chars / max(len(text), 1) * (end - start))
-
-        at = _pause(text, words)
-        if at and 0 < at < len(text) and text[:at].strip() and text[at:].strip():
-            first, second = text[:at].strip(), text[at:].strip()
-            spans = [(first, time(0), time(len(first))), (second, time(at), time(at + len(second)))]
-            inside = [
-                [w for w in words if w["start"] >= s / 1000 - K.WORD_SLACK_S and w["end"] <= e / 1000 + K.WORD_SLACK_S]
-                for _, s, e in spans
-            ]
-            stack.extend((*span, ws) for span, ws in reversed(list(zip(spans, inside))))
-        else:
-            n = _fit(text)
-            first, second = text[:n].strip(), text[n:].strip()
-            yield first, time(0), time(len(first))
-            stack.append((second, time(len(first)), time(len(first) + len(second)), words))
-
-
-def chunk_captions(segments: DataFrame) -> DataFrame:
-    """``video, seg_idx, part_idx, cut_idx, start_ms, end_ms, text`` with every text narrow enough.
-
-    Segments: ``video, seg_idx, start_ms, end_ms, text, words``.
+    def past(at: int, word: str) -> int:
+        there = text.find(word, at, span.hi)
+        return at if there < 0 else there + len(word)
+
+    return reduce(past, words[: longest + 1], span.lo)
+
+
+def _during(start: int, end: int, said: tuple[np.ndarray, np.ndarray, list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    begins, ends, words = said
+    inside = (begins >= start / 1000 - K.WORD_SLACK_S) & (ends <= end / 1000 + K.WORD_SLACK_S)
+    return begins[inside], ends[inside], [words[i] for i in np.flatnonzero(inside)]
+
+
+def plan_cuts(text: str, start: int, end: int, said: tuple[np.ndarray, np.ndarray, list[str]]) -> list[Span]:
+    """Spans of ``text`` that are narrow enough, in order, with their times.
+
+    Silences divide a span in two, in which the words of each are looked at again. A span without one is laid out in lines
+    over the widths known from the start, so its cost is one search per line. Words are arrays of begins and
+    ends, and texts.
+    """
+    ruler, out = Ruler(text), []
+    todo = [(Span(*ruler.trimmed(0, len(text)), start, end, "whole"), said)]
+    while todo:
+        span, said = todo.pop()
+        while span.hi > span.lo:
+            if ruler.fits(span.lo, span.hi):
+                out.append(span)
+                break
+            at = _silence(text, span, said)
+            (a, b), (c, d) = ((span.lo, span.lo),) * 2 if at is None else (ruler.trimmed(span.lo, at), ruler.trimmed(at, span.hi))
+            if a < b and c < d:
+                first = Span(a, b, span.at(0), span.at(b - a), span.cut)
+                second = Span(c, d, span.at(at - span.lo), span.at(at - span.lo + d - c), "pause")
+                todo.append((second, _during(second.start, second.end, said)))
+                span, said = first, _during(first.start, first.end, said)
+                continue
+            stop = ruler.line(span.lo, span.hi)
+            (a, b), (c, d) = ruler.trimmed(span.lo, stop), ruler.trimmed(stop, span.hi)
+            n = b - a
+            out.append(Span(a, b, span.at(0), span.at(n), span.cut))
+            span = Span(c, d, span.at(n), span.at(n + d - c), "width")
+    return sorted(out)
+
+
+def caption_pieces(text: str, start: int, end: int, said: tuple[np.ndarray, np.ndarray, list[str]]) -> list[dict]:
+    """All pieces of one wide text: parts after punctuation, each planned alone.
+
+    A part's time follows from the characters of the parts before it; white space lost at the cuts does not count. ``split_at``
+    is the piece's offset in the text.
     """
-    out = ["video", "seg_idx", "part_idx", "cut_idx", "start_ms", "end_ms", "text"]
+    text = text.strip()
+    parts = [m.span() for m in _PART.finditer(text)]
+    whole = Span(0, len(text), start, end, "whole")
+    out, gone = [], 0
+    for i, (lo, hi) in enumerate(parts):
+        s, e = whole.at(gone), whole.at(gone + hi - lo)
+        gone += hi - lo
+        spans = plan_cuts(text[lo:hi], s, e, said if len(parts) == 1 else _during(s, e, said))
+        out += [
+            {"part_idx": i, "cut_idx": k, "split_at": lo + p.lo, "start_ms": p.start, "end_ms": p.end, "text": text[lo + p.lo : lo + p.hi],
+             "cut": "punctuation" if p.cut == "whole" and i else p.cut}
+            for k, p in enumerate(spans)
+        ]
+    return out
+
+
+_PIECES = "array<struct<part_idx int, cut_idx int, split_at int, start_ms bigint, end_ms bigint, text string, cut string>>"
+
+
+def chunk_captions(segments: DataFrame, width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """One row per caption that is narrow enough, with its layout.
+
+    Segments: ``video, seg_idx, start_ms, end_ms, text, words array<struct<start,end,word>>`` with the words spoken inside the
+    segment. Output: ``video, seg_idx, part_idx, cut_idx, split_at`` (offset in the segment's text), ``cut`` (``whole``,
+    ``punctuation``, ``pause`` or ``width``), ``start_ms, end_ms, text, confidence, bbox, chars``. Texts that are narrow
+    enough stay as they are and never reach Python.
+    """
+
+    @F.pandas_udf(_PIECES)
+    def pieces(text: pd.Series, start: pd.Series, end: pd.Series, begins: pd.Series, ends: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if t is None else caption_pieces(t, int(s), int(e), (np.asarray(b, float), np.asarray(d, float), list(w)))
+            for t, s, e, b, d, w in zip(text, start, end, begins, ends, words)
+        ], dtype=object)
+
     wide = T.too_wide(T.strip(F.col("text")))
-    zero = F.lit(0)
-    narrow = segments.filter(~wide).select(
-        "video", "seg_idx", zero.alias("part_idx"), zero.alias("cut_idx"), "start_ms", "end_ms", "text"
-    )
-    parts = _with_parts(segments.filter(wide)).select("video", "seg_idx", "words", "parts")
-    # a segment's words travel once, with all its wide parts
-    split = parts.select(
-        "video", "seg_idx", "words",
-        F.filter("parts", lambda p: ~T.too_wide(p["text"])).alias("ok"),
-        F.filter("parts", lambda p: T.too_wide(p["text"])).alias("wide"),
+    said = lambda field: F.when(F.col("__wide"), F.transform("words", lambda w: w[field]))
+    whole = F.array(F.struct(
+        F.lit(0).alias("part_idx"), F.lit(0).alias("cut_idx"), F.lit(0).alias("split_at"), F.col("start_ms").cast("bigint").alias("start_ms"),
+        F.col("end_ms").cast("bigint").alias("end_ms"), F.col("text").alias("text"), F.lit("whole").alias("cut"),
+    ))
+    marked = staged(segments.select("video", "seg_idx", "start_ms", "end_ms", "text", "words"), __wide=wide)
+    cut = marked.withColumn("__cut", pieces(F.when(F.col("__wide"), F.col("text")), "start_ms", "end_ms", said("start"), said("end"), said("word")))
+    rows = cut.select("video", "seg_idx", F.inline(F.coalesce("__cut", whole)))
+    box = G.caption_layout(F.col("text"), F.lit(720) if width is None else width, F.lit(1280) if height is None else height)
+    laid = staged(rows, __box=box)
+    b = F.col("__box")
+    chars = G.unit_boxes(F.col("text"), b["x"], b["y"], b["char_width"], b["height"], wide_run_stop=False)
+    return laid.select(
+        "video", "seg_idx", "part_idx", "cut_idx", "split_at", "cut", "start_ms", "end_ms", "text", F.lit(1.0).alias("confidence"),
+        F.struct(*[b[k].alias(k) for k in ("x", "y", "width", "height")]).alias("bbox"), chars.alias("chars"),
     )
-    fitting = split.select("video", "seg_idx", F.inline("ok")).withColumn("cut_idx", zero).select(*out)
-    left = split.filter(F.size("wide") > 0)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                words = list(r.words)
-                for p in r.wide:
-                    start, end = int(p["start_ms"]), int(p["end_ms"])
-                    lo, hi = start / 1000 - K.WORD_SLACK_S, end / 1000 + K.WORD_SLACK_S
-                    inside = [w for w in words if w["start"] >= lo and w["end"] <= hi]
-                    rows += [
-                        (r.video, r.seg_idx, p["part_idx"], i, s, e, t)
-                        for i, (t, s, e) in enumerate(_cut(p["text"], start, end, inside))
-                    ]
-            yield pd.DataFrame(rows, columns=out)
-
-    types = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
-    schema = f"video {types['video']}, seg_idx {types['seg_idx']}, part_idx int, cut_idx int, start_ms bigint, end_ms bigint, text string"
-    cut = left.select("video", "seg_idx", "words", "wide").mapInPandas(run, schema)
-    return narrow.unionByName(fitting).unionByName(cut)
 
 
 def longest_pause(words: DataFrame, keys: list[str], start: str, end: str, index: str, min_gap, chunk=None) -> DataFrame:

@@ -52,9 +52,57 @@ def punct_split(spark, folder):
     return Cp.punctuation_parts(_turns(spark, folder).drop("words"))
 
 
-@job("chunk_captions")
+WIDTH = "(len(regexp_extract_all({0}, '" + CJK + "')) * 2 + len(regexp_extract_all({0}, '[^\\s一-鿿㐀-䶿぀-ヿ가-힯]')))"
+BARE = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+LED = "(length({0}) - length(regexp_replace({0}, '^\\s+', '')))"
+#: Words of a list that lie in a span, both in the row.
+DURING = "list_filter({0}, lambda w: w.b >= ({1}) / 1000 - 0.05 AND w.d <= ({2}) / 1000 + 0.05)"
+AT = "(s + CAST(trunc(({0}) / n * (e - s)) AS BIGINT))"
+#: The cuts one by one: a row is a piece (``lo`` is its offset), done or still to be divided in two.
+CHUNKS = f"""
+WITH RECURSIVE t0 AS (SELECT conv_id AS video, turn AS seg_idx, text, {BARE.format('text')} AS t, turn * 60000 AS s,
+  string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS toks FROM conversations),
+t AS (SELECT * EXCLUDE toks, s + len(toks) * 360 AS e, {WIDTH.format('t')} > 36 AS wide,
+  list_transform(range(len(toks)), lambda i: {{'b': (s + i * 300 + i // 7 * 400) / 1000, 'd': (s + i * 300 + i // 7 * 400 + 250) / 1000, 'w': toks[i + 1]}}) AS words FROM t0),
+p AS (SELECT *, regexp_extract_all(t, '[^\\s。！？，、.!?,;][^。！？，、.!?,;]*[。！？，、.!?,;]?|[。！？，、.!?,;]') AS parts FROM t WHERE wide),
+p2 AS (SELECT *, unnest(parts) AS part, unnest(range(len(parts))) AS i,
+  unnest(list_transform(range(len(parts)), lambda k: coalesce(list_sum(list_transform(list_slice(parts, 1, k), lambda x: length(x))), 0))) AS gone FROM p),
+p3 AS (SELECT video, seg_idx, i, t AS whole, part AS t, length(t) AS n, s, e, gone, words, len(parts) AS k FROM p2),
+p4 AS (SELECT video, seg_idx, i, whole, t, k, words, {AT.format('gone')} AS s, {AT.format('gone + length(t)')} AS e FROM p3),
+walk AS (SELECT video, seg_idx, i, 0::BIGINT AS lo, t, s, e, CASE WHEN k > 1 THEN {DURING.format('words', 's', 'e')} ELSE words END AS words, {WIDTH.format('t')} <= 36 AS done,
+   CASE WHEN i > 0 THEN 'punctuation' ELSE 'whole' END AS cut FROM p4
+ UNION ALL SELECT video, seg_idx, i, u.lo, u.t, u.s, u.e, CASE WHEN u.cut = 'kept' OR NOT silent THEN words ELSE {DURING.format('words', 'u.s', 'u.e')} END,
+   u.done OR {WIDTH.format('u.t')} <= 36, CASE WHEN u.first THEN cut ELSE u.cut END
+ FROM (SELECT *, CASE WHEN silent THEN [{{'lo': lo, 't': a, 's': s, 'e': {AT.format('length(a)')}, 'done': false, 'cut': 'pause', 'first': true}},
+     {{'lo': lo + x + {LED.format('substr(t, x + 1)')}, 't': b, 's': {AT.format('x')}, 'e': {AT.format('x + length(b)')}, 'done': false, 'cut': 'pause', 'first': false}}]
+   ELSE [{{'lo': lo, 't': a, 's': s, 'e': {AT.format('length(a)')}, 'done': true, 'cut': 'width', 'first': true}},
+     {{'lo': lo + x + {LED.format('substr(t, x + 1)')}, 't': b, 's': {AT.format('length(a)')}, 'e': {AT.format('length(a) + length(b)')}, 'done': false, 'cut': 'width', 'first': false}}] END AS us
+  FROM (SELECT *, {BARE.format('substr(t, 1, x)')} AS a, {BARE.format('substr(t, x + 1)')} AS b FROM (SELECT *, length(t) AS n, CAST(CASE WHEN silent THEN past ELSE fit END AS BIGINT) AS x FROM
+   (SELECT *, coalesce(past > 0 AND past < length(t) AND {BARE.format('substr(t, 1, past)')} <> '' AND {BARE.format('substr(t, past + 1)')} <> '', false) AS silent,
+     CASE WHEN unit > 0 THEN unit ELSE len(list_filter(range(1, length(t) + 1), lambda c: {WIDTH.format('substr(t, 1, c)')} <= 36)) END AS fit FROM
+    (SELECT *, CASE WHEN longest > 0.3 THEN list_reduce(list_transform(list_slice(words, 1, list_position(gaps, longest)), lambda w: {{'at': 0::BIGINT, 'w': w.w}}), lambda acc, y:
+       {{'at': CAST(acc.at + CASE WHEN contains(substr(t, acc.at + 1), y.w) THEN position(y.w IN substr(t, acc.at + 1)) - 1 + length(y.w) ELSE 0 END AS BIGINT), 'w': ''}},
+       {{'at': 0::BIGINT, 'w': ''}}).at END AS past,
+      coalesce(list_sum(list_transform(list_filter(range(1, len(units) + 1), lambda c: {WIDTH.format("array_to_string(list_slice(units, 1, c), '')")} <= 36), lambda c: length(units[c]))), 0) AS unit FROM
+     (SELECT *, list_max(gaps) AS longest FROM
+      (SELECT *, list_transform(range(1, len(words)), lambda j: words[j + 1].b - words[j].d) AS gaps, regexp_extract_all(t, '{CJK}|[^ 一-鿿㐀-䶿぀-ヿ가-힯]+ ?| +') AS units FROM walk WHERE NOT done)))))))
+  , unnest(us) v(u) WHERE u.t <> ''),
+pieces AS (SELECT video, seg_idx, i, lo, t, s, e, cut FROM walk WHERE done),
+cutted AS (SELECT video, seg_idx, CAST(i AS INTEGER) AS part_idx, CAST(row_number() OVER (PARTITION BY video, seg_idx, i ORDER BY lo) - 1 AS INTEGER) AS cut_idx, cut, s AS start_ms, e AS end_ms, t AS text FROM pieces
+ UNION ALL SELECT video, seg_idx, 0, 0, 'whole', s, e, text FROM t WHERE NOT wide),
+laid AS (SELECT *, least(CAST(612 // greatest(length(text), 1) AS INTEGER), 43) AS cw, length(text) AS n FROM cutted)
+SELECT video, seg_idx, part_idx, cut_idx, cut, start_ms, end_ms, text, 1.0::DOUBLE AS confidence, CAST(floor((720 - cw * n) / 2) AS INTEGER) AS x, 1049 AS y, CAST(cw * n AS INTEGER) AS width, 64 AS height,
+ CAST(len(regexp_extract_all(text, '{CJK}|[^\\s一-鿿㐀-䶿぀-ヿ가-힯][^\\s一-鿿㐀-䶿]*')) AS INTEGER) AS n_chars FROM laid"""
+
+
+@job("chunk_captions", CHUNKS)
 def chunk_captions(spark, folder):
-    return Cp.chunk_captions(_turns(spark, folder))
+    """Every turn as a spoken segment, cut into captions with their boxes."""
+    out = Cp.chunk_captions(_turns(spark, folder))
+    return out.select(
+        "video", "seg_idx", "part_idx", "cut_idx", "cut", "start_ms", "end_ms", "text", "confidence", "bbox.x", "bbox.y", "bbox.width", "bbox.height",
+        F.size("chars").alias("n_chars"),
+    )
 
 
 @job("longest_pause", S.with_views("ev", body="""
