@@ -228,7 +228,9 @@ def chunk_captions(segments: DataFrame, width: Column | None = None, height: Col
         ], dtype=object)
 
     wide = T.too_wide(T.strip(F.col("text")))
-    said = lambda field: F.when(F.col("__wide"), F.transform("words", lambda w: w[field]))
+    # no list of words is a list of none
+    heard = F.filter("words", lambda w: w["start"].isNotNull() & w["end"].isNotNull() & w["word"].isNotNull())
+    said = lambda field: F.when(F.col("__wide"), F.transform(F.coalesce(heard, F.array().cast(segments.schema["words"].dataType)), lambda w: w[field]))
     whole = F.array(F.struct(
         F.lit(0).alias("part_idx"), F.lit(0).alias("cut_idx"), F.lit(0).alias("split_at"), F.col("start_ms").cast("bigint").alias("start_ms"),
         F.col("end_ms").cast("bigint").alias("end_ms"), F.col("text").alias("text"), F.lit("whole").alias("cut"),
