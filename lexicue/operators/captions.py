@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left, bisect_right
 from functools import reduce
+from operator import le, sub
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +24,11 @@ from lexicue.operators import intervals as I
 from lexicue.operators.staging import staged
 
 _WIDE = [(ord(a), ord(b)) for a, b in re.findall("(.)-(.)", K.CJK_RANGES)]
-_BLANK = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isspace()])
+_BLANK = [(c, c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
+#: Code points at which the width of a character changes, and the widths from each on: blanks have none.
+_STEPS = sorted([(0, 1), *((lo, w) for w, spans in ((0, _BLANK), (2, _WIDE)) for lo, _ in spans), *((hi + 1, 1) for _, hi in _BLANK + _WIDE)], key=lambda s: (s[0], -abs(s[1] - 1)))
+_STEPS = [s for i, s in enumerate(_STEPS) if not i or s[0] != _STEPS[i - 1][0]]
+_EDGES, _WIDTHS = np.array([c for c, _ in _STEPS], np.uint32), np.array([1, *(w for _, w in _STEPS)])
 _UNIT = re.compile(rf"{T.CJK}|[^ {K.CJK_RANGES}]+ ?| +")
 #: A part ends with its first mark; blanks behind it belong to none.
 _PART = re.compile(rf"[^\s{K.SPLIT_AFTER}][^{K.SPLIT_AFTER}]*[{K.SPLIT_AFTER}]?|[{K.SPLIT_AFTER}]")
@@ -87,31 +93,30 @@ def punctuation_parts(segments: DataFrame) -> DataFrame:
 
 
 class Ruler:
-    """Offsets of one text: widths before each character, ends of units, and where ink stands. Built once, read by all cuts."""
+    """Offsets of one text: widths before each character and ends of units. Built once, read by all cuts."""
 
     def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        blank = np.isin(codes, _BLANK)
-        wide = np.zeros(len(codes), bool)
-        for low, high in _WIDE:
-            wide |= (codes >= low) & (codes <= high)
-        self.before = np.concatenate(([0], np.cumsum(np.where(blank, 0, 1 + wide))))
-        self.units = np.array([m.end() for m in _UNIT.finditer(text)])
-        self.ink = np.flatnonzero(~blank)
+        widths = _WIDTHS[np.searchsorted(_EDGES, codes, "right")]
+        self.text, self.before = text, [0, *np.cumsum(widths).tolist()]
+        self.units = [m.end() for m in _UNIT.finditer(text)]
 
     def trimmed(self, lo: int, hi: int) -> tuple[int, int]:
-        """The span without blanks at its ends; empty where it has no ink."""
-        first, last = np.searchsorted(self.ink, (lo, hi))
-        return (int(self.ink[first]), int(self.ink[last - 1]) + 1) if first < last else (lo, lo)
+        """The span without blanks at its ends, which have no width; empty where there is nothing else."""
+        while lo < hi and self.before[lo + 1] == self.before[lo]:
+            lo += 1
+        while lo < hi and self.before[hi] == self.before[hi - 1]:
+            hi -= 1
+        return lo, hi
 
     def fits(self, lo: int, hi: int) -> bool:
         return self.before[hi] - self.before[lo] <= K.MAX_VISUAL_WIDTH
 
     def line(self, lo: int, hi: int) -> int:
         """Where a line from ``lo`` must end: after the last whole unit that fits, else after the last character."""
-        most = min(hi, int(np.searchsorted(self.before, self.before[lo] + K.MAX_VISUAL_WIDTH, "right")) - 1)
-        whole = np.searchsorted(self.units, most, "right")
-        end = int(self.units[whole - 1]) if whole else lo
+        most = bisect_right(self.before, self.before[lo] + K.MAX_VISUAL_WIDTH, lo, hi + 1) - 1
+        whole = bisect_right(self.units, most)
+        end = self.units[whole - 1] if whole else lo
         return end if end > lo else most
 
 
@@ -129,41 +134,50 @@ class Span(NamedTuple):
         return self.start + int(chars / (self.hi - self.lo) * (self.end - self.start))
 
 
-def _silence(text: str, span: Span, said: tuple[np.ndarray, np.ndarray, list[str]]) -> int | None:
+class Said(NamedTuple):
+    """Words with the times they begin and end, in seconds; ``sorted`` where they begin in order and none ends before it begins."""
+
+    begins: list[float]
+    ends: list[float]
+    words: list[str]
+    sorted: bool
+
+    @classmethod
+    def of(cls, begins, ends, words) -> Said:
+        begins, ends = list(begins), list(ends)
+        return cls(begins, ends, list(words), all(map(le, begins, begins[1:])) and all(map(le, begins, ends)))
+
+    def during(self, start: int, end: int) -> Said:
+        low, high = start / 1000 - K.WORD_SLACK_S, end / 1000 + K.WORD_SLACK_S
+        near = range(bisect_left(self.begins, low), bisect_right(self.begins, high)) if self.sorted else range(len(self.words))
+        inside = [i for i in near if self.begins[i] >= low and self.ends[i] <= high]
+        return Said(*([column[i] for i in inside] for column in self[:3]), self.sorted)
+
+
+def _silence(text: str, span: Span, said: Said) -> int | None:
     """The offset after the longest silence, if that is longer than a pause; the first wins ties.
 
     Only words up to the silence are located, each behind the one before. A word that the text lacks moves nothing.
     """
-    begins, ends, words = said
-    if len(words) < 2:
-        return None
-    silent = begins[1:] - ends[:-1]
-    longest = int(silent.argmax())
-    if silent[longest] <= K.PAUSE_S:
+    silent = list(map(sub, said.begins[1:], said.ends))
+    if not silent or (most := max(silent)) <= K.PAUSE_S:
         return None
+    longest = silent.index(most)
 
     def past(at: int, word: str) -> int:
         there = text.find(word, at, span.hi)
         return at if there < 0 else there + len(word)
 
-    return reduce(past, words[: longest + 1], span.lo)
-
-
-def _during(start: int, end: int, said: tuple[np.ndarray, np.ndarray, list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    begins, ends, words = said
-    inside = (begins >= start / 1000 - K.WORD_SLACK_S) & (ends <= end / 1000 + K.WORD_SLACK_S)
-    return begins[inside], ends[inside], [words[i] for i in np.flatnonzero(inside)]
+    return reduce(past, said.words[: longest + 1], span.lo)
 
 
-def plan_cuts(text: str, start: int, end: int, said: tuple[np.ndarray, np.ndarray, list[str]]) -> list[Span]:
-    """Spans of ``text`` that are narrow enough, in order, with their times.
+def plan_cuts(text: str, ruler: Ruler, span: Span, said: Said) -> list[Span]:
+    """Narrow enough spans that make up ``span`` of ``text``, in order, with their times.
 
     Silences divide a span in two, in which the words of each are looked at again. A span without one is laid out in lines
-    over the widths known from the start, so its cost is one search per line. Words are arrays of begins and
-    ends, and texts.
+    over the widths known from the start, so its cost is one search per line.
     """
-    ruler, out = Ruler(text), []
-    todo = [(Span(*ruler.trimmed(0, len(text)), start, end, "whole"), said)]
+    out, todo = [], [(span, said)]
     while todo:
         span, said = todo.pop()
         while span.hi > span.lo:
@@ -175,8 +189,8 @@ def plan_cuts(text: str, start: int, end: int, said: tuple[np.ndarray, np.ndarra
             if a < b and c < d:
                 first = Span(a, b, span.at(0), span.at(b - a), span.cut)
                 second = Span(c, d, span.at(at - span.lo), span.at(at - span.lo + d - c), "pause")
-                todo.append((second, _during(second.start, second.end, said)))
-                span, said = first, _during(first.start, first.end, said)
+                todo.append((second, said.during(second.start, second.end)))
+                span, said = first, said.during(first.start, first.end)
                 continue
             stop = ruler.line(span.lo, span.hi)
             (a, b), (c, d) = ruler.trimmed(span.lo, stop), ruler.trimmed(stop, span.hi)
@@ -186,23 +200,25 @@ def plan_cuts(text: str, start: int, end: int, said: tuple[np.ndarray, np.ndarra
     return sorted(out)
 
 
-def caption_pieces(text: str, start: int, end: int, said: tuple[np.ndarray, np.ndarray, list[str]]) -> list[dict]:
+def caption_pieces(text: str, start: int, end: int, said: Said) -> list[dict]:
     """All pieces of one wide text: parts after punctuation, each planned alone.
 
     A part's time follows from the characters of the parts before it; white space lost at the cuts does not count. ``split_at``
     is the piece's offset in the text.
     """
     text = text.strip()
+    ruler, whole = Ruler(text), Span(0, len(text), start, end, "whole")
     parts = [m.span() for m in _PART.finditer(text)]
-    whole = Span(0, len(text), start, end, "whole")
     out, gone = [], 0
     for i, (lo, hi) in enumerate(parts):
-        s, e = whole.at(gone), whole.at(gone + hi - lo)
+        part = Span(lo, hi, whole.at(gone), whole.at(gone + hi - lo), "punctuation" if i else "whole")
         gone += hi - lo
-        spans = plan_cuts(text[lo:hi], s, e, said if len(parts) == 1 else _during(s, e, said))
+        if ruler.fits(lo, hi):
+            spans = [part]
+        else:
+            spans = plan_cuts(text, ruler, part, said if len(parts) == 1 else said.during(part.start, part.end))
         out += [
-            {"part_idx": i, "cut_idx": k, "split_at": lo + p.lo, "start_ms": p.start, "end_ms": p.end, "text": text[lo + p.lo : lo + p.hi],
-             "cut": "punctuation" if p.cut == "whole" and i else p.cut}
+            {"part_idx": i, "cut_idx": k, "split_at": p.lo, "start_ms": p.start, "end_ms": p.end, "text": text[p.lo : p.hi], "cut": p.cut}
             for k, p in enumerate(spans)
         ]
     return out
@@ -223,7 +239,7 @@ def chunk_captions(segments: DataFrame, width: Column | None = None, height: Col
     @F.pandas_udf(_PIECES)
     def pieces(text: pd.Series, start: pd.Series, end: pd.Series, begins: pd.Series, ends: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([
-            None if t is None else caption_pieces(t, int(s), int(e), (np.asarray(b, float), np.asarray(d, float), list(w)))
+            None if t is None else caption_pieces(t, int(s), int(e), Said.of(b, d, w))
             for t, s, e, b, d, w in zip(text, start, end, begins, ends, words)
         ], dtype=object)
 

@@ -64,16 +64,14 @@ def covering(
     """
     payload = payload or []
     live = segments.filter(F.col(end) > F.col(start))
-    spans = live.select(*keys, index, start, end, dyadic(F.col(start), F.col(end)).alias("__blocks"))
-    own = F.struct(index, start, end)
-    best = spans.select(*keys, own.alias("__own"), F.inline("__blocks")).groupBy(*keys, "level", "node").agg(F.min("__own").alias("__own"))
+    spans = live.select(*keys, index, dyadic(F.col(start), F.col(end)).alias("__blocks"))
+    # bare numbers keep these in hash aggregates; the segment's columns follow at the end
+    best = spans.select(*keys, index, F.inline("__blocks")).groupBy(*keys, "level", "node").agg(F.min(index).alias(index))
     levels = spans.groupBy(*keys).agg(F.bit_or(levels_of(F.col("__blocks"))).alias("__levels"))
     stops = live.select(*keys, F.explode(F.array(start, end)).alias("__stop")).distinct().join(levels, keys)
     asked = stops.select(*keys, "__stop", F.inline(blocks_with(F.col("__stop"), F.col("__levels"))))
-    steps = asked.join(best, [*keys, "level", "node"], "left").groupBy(*keys, "__stop").agg(F.min("__own").alias("__own"))
-    steps = steps.select(*keys, "__stop", *[F.col("__own")[c].alias(c) for c in (index, start, end)])
-    if payload:
-        steps = steps.join(live.select(*keys, index, *payload).dropDuplicates([*keys, index]), [*keys, index], "left")
+    steps = asked.join(best, [*keys, "level", "node"], "left").groupBy(*keys, "__stop").agg(F.min(index).alias(index))
+    steps = steps.join(live.select(*keys, index, start, end, *payload).dropDuplicates([*keys, index]), [*keys, index], "left")
     found = asof(
         points, steps, keys, at, "__stop", [index, start, end, *payload], {out: ("backward", False)}, index, chunk_width, unique=True
     )

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from lexicue.operators import captions as Cp
 
-NONE = (np.zeros(0), np.zeros(0), [])
+NONE = Cp.Said.of([], [], [])
 SEGMENTS = "video string, seg_idx int, start_ms bigint, end_ms bigint, text string, words array<struct<start:double,end:double,word:string>>"
 
 
 def test_kinds_of_cuts_and_their_offsets():
     text = " first part, " + "a" * 50 + " tail words of it. 好" + "好" * 30 + "!!"
-    said = (np.array([0.0, 0.2, 9.0]), np.array([0.1, 0.3, 9.2]), ["first", "part,", "tail"])
+    said = Cp.Said.of([0.0, 0.2, 9.0], [0.1, 0.3, 9.2], ["first", "part,", "tail"])
     out = Cp.caption_pieces(text, 0, 10_000, said)
     whole = text.strip()
     assert all(whole[p["split_at"] :].startswith(p["text"]) for p in out)
@@ -27,7 +27,7 @@ def test_a_pause_divides_before_the_width_does():
     text = "one two three four five six seven eight nine ten eleven"
     words = text.split()
     begins = np.arange(len(words)) * 0.5 + np.array([0.0] * 4 + [0.6] * 7)
-    out = Cp.caption_pieces(text, 0, 7000, (begins, begins + 0.45, words))
+    out = Cp.caption_pieces(text, 0, 7000, Cp.Said.of(begins, begins + 0.45, words))
     assert [p["text"] for p in out] == ["one two three four", "five six seven eight nine ten", "eleven"][: len(out)] or out[0]["text"] == "one two three four"
     assert out[1]["cut"] == "pause" and out[1]["split_at"] == len("one two three four ")
 
@@ -54,3 +54,12 @@ def test_blank_null_and_narrow_segments(spark):
     box = wide[0].bbox
     assert (box.y, box.height) == (1049, 64) and wide[0].chars[1].x == wide[0].chars[0].x + box.width // 18
     assert Cp.chunk_captions(spark.createDataFrame([], SEGMENTS)).count() == 0
+
+
+def test_widths_of_characters_follow_the_ranges():
+    from lexicue import constants as K
+
+    for c in "a \t\u3000\u00a0\x1cé好\u4dff㐀\u4dbf\u4dc0぀ヿ\u3100가힯\ud7b0一鿿\ua000\U0001f600\x00":
+        want = 0 if c.isspace() else 2 if any(ord(a) <= ord(c) <= ord(b) for a, b in ("一鿿", "㐀\u4dbf", "぀ヿ", "가\ud7af")) else 1
+        assert Cp.Ruler(c).before == [0, want], hex(ord(c))
+    assert len(K.CJK_RANGES) == 12
