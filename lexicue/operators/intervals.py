@@ -38,6 +38,7 @@ def levels_of(blocks: Column) -> Column:
     return F.aggregate(blocks, F.lit(0).cast("bigint"), lambda m, b: m.bitwiseOR(F.call_function("shiftleft", one, b["level"])))
 
 
+# Blocks are listed by outer generators: for inner ones the optimizer adds filters that work the blocks out again.
 def blocks_with(at: Column, levels: Column) -> Column:
     """The block of each of the ``levels`` that holds the whole number ``at``."""
     wanted = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda level: F.call_function("getbit", levels, level) == 1)
@@ -66,10 +67,10 @@ def covering(
     live = segments.filter(F.col(end) > F.col(start))
     spans = live.select(*keys, index, dyadic(F.col(start), F.col(end)).alias("__blocks"))
     # bare numbers keep these in hash aggregates; the segment's columns follow at the end
-    best = spans.select(*keys, index, F.inline("__blocks")).groupBy(*keys, "level", "node").agg(F.min(index).alias(index))
+    best = spans.select(*keys, index, F.inline_outer("__blocks")).groupBy(*keys, "level", "node").agg(F.min(index).alias(index))
     levels = spans.groupBy(*keys).agg(F.bit_or(levels_of(F.col("__blocks"))).alias("__levels"))
     stops = live.select(*keys, F.explode(F.array(start, end)).alias("__stop")).distinct().join(levels, keys)
-    asked = stops.select(*keys, "__stop", F.inline(blocks_with(F.col("__stop"), F.col("__levels"))))
+    asked = stops.select(*keys, "__stop", F.inline_outer(blocks_with(F.col("__stop"), F.col("__levels"))))
     steps = asked.join(best, [*keys, "level", "node"], "left").groupBy(*keys, "__stop").agg(F.min(index).alias(index))
     steps = steps.join(live.select(*keys, index, start, end, *payload).dropDuplicates([*keys, index]), [*keys, index], "left")
     found = asof(
@@ -173,8 +174,8 @@ def _met(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of a point (``__at``) and a span (``__blocks``) that share a block, each pair once."""
     levels = spans.filter("__blocks IS NOT NULL").groupBy(*keys).agg(F.bit_or(levels_of(F.col("__blocks"))).alias("__levels"))
     p = points.join(levels, keys)
-    p = p.select(*[c for c in points.columns if c != "__at"], F.inline(blocks_with(F.col("__at"), F.col("__levels"))))
-    s = spans.select(*[c for c in spans.columns if c != "__blocks"], F.inline("__blocks"))
+    p = p.select(*[c for c in points.columns if c != "__at"], F.inline_outer(blocks_with(F.col("__at"), F.col("__levels"))))
+    s = spans.select(*[c for c in spans.columns if c != "__blocks"], F.inline_outer("__blocks"))
     return p.join(s, [*keys, "level", "node"]).drop("level", "node")
 
 
