@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexicue import constants as K
 from lexicue.functions import text as T
@@ -10,7 +13,8 @@ from lexicue.operators import intervals as I
 from lexicue.operators.scans import asof
 from lexicue.operators.staging import materialized, staged
 
-_GRAM = 4
+#: Characters of words in one automaton, and taps that meet one copy of it.
+PART, SLICE = 500_000, 20_000
 
 
 def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None) -> DataFrame:
@@ -21,8 +25,8 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
     (null when none) and ``word_start`` in the full text.
 
     A word matches where its normalized form covers the tapped position; the occurrence nearest in time
-    wins. Words are found by equality on their first characters at each possible start instead of by
-    comparing every word of the video, and the nearest occurrence by a scan over time. Where nothing
+    wins. Words are found by one pass of an automaton over the text instead of by comparing every word of the
+    video, and the nearest occurrence by a scan over time. Where nothing
     covers the position, a single tapped character takes the first word that contains it, within three
     seconds if possible.
     """
@@ -31,42 +35,9 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
     base = staged(taps, __norm=norm, __before=before).withColumn(
         "__at", F.when(F.col("__before") < F.length("__norm"), F.col("__before")).otherwise(F.col("char_index"))
     )
-    vocab = (
-        words.select("video", T.normalize_for_match(F.col("display_text")).alias("__w"))
-        .filter("__w <> ''")
-        .distinct()
-        .withColumn("__len", F.length("__w"))
-        .withColumn("__gram", F.substring("__w", 1, _GRAM))
-    )
-    longest = vocab.groupBy("video").agg(F.max("__len").alias("__longest"))
-    # only as much text as the longest word travels with a start
-    starts = base.join(longest, "video").select(
-        "tap_id", "video", "__norm", "__at", "__longest",
-        F.explode(
-            F.sequence(F.greatest(F.lit(0), F.col("__at") - F.col("__longest") + 1), F.col("__at"))
-        ).alias("__pos"),
-    ).select(
-        "tap_id", "video", "__at", "__pos", F.substring("__norm", F.col("__pos") + 1, F.col("__longest")).alias("__tail")
-    )
-    grams = starts.withColumn(
-        "__gram",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.array(*[F.lit(n) for n in range(1, _GRAM + 1)]),
-                    lambda n: F.substring(F.col("__tail"), F.lit(1), n),
-                )
-            )
-        ),
-    ).filter("__gram <> ''")
+    vocab = words.select("video", T.normalize_for_match(F.col("display_text")).alias("__w")).filter("__w <> ''").distinct()
     covering = (
-        grams.join(vocab, ["video", "__gram"])
-        .filter(
-            (F.col("__pos") + F.col("__len") > F.col("__at"))
-            & F.startswith("__tail", "__w")
-        )
-        .groupBy("tap_id", "video", "__w")
-        .agg(F.min("__pos").alias("__pos"))
+        _found_at(base.select("tap_id", "video", "__norm", "__at"), vocab)
         .join(base.select("tap_id", F.col("time_ms").alias("__time")), "tap_id")
         .withColumn("__time2", F.col("__time") * 2)
     )
@@ -112,6 +83,58 @@ def match_taps(taps: DataFrame, words: DataFrame, chunk_width: int | None = None
     return found.unionByName(_by_character(lost, words, chunk_width))
 
 
+def _found_at(taps: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(tap_id, video, __w, __pos)``: words of the tap's video that cover position ``__at`` of ``__norm``, and their first such start.
+
+    A video's words go in parts of bounded size and its taps in slices. Each (part, slice) streams through one task:
+    first the words, which become an automaton, then the taps, each read once around its position.
+    """
+    whole = lambda n, most: F.ceil(n / most).cast("int")
+    parts = vocab.groupBy("video").agg(whole(F.sum(F.length("__w")), PART).alias("__parts"))
+    slices = taps.groupBy("video").agg(whole(F.count("*"), SLICE).alias("__slices"))
+    sizes = parts.join(slices, "video")
+    w = vocab.join(sizes, "video").select(
+        "video", F.pmod(F.xxhash64("__w"), "__parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)).alias("slice"), "__w",
+    )
+    t = taps.join(sizes, "video").select(
+        "video", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("part"), F.pmod(F.xxhash64("tap_id"), "__slices").cast("int").alias("slice"),
+        F.struct("tap_id", "__norm", "__at").alias("tap"),
+    )
+    both = w.unionByName(t, allowMissingColumns=True).repartition("video", "part", "slice").sortWithinPartitions("video", "part", "slice", F.col("tap").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        here, automaton, longest = None, None, 0
+        for b in batches:
+            out: list[tuple] = []
+            for video, part, slice_, word, tap in zip(*(c.to_pylist() for c in b.columns)):
+                if (video, part, slice_) != here:
+                    here, automaton, longest = (video, part, slice_), ahocorasick.Automaton(), 0
+                if word is not None:
+                    automaton.add_word(word, word)
+                    longest = max(longest, len(word))
+                    continue
+                if automaton.kind == ahocorasick.TRIE:
+                    automaton.make_automaton()
+                if automaton.kind != ahocorasick.AHOCORASICK:
+                    continue
+                at, first = tap["__at"], {}
+                for end, found in automaton.iter(tap["__norm"], max(0, at - longest + 1), min(len(tap["__norm"]), at + longest)):
+                    start = end - len(found) + 1
+                    if start <= at <= end:
+                        first.setdefault(found, start)
+                out += [(tap["tap_id"], video, found, start) for found, start in first.items()]
+            ids, videos, found, starts = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, b.column(4).type.field("tap_id").type), pa.array(videos, b.column(0).type), pa.array(found, pa.string()), pa.array(starts, pa.int32())],
+                names=["tap_id", "video", "__w", "__pos"],
+            )
+
+    kinds = {c: taps.schema[c].dataType.simpleString() for c in ("tap_id", "video")}
+    return both.mapInArrow(run, f"tap_id {kinds['tap_id']}, video {kinds['video']}, `__w` string, `__pos` int")
+
+
 def _by_character(taps: DataFrame, words: DataFrame, chunk_width: int | None) -> DataFrame:
     # only the characters of unmatched taps are looked up
     asked = taps.select("video", "tapped").distinct()
@@ -138,59 +161,62 @@ def _by_character(taps: DataFrame, words: DataFrame, chunk_width: int | None) ->
     )
 
 
+def orbit(steps: Column) -> Column:
+    """Positions reached from 1 by following ``steps`` (the next position of each, from 1 on) while they lie inside.
+
+    Jumps of twice the length are composed from those before, and what was reached is moved by them, so that a text of n
+    positions takes log2(n) rounds over whole arrays and nothing is appended one by one.
+    """
+    n = F.size(steps)
+    rounds = F.ceil(F.log2((n + 1).cast("double"))).cast("int")
+    inside = lambda jumps, p: F.coalesce(F.get(jumps, p - 1), n + 1)  # noqa: E731  past the end all stays past the end
+    state = F.struct(steps.alias("jumps"), F.array(F.lit(1)).alias("seen"))
+    doubled = F.aggregate(
+        F.sequence(F.lit(1), rounds), state,
+        lambda a, _: F.struct(
+            F.transform(a["jumps"], lambda p: inside(a["jumps"], p)).alias("jumps"),
+            F.concat(a["seen"], F.transform(a["seen"], lambda p: inside(a["jumps"], p))).alias("seen"),
+        ),
+        lambda a: a["seen"],
+    )
+    return F.when(n > 0, F.filter(doubled, lambda p: p <= n)).otherwise(F.array().cast("array<int>"))
+
+
 def greedy_cover(texts: DataFrame, key: str, text: str, dictionary: DataFrame, word: str, reading: str) -> DataFrame:
     """Longest dictionary word at each position from left to right; unmatched characters are skipped.
 
     Windows of one to four characters meet the dictionary in an equi-join, so it is never shipped whole.
-    Which windows are used is decided inside each text. Output: key, ``readings`` (joined by blanks) and
-    ``syllables`` (``array<struct<pos, syllable>>``).
+    Which windows are used follows from the next position of each, by doubling jumps. Output: key, ``readings`` (joined by
+    blanks) and ``syllables`` (``array<struct<pos, syllable>>``). Keys are unique.
     """
-    windows = texts.select(
-        key,
-        F.explode(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))).alias("__pos"),
-        F.col(text).alias("__t"),
-    ).select(
+    at = texts.filter(F.length(text) > 0).select(key, F.explode(F.sequence(F.lit(1), F.length(text))).alias("__pos"), F.col(text).alias("__t"))
+    windows = at.select(
         key, "__pos",
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(K.DICTIONARY_MAX_CHARS), F.greatest(F.length("__t") - F.col("__pos") + 1, F.lit(1)))),
+                F.sequence(F.lit(1), F.least(F.lit(K.DICTIONARY_MAX_CHARS), F.length("__t") - F.col("__pos") + 1)),
                 lambda n: F.substring(F.col("__t"), F.col("__pos"), n),
             )
         ).alias(word),
     )
-    hits = windows.join(dictionary.select(word, reading), word)
-    longest = hits.groupBy(key, "__pos").agg(
-        F.max(F.struct(F.length(word).alias("len"), F.col(reading).alias("r"))).alias("__m")
-    )
-    per_text = longest.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("__pos").alias("pos"), F.col("__m.len").alias("len"), F.col("__m.r").alias("r")))
-        ).alias("__hits")
-    )
-    used = F.aggregate(
-        "__hits",
-        F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<pos:int,len:int,r:string>>").alias("out")),
-        lambda acc, h: F.when(
-            h["pos"] >= acc["next"],
-            F.struct((h["pos"] + h["len"]).alias("next"), F.array_append(acc["out"], h).alias("out")),
-        ).otherwise(acc),
-        lambda acc: acc["out"],
-    )
-    chosen = per_text.withColumn("__used", used)
+    # the first window of a position counts without a word too, so that every position has a row
+    known = windows.join(dictionary.select(word, reading), word, "left").filter(F.col(reading).isNotNull() | (F.length(word) == 1))
+    longest = known.groupBy(key, "__pos").agg(
+        F.max(F.struct(F.col(reading).isNotNull().alias("hit"), F.length(word).alias("len"), F.col(reading).alias("r"))).alias("__m")
+    )
+    per_text = longest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__pos").alias("pos"), F.col("__m.len").alias("len"), F.col("__m.r").alias("r")))).alias("__at"))
+    stepped = staged(per_text, __used=orbit(F.transform("__at", lambda h: h["pos"] + h["len"])))
+    chosen = staged(stepped, __hits=F.filter(F.transform("__used", lambda p: F.get("__at", p - 1)), lambda h: h["r"].isNotNull()))
     syllables = F.flatten(
         F.transform(
-            "__used",
+            "__hits",
             lambda h: F.transform(
                 F.slice(F.split(h["r"], " "), F.lit(1), h["len"]),
                 lambda s, j: F.struct((h["pos"] - 1 + j).alias("pos"), s.alias("syllable")),
             ),
         )
     )
-    out = chosen.select(
-        key,
-        F.array_join(F.transform("__used", lambda h: h["r"]), " ").alias("readings"),
-        syllables.alias("syllables"),
-    )
+    out = chosen.select(key, F.array_join(F.transform("__hits", lambda h: h["r"]), " ").alias("readings"), syllables.alias("syllables"))
     return texts.select(key).join(out, key, "left").select(
         key, F.coalesce("readings", F.lit("")).alias("readings"),
         F.coalesce("syllables", F.array().cast("array<struct<pos:int,syllable:string>>")).alias("syllables"),

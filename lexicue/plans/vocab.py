@@ -161,18 +161,24 @@ def taps(spark, folder):
         at.alias("char_index"), (F.col("turn") * 3000 + 1000).alias("time_ms"), F.substring(F.col("text"), at + 1, F.lit(1)).alias("tapped"))
 
 
-@job("tap_match", S.with_views("occ", "tap_words", "taps", body=rf"""
+#: The best word of each tap and where it starts, over ``tap_words`` and ``taps``.
+TAPPED = rf"""
 , n AS (SELECT *, regexp_replace(full_text, '{IGNORED}', '', 'g') AS norm,
    length(regexp_replace(substr(full_text, 1, char_index), '{IGNORED}', '', 'g')) AS before FROM taps),
 m AS (SELECT *, CASE WHEN before < length(norm) THEN before ELSE char_index END AS at_pos FROM n),
 w AS (SELECT *, regexp_replace(display_text, '{IGNORED}', '', 'g') AS nw FROM tap_words),
-c AS (SELECT m.tap_id, w.word_index, w.display_text, abs(2 * m.time_ms - (w.start_ms + w.end_ms)) AS dist
+c AS (SELECT m.tap_id, w.word_index, w.display_text, abs(2 * m.time_ms - (w.start_ms + w.end_ms)) AS dist,
+   list_filter(range(greatest(0, at_pos - length(w.nw) + 1), at_pos + 1), lambda p: substr(m.norm, p + 1, length(w.nw)) = w.nw)[1] AS pos
   FROM m JOIN w ON w.video = m.video AND w.nw <> '' AND
    contains(substr(m.norm, CAST(greatest(0, at_pos - length(w.nw) + 1) AS BIGINT) + 1, CAST(at_pos - greatest(0, at_pos - length(w.nw) + 1) + length(w.nw) AS BIGINT)), w.nw)),
-b AS (SELECT tap_id, arg_min(display_text, dist * 100000 + word_index) AS display_text, arg_min(word_index, dist * 100000 + word_index) AS word_index FROM c GROUP BY ALL),
+b AS (SELECT tap_id, arg_min(display_text, dist * 100000 + word_index) AS display_text, arg_min(word_index, dist * 100000 + word_index) AS word_index,
+   arg_min(pos, dist * 100000 + word_index) AS pos FROM c GROUP BY ALL),
 f AS (SELECT m.tap_id, arg_min(w.display_text, CASE WHEN m.time_ms >= w.start_ms - 3000 AND m.time_ms < w.end_ms + 3000 THEN 0 ELSE 10000000 END + w.word_index) AS display_text,
     arg_min(w.word_index, CASE WHEN m.time_ms >= w.start_ms - 3000 AND m.time_ms < w.end_ms + 3000 THEN 0 ELSE 10000000 END + w.word_index) AS word_index
-  FROM m JOIN w ON w.video = m.video AND contains(w.display_text, m.tapped) WHERE m.tap_id NOT IN (SELECT tap_id FROM b) GROUP BY ALL)
+  FROM m JOIN w ON w.video = m.video AND contains(w.display_text, m.tapped) WHERE m.tap_id NOT IN (SELECT tap_id FROM b) GROUP BY ALL)"""
+
+
+@job("tap_match", S.with_views("occ", "tap_words", "taps", body=TAPPED + """
 SELECT m.tap_id, m.video, coalesce(b.display_text, f.display_text, '') AS display_text, coalesce(b.word_index, f.word_index, -1) AS word_index
 FROM m LEFT JOIN b USING (tap_id) LEFT JOIN f USING (tap_id)""").replace(")\n\n,", "),\n"))
 def tap_match(spark, folder):
@@ -189,14 +195,15 @@ SELECT word, CASE WHEN length(word) > 2 THEN array_to_string(string_split(upper(
  (SELECT DISTINCT unnest([string_split(p_name, ' ')[1], string_split(p_name, ' ')[2], lower(substr(p_type, 1, 2))]) AS word FROM part) WHERE length(word) <= 4"""
 
 
-@job("greedy_dict", """
-WITH RECURSIVE dictionary AS (""" + S.SQL["dictionary"] + """),
+GREEDY = "WITH RECURSIVE dictionary AS (" + S.SQL["dictionary"] + """),
 hits AS (SELECT id, pos, arg_max(reading, length(word)) AS reading, max(length(word)) AS len FROM
   (SELECT p_partkey AS id, p_name, unnest(range(1, length(p_name) + 1)) AS pos FROM part) t JOIN dictionary d ON substr(p_name, pos, length(word)) = word GROUP BY ALL),
 walk AS (SELECT p_partkey AS id, length(p_name) AS n, 1::BIGINT AS pos, '' AS readings FROM part
  UNION ALL SELECT w.id, n, w.pos + coalesce(h.len, 1), CASE WHEN h.reading IS NULL THEN w.readings WHEN w.readings = '' THEN h.reading ELSE w.readings || ' ' || h.reading END
- FROM walk w LEFT JOIN hits h ON h.id = w.id AND h.pos = w.pos WHERE w.pos <= n)
-SELECT id, arg_max(readings, pos) AS readings FROM walk GROUP BY ALL""")
+ FROM walk w LEFT JOIN hits h ON h.id = w.id AND h.pos = w.pos WHERE w.pos <= n)"""
+
+
+@job("greedy_dict", GREEDY + " SELECT id, arg_max(readings, pos) AS readings FROM walk GROUP BY ALL")
 def greedy_dict(spark, folder):
     """Part names covered by a dictionary of the short words and type openings that occur."""
     return _greedy(spark, folder).select("id", "readings")
@@ -209,7 +216,8 @@ def _greedy(spark, folder):
     return M.greedy_cover(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), "id", "text", dictionary, "word", "reading")
 
 
-@job("greedy_syllables")
+@job("greedy_syllables", GREEDY + """, used AS (SELECT w.id, w.pos, list_slice(string_split(h.reading, ' '), 1, h.len) AS ss FROM walk w JOIN hits h ON h.id = w.id AND h.pos = w.pos WHERE w.pos <= w.n)
+SELECT id, CAST(pos - 1 + unnest(range(len(ss))) AS INTEGER) AS pos, unnest(ss) AS syllable FROM used""")
 def greedy_syllables(spark, folder):
     return _greedy(spark, folder).select("id", F.inline("syllables"))
 
@@ -244,7 +252,15 @@ def translation_window(spark, folder):
     return pairs.groupBy("video", "seg_idx").agg(F.md5(text).alias("translation_md5"), F.count("*").alias("n"))
 
 
-@job("tap_highlight")
+S.SQL["all_words"] = S.SQL["tap_words"].split(" WHERE ")[0]
+
+
+@job("tap_highlight", S.with_views("occ", "all_words", "taps", body=TAPPED.replace("tap_words", "all_words") + rf""",
+s AS (SELECT m.tap_id, coalesce(b.display_text, f.display_text) AS shown, CAST(CASE WHEN b.tap_id IS NOT NULL THEN
+    list_filter(range(0, length(full_text)), lambda i: NOT regexp_matches(substr(full_text, i + 1, 1), '{IGNORED}'))[b.pos + 1]
+   WHEN contains(full_text, f.display_text) THEN position(f.display_text IN full_text) - 1 ELSE char_index END AS INTEGER) AS word_start
+  FROM m LEFT JOIN b USING (tap_id) LEFT JOIN f USING (tap_id))
+SELECT tap_id, word_start AS highlight_start, CAST(word_start + length(shown) AS INTEGER) AS highlight_end FROM s WHERE shown IS NOT NULL""").replace(")\n\n,", "),\n"))
 def tap_highlight(spark, folder):
     """Range of characters to highlight for each matched tap."""
     words = materialized(occ(spark, folder).select("video", "word_index", F.col("word").alias("display_text"), "start_ms", "end_ms"))

@@ -53,3 +53,34 @@ def test_greedy_cover(spark):
     out = {r.id: (r.readings, [tuple(s) for s in r.syllables]) for r in M.greedy_cover(t, "id", "text", d, "w", "r").collect()}
     assert out[1] == ("ni hao shi jie hao", [(0, "ni"), (1, "hao"), (3, "shi"), (4, "jie"), (5, "hao")])
     assert out[2] == ("", []) and out[3] == ("", [])
+
+
+def test_a_very_long_word_and_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART", 40)
+    monkeypatch.setattr(M, "SLICE", 2)
+    long = "ab" * 10_000
+    defs = words(spark, long, "ab", "bab", "zz", "a", "q" * 30, "r" * 30)
+    rows = [(i, 1, "zz" + long + "zz", c, 0, "x") for i, c in enumerate((0, 2, 3, 9000, 20_001, 20_002))] + [(9, 2, "ab", 0, 0, "a")]
+    taps = spark.createDataFrame(rows, "tap_id int, video int, full_text string, char_index int, time_ms bigint, tapped string")
+    got = {r.tap_id: (r.display_text, r.word_start) for r in M.match_taps(taps, defs).collect()}
+    assert got == {0: ("zz", 0), **{i: (long, 2) for i in (1, 2, 3, 4)}, 5: ("zz", 20_002), 9: (None, None)}
+
+
+def test_greedy_cover_of_long_texts_equals_a_loop(spark):
+    import random
+
+    r = random.Random(3)
+    d = {w: w.upper() for w in ("a", "ab", "abc", "bca", "cab", "ba")}
+    texts = [(i, "".join(r.choice("abcx") for _ in range(n))) for i, n in enumerate((0, 1, 2, 3, 4, 5, 31, 32, 33, 2000))]
+
+    def loop(text):
+        at, out = 0, []
+        while at < len(text):
+            hit = next((text[at : at + n] for n in (4, 3, 2, 1) if text[at : at + n] in d), None)
+            out += [d[hit]] if hit else []
+            at += len(hit or "x")
+        return " ".join(out)
+
+    words_ = spark.createDataFrame(list(d.items()), "w string, r string")
+    got = M.greedy_cover(spark.createDataFrame(texts, "id int, text string"), "id", "text", words_, "w", "r")
+    assert {x.id: x.readings for x in got.collect()} == {i: loop(t) for i, t in texts}
