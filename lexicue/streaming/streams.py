@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lexicue.operators import tables as Tb
 from lexicue.operators.collapse import FuzzyFold
 
+#: A card due again within ten minutes comes back in its session.
+SOON_MS = 600_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -86,33 +88,88 @@ def upsert_sink(
 
 
 # --- keyed state ----------------------------------------------------------------------------------
-class ReadyNotices(StatefulProcessor):
-    """Emit ``(id, ts_ms)`` when an item's status turns to ``ready``."""
+class InOrder(StatefulProcessor):
+    """Feeds the rows of a key in event-time order, whatever order they come in.
+
+    Rows wait until the watermark has passed them and are then sorted, so any order within the lateness gives the same
+    result. ``columns`` are those of the rows, ``ts_ms`` first; ``out`` those of the results.
+    """
+
+    columns: str
+    out: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string, ts_ms bigint")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.prepare(handle)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, seen = self.last.get() if self.last.exists() else (None, -1)
-        out = []
-        for row in pd.concat(list(rows)).sort_values("ts_ms").itertuples(index=False):
-            if row.ts_ms < seen:
-                continue
-            if row.status == "ready" and status != "ready":
-                out.append((key[0], int(row.ts_ms)))
-            status, seen = row.status, int(row.ts_ms)
-        self.last.update((status, seen))
-        yield pd.DataFrame(out, columns=["id", "ts_ms"])
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        """Declare further state."""
+
+    def take(self, key: tuple, due: list[tuple], passed: int) -> tuple[list[tuple], int | None]:
+        """Results of rows that are now in order, and the time at which to be called again without rows."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in self.columns.split(", ")]
+        for batch in rows:
+            self.waiting.appendList([tuple(r) for r in batch[names].astype(object).itertuples(index=False)])
+            self.handle.registerTimer(int(batch["ts_ms"].max()) + 1)
+        yield self._table([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in waiting if r[0] < passed], [r for r in waiting if r[0] >= passed]
+        done, again = self.take(key, due, passed)
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if again is not None:
+            self.handle.registerTimer(max(again, passed + 1))
+        yield self._table(done)
+
+    def _table(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in self.out.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def ready_notices(changes: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """Stream of ``id, status, ts_ms`` to notices."""
-    return changes.groupBy("id").transformWithStateInPandas(
-        ReadyNotices(), f"id {id_type}, ts_ms bigint", "Append", "None"
-    )
+class ReadyNotices(InOrder):
+    """Emit ``(id, ts_ms)`` when an item's status turns to ``ready``; forget items silent for longer than ``keep_ms``."""
+
+    columns = "ts_ms bigint, seq bigint, status string"
+
+    def __init__(self, id_type: str, keep_ms: int):
+        self.out, self.keep_ms = f"id {id_type}, ts_ms bigint", keep_ms
+
+    def prepare(self, handle):
+        self.last = handle.getValueState("last", "status string, ts_ms bigint")
+
+    def take(self, key, due, passed):
+        status, seen = self.last.get() if self.last.exists() else (None, None)
+        done = []
+        for at, _, now in due:
+            if seen is not None and at - seen > self.keep_ms:
+                status = None
+            if now == "ready" and status != "ready":
+                done.append((key[0], at))
+            status, seen = now, at
+        if seen is None:
+            return done, None
+        if seen + self.keep_ms < passed:
+            self.last.clear()
+            return done, None
+        self.last.update((status, seen))
+        return done, seen + self.keep_ms + 1
+
+
+def ready_notices(changes: DataFrame, ts: str, late: str = "10 minutes", keep_ms: int = 30 * 86_400_000, id_type: str = "bigint") -> DataFrame:
+    """Stream of ``id, seq, status, ts_ms`` (and the event-time column ``ts``) to notices; ``seq`` orders equal times."""
+    fold = ReadyNotices(id_type, keep_ms)
+    return changes.withWatermark(ts, late).groupBy("id").transformWithStateInPandas(fold, fold.out, "Append", "EventTime")
 
 
 class SegmentBuilder(StatefulProcessor):
@@ -167,8 +224,8 @@ class SegmentBuilder(StatefulProcessor):
 
     @staticmethod
     def _table(done: list[dict]) -> pd.DataFrame:
-        rows = [(s["video"], s["start_ms"], s["end_ms"], s["match_text"]) for s in done]
-        return pd.DataFrame(rows, columns=["video", "start_ms", "end_ms", "text"])
+        rows = [(s["video"], s["start_ms"], s["end_ms"], s["match_text"], s["last_frame"]) for s in done]
+        return pd.DataFrame(rows, columns=["video", "start_ms", "end_ms", "text", "last_ms"])
 
     def close(self) -> None:
         pass
@@ -177,43 +234,55 @@ class SegmentBuilder(StatefulProcessor):
 def build_segments(frames: DataFrame, ts: str, interval: int, tolerance: int, late: str = "1 second", video_type: str = "bigint") -> DataFrame:
     """Stream of ``video, ts_ms, text`` (and the event-time column ``ts``) to closed segments."""
     return frames.withWatermark(ts, late).groupBy("video").transformWithStateInPandas(
-        SegmentBuilder(interval, tolerance), f"video {video_type}, start_ms bigint, end_ms bigint, text string", "Append", "EventTime"
+        SegmentBuilder(interval, tolerance), f"video {video_type}, start_ms bigint, end_ms bigint, text string, last_ms bigint", "Append", "EventTime"
     )
 
 
-class ReviewSession(StatefulProcessor):
-    """Running statistics of a review session: unique cards, correct answers, streaks, cards to repeat."""
+class ReviewSession(InOrder):
+    """Statistics of each review session, given out once it has ended: no review for longer than ``idle_ms``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stats = handle.getValueState("stats", "reviewed bigint, correct bigint, streak bigint, best bigint, requeued bigint")
-        self.cards = handle.getMapState("cards", "card bigint", "n bigint")
+    Only the open session of a key is kept: unique cards, correct answers, streaks, cards to repeat soon.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        reviewed, correct, streak, best, requeued = self.stats.get() if self.stats.exists() else (0, 0, 0, 0, 0)
-        for row in pd.concat(list(rows)).sort_values(["ts_ms", "review_id"]).itertuples(index=False):
-            card = (int(row.card_id),)
-            if not self.cards.containsKey(card):
-                reviewed += 1
-                self.cards.updateValue(card, (1,))
-                requeued += int(row.due_ms - row.ts_ms < 600_000)
-            ok = row.rating >= 3
-            correct += int(ok)
-            streak = streak + 1 if ok else 0
-            best = max(best, streak)
-        self.stats.update((reviewed, correct, streak, best, requeued))
-        yield pd.DataFrame(
-            [(key[0], reviewed, correct, streak, best, requeued)],
-            columns=["session", "reviewed", "correct", "streak", "best_streak", "requeued"],
-        )
+    columns = "ts_ms bigint, review_id bigint, card_id bigint, rating bigint, due_ms bigint"
 
-    def close(self) -> None:
-        pass
+    def __init__(self, session_type: str, idle_ms: int):
+        self.idle_ms = idle_ms
+        self.out = f"session {session_type}, start_ms bigint, end_ms bigint, reviewed bigint, correct bigint, best_streak bigint, requeued bigint"
 
+    def prepare(self, handle):
+        self.stats = handle.getValueState("stats", "start bigint, seen bigint, reviewed bigint, correct bigint, streak bigint, best bigint, requeued bigint")
+        self.cards = handle.getMapState("cards", "card bigint", "n bigint")
 
-def review_sessions(reviews: DataFrame, session_type: str = "bigint") -> DataFrame:
-    """Stream of ``session, review_id, card_id, rating, ts_ms, due_ms`` to updated session statistics."""
-    return reviews.groupBy("session").transformWithStateInPandas(
-        ReviewSession(),
-        f"session {session_type}, reviewed bigint, correct bigint, streak bigint, best_streak bigint, requeued bigint",
-        "Update", "None",
-    )
+    def take(self, key, due, passed):
+        stats, done = self.stats.get() if self.stats.exists() else None, []
+
+        def end():
+            start, seen, reviewed, correct, _, best, requeued = stats
+            done.append((key[0], start, seen, reviewed, correct, best, requeued))
+            self.cards.clear()
+
+        for at, _, card, rating, due_ms in due:
+            if stats is not None and at - stats[1] > self.idle_ms:
+                end()
+                stats = None
+            start, _, reviewed, correct, streak, best, requeued = stats or (at, at, 0, 0, 0, 0, 0)
+            if not self.cards.containsKey((card,)):
+                self.cards.updateValue((card,), (1,))
+                reviewed, requeued = reviewed + 1, requeued + int(due_ms - at < SOON_MS)
+            streak = streak + 1 if rating >= 3 else 0
+            stats = start, at, reviewed, correct + int(rating >= 3), streak, max(best, streak), requeued
+        if stats is None:
+            return done, None
+        if stats[1] + self.idle_ms < passed:
+            end()
+            self.stats.clear()
+            return done, None
+        self.stats.update(stats)
+        return done, stats[1] + self.idle_ms + 1
+
+
+def review_sessions(reviews: DataFrame, ts: str, idle_ms: int, late: str = "10 minutes", session_type: str = "bigint") -> DataFrame:
+    """Stream of ``session, review_id, card_id, rating, ts_ms, due_ms`` (and the event-time column ``ts``) to ended sessions."""
+    fold = ReviewSession(session_type, idle_ms)
+    return reviews.withWatermark(ts, late).groupBy("session").transformWithStateInPandas(fold, fold.out, "Append", "EventTime")

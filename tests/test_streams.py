@@ -46,9 +46,18 @@ def test_first_views(spark, tmp_path):
     assert got.count() == ev.select("user_id", "k").distinct().count() == got.select("user_id", "k").distinct().count()
 
 
-def test_ready_notices(spark, tmp_path):
-    ev = events(spark).select(F.col("user_id").alias("id"), "ts_ms", F.when(F.col("k") < 2, "ready").otherwise("processing").alias("status"))
-    got = run(spark, ev, St.ready_notices, tmp_path, "rn")
+def shuffled(df, spread, *end):
+    """Rows with an event time, arriving up to ``spread`` ms late, and a last row that moves the watermark past all."""
+    late = df.withColumn("arrives", F.col("ts_ms") + F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
+    spark = df.sparkSession
+    last = spark.createDataFrame([end], df.schema).withColumn("arrives", F.lit(1 << 60))
+    return late.unionByName(last).withColumn("ts", F.timestamp_millis("ts_ms"))
+
+
+def test_ready_notices_in_any_order(spark, tmp_path):
+    ev = events(spark).select(F.col("user_id").alias("id"), F.col("id").alias("seq"), F.when(F.col("k") < 2, "ready").otherwise("processing").alias("status"), "ts_ms")
+    rows = shuffled(ev, 60_000, 99, 0, "processing", 1_800_000_000_000)
+    got = run(spark, rows, lambda s: St.ready_notices(s, "ts", "2 minutes"), tmp_path, "rn", order="arrives", files=6)
     want, last = [], {}
     for r in sorted(ev.collect(), key=lambda r: r.ts_ms):
         if r.status == "ready" and last.get(r.id) != "ready":
@@ -57,6 +66,29 @@ def test_ready_notices(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def stored(q):
+    """Rows of state of the last batch that ran."""
+    return sum(op["numRowsTotal"] for op in q["stateOperators"])
+
+
+def test_state_of_silent_items_goes(spark, tmp_path):
+    ev = spark.createDataFrame([(i, i, "ready", 1_700_000_000_000 + i) for i in range(50)], "id bigint, seq bigint, status string, ts_ms bigint")
+    rows = ev.unionByName(spark.createDataFrame([(99, 0, "x", 1_700_100_000_000), (99, 1, "x", 1_700_200_000_000)], ev.schema)).withColumn("ts", F.timestamp_millis("ts_ms"))
+    src = str(tmp_path / "src")
+    for low, high in ((0, 1_700_000_001_000), (1_700_000_001_000, 1_700_150_000_000), (1_700_150_000_000, 1 << 50)):
+        rows.filter((F.col("ts_ms") >= low) & (F.col("ts_ms") < high)).coalesce(1).write.mode("append").parquet(src)
+    stream = St.ready_notices(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src), "ts", "1 second", keep_ms=60_000)
+    q = stream.writeStream.format("memory").queryName("gone").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        progress = [p for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        q.stop()
+    assert spark.table("gone").count() == 50
+    most = max(map(stored, progress))
+    assert most >= 50 and stored(progress[-1]) < 10
+
+
 def test_segments_equal_the_batch_fold(spark, tmp_path):
     r = random.Random(4)
     rows, at = [], 0
@@ -74,17 +106,17 @@ def test_segments_equal_the_batch_fold(spark, tmp_path):
     assert sorted((x.start_ms, x.end_ms, x.text) for x in got.collect() if x.text != "end") == want
 
 
-def test_review_sessions(spark, tmp_path):
+def test_review_sessions_end_and_equal_the_batch(spark, tmp_path):
     ev = events(spark).select(
         F.col("user_id").alias("session"), F.col("id").alias("review_id"), F.col("k").cast("bigint").alias("card_id"),
-        (F.col("k") % 4 + 1).alias("rating"), "ts_ms", (F.col("ts_ms") + F.col("k") * 200_000).alias("due_ms"))
-    got = run(spark, ev, St.review_sessions, tmp_path, "rs", "update")
-    # the last update of a session has its final counts
-    last = {}
-    for row in got.collect():
-        last[row.session] = max(last.get(row.session, (0,) * 3), (row.reviewed, row.correct, row.best_streak))
-    want = session_stats(ev, ["session"], "card_id", ["ts_ms", "review_id"])
-    assert last == {r.session: (r.reviewed, r.correct, r.best_streak) for r in want.collect()}
+        (F.col("k") % 4 + 1).cast("bigint").alias("rating"), (F.col("ts_ms") + F.floor(F.col("id") / 40) * 3_600_000).alias("ts_ms"))
+    ev = ev.withColumn("due_ms", F.col("ts_ms") + F.col("card_id") * 200_000)
+    rows = shuffled(ev, 60_000, 99, 0, 0, 1, 1_900_000_000_000, 1_900_000_000_000)
+    got = run(spark, rows, lambda s: St.review_sessions(s, "ts", 1_800_000, "2 minutes"), tmp_path, "rs", order="arrives", files=5)
+    parts = ev.withColumn("part", F.floor(F.col("review_id") / 40))  # an hour lies between parts
+    want = session_stats(parts, ["session", "part"], "card_id", ["ts_ms", "review_id"])
+    assert sorted((r.session, r.reviewed, r.correct, r.best_streak) for r in got.collect()) == sorted((r.session, r.reviewed, r.correct, r.best_streak) for r in want.collect())
+    assert got.count() == 9
 
 
 def test_upsert_sink_replay_changes_nothing(spark, tmp_path):
