@@ -94,7 +94,7 @@ def keyframes(spark, folder):
     return out.select("label", "vec_id", "position", "is_key")
 
 
-def _turn_frames(spark, folder):
+def turn_frames(spark, folder):
     """Turns as frames 100 ms apart, one per 60 characters, numbered through the conversation.
 
     Odd frames misread a letter, every 9th shows nothing, and so does every 5th turn.
@@ -135,7 +135,7 @@ fuzzy AS (SELECT video, any_value(start_ms) AS start_ms, max(end_ms) AS end_ms,
 @job("fuzzy_collapse", f"WITH RECURSIVE {FUZZY} SELECT * FROM fuzzy")
 def fuzzy_collapse(spark, folder):
     return C.fuzzy_collapse(
-        _turn_frames(spark, folder), ["video"], "ts_ms", "text", "frame_id", 100, 500, 100, chunk_of(F.col("ts_ms"), S.HOUR)
+        turn_frames(spark, folder), ["video"], "ts_ms", "text", "frame_id", 100, 500, 100, chunk_of(F.col("ts_ms"), S.HOUR)
     )
 
 
@@ -153,7 +153,7 @@ def flicker_merge(spark, folder):
 
     Each frame shows a heading and its text, which is a caption where its length is no multiple of three.
     """
-    frames = _turn_frames(spark, folder)
+    frames = turn_frames(spark, folder)
     segs = C.fuzzy_collapse(frames, ["video"], "ts_ms", "text", "frame_id", 100, 500, 100, chunk_of(F.col("ts_ms"), S.HOUR))
     shown = lambda text, y: F.struct(F.struct(y.alias("y")).alias("bbox"), text.alias("text"))
     detections = F.array(shown(F.lit("heading"), F.lit(40)), shown(F.col("text"), F.when(F.length("text") % 3 != 0, 900).otherwise(500)))

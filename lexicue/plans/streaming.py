@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexicue.operators.scans import Look, chunk_of, scan
 from lexicue.plans import standins as S
 from lexicue.plans.registry import JOBS, job
+from lexicue.plans.sequence import turn_frames
 from lexicue.session import pin_utc, shared_dir
 from lexicue.sources.tables import table
 from lexicue.streaming import streams as St
@@ -138,3 +139,78 @@ def stream_daily_counters(spark, folder):
     d = d.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
     sink = St.upsert_sink(f"{path}/table", ["user_id", "day"], F.col("videos") + F.col("cards"), buckets=8)
     return _drained(spark, d, sink, path, "update")
+
+
+# --- keyed state over rows that arrive out of order -------------------------------------------
+#: Rows arrive up to this much after their time; the watermark waits for longer.
+SPREAD_MS, LATE = 6 * S.HOUR, "8 hours"
+SLICES = 4
+
+
+def _arriving(spark, df, path, end):
+    """A stream over files written in order of arrival, out of time order; ``end`` is a last row that lets the watermark pass all."""
+    rows = df.withColumn("__arrives", F.col("ts_ms") + F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD_MS)))
+    low, high = rows.agg(F.min("__arrives"), F.max("__arrives")).first()
+    width = (high - low) // SLICES + 1 if low is not None else 1
+    slices = rows.withColumn("__slice", F.floor((F.col("__arrives") - F.lit(low or 0)) / width))
+    for i in range(SLICES):
+        slices.filter(F.col("__slice") == i).drop("__arrives", "__slice").write.mode("append").parquet(f"{path}/source")
+    spark.createDataFrame([end], df.schema).write.mode("append").parquet(f"{path}/source")
+    files = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/source")
+    return files.withColumn("ts", F.timestamp_millis("ts_ms"))
+
+
+def _appended(spark, stream, path):
+    """Run the stream until its files are used up and read what it has appended. Keyed state needs the RocksDB store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, St.ROCKSDB)
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+
+
+#: Far after all rows.
+NEVER_MS = 4_000_000_000_000
+
+
+@job("stream_ready_changes", S.with_views("ev", body=READY).replace(")\n\n,", "),\n"))
+def stream_ready_changes(spark, folder):
+    """Notices of items that turn ready, from a stream whose rows come up to six hours out of order."""
+    path = f"{shared_dir(spark)}/ready-{uuid.uuid4().hex}"
+    status = F.when(F.col("event_type") == "purchase", "ready").otherwise("processing")
+    changes = S.ev(spark, folder).select(F.col("k").cast("bigint").alias("id"), F.col("event_id").alias("seq"), status.alias("status"), "ts_ms")
+    stream = St.ready_notices(_arriving(spark, changes, path, (-1, 0, "processing", NEVER_MS)), "ts", LATE, keep_ms=400 * S.DAY)
+    return _appended(spark, stream, path).select(F.col("id").cast("int").alias("id"), "ts_ms")
+
+
+@job("stream_review_sessions", S.with_views("ev", "reviews", body="""
+, a AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w > 43200000 THEN 1 ELSE 0 END AS flag FROM reviews WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, review_id)),
+b AS (SELECT *, sum(flag) OVER w AS session FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, review_id)),
+c AS (SELECT *, sum(CASE WHEN rating >= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, session ORDER BY ts_ms, review_id) AS run FROM b),
+s AS (SELECT user_id, session, run, count(*) FILTER (rating >= 3) AS n FROM c GROUP BY ALL),
+t AS (SELECT user_id, session, max(n) AS best_streak FROM s GROUP BY ALL)
+SELECT user_id, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(DISTINCT card_id) AS reviewed, count(*) FILTER (rating >= 3) AS correct, any_value(best_streak) AS best_streak
+FROM c JOIN t USING (user_id, session) GROUP BY user_id, session""").replace(")\n\n,", "),\n"))
+def stream_review_sessions(spark, folder):
+    """Sessions of each user, ended by twelve hours without a review."""
+    path = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    reviews = S.reviews(spark, folder).select(
+        F.col("user_id").alias("session"), "review_id", F.col("card_id").cast("bigint").alias("card_id"), F.col("rating").cast("bigint").alias("rating"),
+        "ts_ms", (F.col("ts_ms") + F.col("card_id") * 60_000).cast("bigint").alias("due_ms"))
+    stream = St.review_sessions(_arriving(spark, reviews, path, (-1, 0, 0, 1, NEVER_MS, NEVER_MS)), "ts", 12 * S.HOUR, LATE)
+    return _appended(spark, stream, path).filter("session <> -1").select(
+        F.col("session").alias("user_id"), "start_ms", "end_ms", "reviewed", "correct", "best_streak")
+
+
+@job("stream_segments", JOBS["fuzzy_collapse"].sql)
+def stream_segments(spark, folder):
+    """Frames to segments as they arrive; the fold is that of the batch job."""
+    path = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    frames = turn_frames(spark, folder).select("video", "ts_ms", "text")
+    stream = St.build_segments(_arriving(spark, frames, path, (-1, NEVER_MS, "")), "ts", 100, 500, LATE)
+    return _appended(spark, stream, path).select(
+        "video", "start_ms", "end_ms", F.col("text").alias("match_text"), F.floor(F.col("last_ms") / 100).alias("last_frame"))
