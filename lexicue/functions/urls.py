@@ -25,9 +25,13 @@ def item_id(url: Column, patterns: list[str] = ID_PATTERNS) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in patterns])
 
 
+# --- fixed values: characters that no file name has, those cut off its ends, and the name of what has none
+NOT_IN_NAMES, NOT_AT_ENDS, NO_NAME = r'[\\/:*?"<>|\n\r\t]', ". ", "video"
+
+
 def safe_file_name(name: Column, max_len: int = 50) -> Column:
-    cleaned = F.btrim(F.regexp_replace(name, r'[\\/:*?"<>|\n\r\t]', ""), F.lit(". "))
-    return F.when(cleaned != "", F.substring(cleaned, 1, max_len)).otherwise(F.lit("video"))
+    cleaned = F.btrim(F.regexp_replace(name, NOT_IN_NAMES, ""), F.lit(NOT_AT_ENDS))
+    return F.when(cleaned != "", F.substring(cleaned, 1, max_len)).otherwise(F.lit(NO_NAME))
 
 
 def sibling(url: Column, name: str) -> Column:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexicue import schemas
 from lexicue.plans import standins as S
 from lexicue.plans.registry import job
+from lexicue.session import shared_dir
 from lexicue.sinks import writers as Wr
 from lexicue.sources import subtitles as Sub
 from lexicue.sources.tables import table
 
 
 def _documents(spark, folder):
-    """Turns as stored documents: one per conversation, kind by its number."""
+    """Turns as stored documents, one file per conversation, kind by its number: the texts of the files."""
     det = F.struct(F.col("text").alias("text"), (F.col("confidence") / 100.0).alias("confidence"),
                    F.struct(F.lit(0).alias("x"), F.col("y").cast("int").alias("y"), F.length("text").alias("width"), F.lit(40).alias("height")).alias("bbox"))
     d = S.ocr_dets(spark, folder)
@@ -21,15 +24,20 @@ def _documents(spark, folder):
         "video", F.when(F.col("video") % 2 == 0, "bboxes").otherwise("transcript").alias("kind"), "seg_idx", "start_ms", "end_ms",
         F.transform("x", lambda s: s["d"]).alias("detections"))
     meta = segs.groupBy("video").agg((F.max("end_ms") + 100).alias("duration_ms"))
-    return Wr.documents(segs, meta)
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    Wr.write_documents(segs, meta, path)
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("json"), F.input_file_name().alias("path"))
+
+
+DOCUMENT = "video bigint, duration_ms bigint, segments array<struct<start_ms:bigint,end_ms:bigint,detections:array<struct<text:string>>>>"
 
 
 @job("document_rebuild", S.with_views("ocr_dets", body="""
 SELECT video, CASE WHEN video % 2 = 0 THEN 'bboxes' ELSE 'transcript' END AS kind, max(end_ms) + 100 AS duration_ms, count(DISTINCT seg_idx) AS segments,
  count(*) AS detections, md5(string_agg(text, '#' ORDER BY seg_idx, det_idx)) AS text_md5 FROM ocr_dets GROUP BY ALL"""))
 def document_rebuild(spark, folder):
-    """Rows to nested documents; the nested text is checked in document order."""
-    docs = _documents(spark, folder)
+    """Rows to documents in files; their text is checked in document order."""
+    docs = _documents(spark, folder).select(F.from_json("json", DOCUMENT).alias("d"), F.regexp_extract("path", r"_([a-z]+)\.json$", 1).alias("kind")).select("d.*", "kind")
     dets = F.flatten(F.transform("segments", lambda s: s["detections"]))
     return docs.select("video", "kind", "duration_ms", F.size("segments").cast("bigint").alias("segments"), F.size(dets).cast("bigint").alias("detections"),
                        F.md5(F.array_join(F.transform(dets, lambda d: d["text"]), "#")).alias("text_md5"))
@@ -40,10 +48,9 @@ SELECT 'video_' || video AS video, CASE WHEN video % 2 = 0 THEN 'dense' ELSE 'ba
  md5(string_agg(text, '' ORDER BY det_idx)) AS text_md5 FROM ocr_dets GROUP BY video, seg_idx, start_ms, end_ms"""))
 def document_scan(spark, folder):
     """Documents as JSON text parsed with the declared superset schema, then flattened."""
-    c = F.col
-    docs = _documents(spark, folder).select(F.to_json(F.struct("video", "duration_ms", "segments")).alias("json"),
-                                            F.concat(F.lit("s/video_"), c("video").cast("string"), F.when(c("video") % 2 == 0, "_dense.json").otherwise(".json")).alias("path"))
-    parsed = docs.select(F.from_json("json", schemas.DOCUMENT).alias("d"), *Sub.video_and_model(c("path"))).select("d.*", "file_video", "model")
+    named = F.regexp_replace(F.regexp_replace("path", r"([0-9]+)_bboxes\.json$", "video_$1_dense.json"), r"([0-9]+)_transcript\.json$", "video_$1.json")
+    docs = _documents(spark, folder).select("json", named.alias("path"))
+    parsed = docs.select(F.from_json("json", schemas.DOCUMENT).alias("d"), *Sub.video_and_model(F.col("path"))).select("d.*", "file_video", "model")
     return Sub.segments(parsed).select("video", "model", "seg_idx", "start_ms", "end_ms", F.md5("text").alias("text_md5"))
 
 
@@ -53,7 +60,10 @@ SELECT conv_id AS video, md5('WEBVTT' || chr(10) || chr(10) || string_agg(strfti
 def timed_captions(spark, folder):
     from lexicue.plans.vocab import segments
 
-    return Wr.timed_captions(segments(spark, folder)).select("video", F.md5("captions").alias("captions_md5"))
+    path = f"{shared_dir(spark)}/captions-{uuid.uuid4().hex}"
+    Wr.write_captions(segments(spark, folder).select("video", "seg_idx", "start_ms", "end_ms", "text"), path)
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.regexp_extract(F.input_file_name(), r"([0-9]+)\.vtt$", 1).cast("bigint").alias("video"), F.md5("value").alias("captions_md5"))
 
 
 @job("speech_layout", """

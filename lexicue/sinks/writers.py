@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexicue.sinks import files
+
 
 def append(rows: DataFrame, path: str, partition_by: list[str] | None = None, **defaults: Column) -> None:
     """Append rows with default columns filled in; long files are split by row count."""
@@ -14,23 +16,19 @@ def append(rows: DataFrame, path: str, partition_by: list[str] | None = None, **
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def documents(segments: DataFrame, meta: DataFrame) -> DataFrame:
-    """Flat segments (``video, kind, seg_idx, start_ms, end_ms, detections``) to one document per video and kind.
+def write_documents(segments: DataFrame, meta: DataFrame, path: str) -> None:
+    """Flat segments (``video, kind, seg_idx, start_ms, end_ms, detections``) to one JSON document per video and kind.
 
-    A document is one row by definition, so its segments meet in one group. ``meta`` has one row per video.
+    ``meta`` has one row per video. Segments stream into their file in order; a video is never held as one row.
+    Files are named ``<video>_<kind>.json``.
     """
-    nested = segments.groupBy("video", "kind").agg(
-        F.array_sort(F.collect_list(F.struct("seg_idx", "start_ms", "end_ms", "detections"))).alias("__s")
-    )
-    trimmed = F.transform(
-        "__s",
-        lambda s: F.struct(s["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms"), s["detections"].alias("detections")),
-    )
-    return nested.join(meta, "video").select("video", "kind", *[c for c in meta.columns if c != "video"], trimmed.alias("segments"))
-
-
-def write_documents(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").partitionBy("kind").json(path)
+    m = [c for c in meta.columns if c != "video"]
+    about = F.to_json(F.struct("video", *m))
+    head = F.concat(F.substring(about, F.lit(1), F.length(about) - 1), F.lit(',"segments":['))
+    rows = segments.join(meta, "video")
+    name = F.concat(F.col("video").cast("string"), F.lit("_"), F.col("kind"), F.lit(".json"))
+    text = F.to_json(F.struct("start_ms", "end_ms", "detections"))
+    files.write(rows, name, [F.col("seg_idx")], head, text, ",", "]}", path)
 
 
 def clock(ms: Column) -> Column:
@@ -42,14 +40,8 @@ def clock(ms: Column) -> Column:
     )
 
 
-def timed_captions(segments: DataFrame) -> DataFrame:
-    """One timed-caption text per video from ``video, seg_idx, start_ms, end_ms, text``."""
+def write_captions(segments: DataFrame, path: str) -> None:
+    """One timed-caption file ``<video>.vtt`` per video from ``video, seg_idx, start_ms, end_ms, text``, streamed in order."""
     cue = F.concat(clock(F.col("start_ms")), F.lit(" --> "), clock(F.col("end_ms")), F.lit("\n"), F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("start_ms", "seg_idx", cue.alias("cue"))))
-    return segments.groupBy("video").agg(
-        F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(parts, lambda p: p["cue"]), "\n\n"), F.lit("\n")).alias("captions")
-    )
-
-
-def write_captions(captions: DataFrame, path: str) -> None:
-    captions.write.mode("overwrite").partitionBy("video").text(path)
+    name = F.concat(F.col("video").cast("string"), F.lit(".vtt"))
+    files.write(segments, name, [F.col("start_ms"), F.col("seg_idx")], F.lit("WEBVTT\n\n"), cue, "\n\n", "\n", path)

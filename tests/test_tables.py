@@ -1,5 +1,7 @@
 """Table changes, documents, pricing edges."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from lexicue.operators import feed as Q
 from lexicue.operators import pricing as Pr
 from lexicue.operators import segments as Sg
 from lexicue.operators import tables as Tb
-from lexicue.sinks import writers as Wr
+from lexicue.sinks import files, writers as Wr
 from lexicue.sources import subtitles as Sub
 
 
@@ -53,16 +55,16 @@ def _docs(spark, path):
         "video string, kind string, seg_idx int, start_ms int, end_ms int, detections array<struct<text:string,confidence:double>>",
     )
     meta = spark.createDataFrame([("video_1", 5000)], "video string, duration_ms int")
-    (Wr.documents(segs, meta).drop("kind").coalesce(1).write.mode("overwrite").json(path))
+    Wr.write_documents(segs, meta, path)
 
 
 def test_documents_round_trip(spark, tmp_path):
-    import glob
     import os
 
     _docs(spark, str(tmp_path / "d"))
     os.makedirs(tmp_path / "named")
-    os.rename(glob.glob(str(tmp_path / "d" / "part-*.json"))[0], tmp_path / "named" / "video_1_dense.json")
+    assert os.listdir(tmp_path / "d") == ["video_1_dense.json"]
+    os.rename(tmp_path / "d" / "video_1_dense.json", tmp_path / "named" / "video_1_dense.json")
     (tmp_path / "named" / "video_2.json").write_text(
         '{"video": "x", "duration_ms": 10, "segments": [{"start_ms": 0, "end_ms": 5, "text": "看个视频", "source": "stt_only", "spoken": true}]}'
     )
@@ -132,16 +134,32 @@ def test_append_fills_defaults_and_keeps_old_rows(spark, tmp_path):
 
 
 def test_captions_and_documents_are_written_per_video(spark, tmp_path):
-    segs = spark.createDataFrame([("a", 1, 61_500, 62_000, "two"), ("a", 0, 0, 900, "one")], "video string, seg_idx int, start_ms int, end_ms int, text string")
-    caps = Wr.timed_captions(segs)
-    assert caps.first().captions == "WEBVTT\n\n00:00:00.000 --> 00:00:00.900\none\n\n00:01:01.500 --> 00:01:02.000\ntwo\n"
-    Wr.write_captions(caps, str(tmp_path / "c"))
-    assert spark.read.text(str(tmp_path / "c")).filter("value = 'two'").count() == 1
-    docs = Wr.documents(segs.select("video", F.lit("stt").alias("kind"), "seg_idx", "start_ms", "end_ms", F.array("text").alias("detections")),
-                        spark.createDataFrame([("a", 99)], "video string, duration_ms int"))
-    Wr.write_documents(docs, str(tmp_path / "d"))
-    back = spark.read.json(str(tmp_path / "d")).first()
-    assert back.kind == "stt" and [s.detections[0] for s in back.segments] == ["one", "two"]
+    segs = spark.createDataFrame(
+        [("a", 1, 61_500, 62_000, "two"), ("a", 0, 0, 900, "one"), ("b", 0, 0, 5, 'q"ü')], "video string, seg_idx int, start_ms int, end_ms int, text string")
+    Wr.write_captions(segs, str(tmp_path / "c"))
+    assert (tmp_path / "c" / "a.vtt").read_text() == "WEBVTT\n\n00:00:00.000 --> 00:00:00.900\none\n\n00:01:01.500 --> 00:01:02.000\ntwo\n"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["c"] and sorted(p.name for p in (tmp_path / "c").iterdir()) == ["a.vtt", "b.vtt"]
+    Wr.write_captions(segs.where("video = 'b'"), str(tmp_path / "c"))  # overwrites as a whole
+    assert [p.name for p in (tmp_path / "c").iterdir()] == ["b.vtt"]
+    Wr.write_documents(segs.select("video", F.lit("stt").alias("kind"), "seg_idx", "start_ms", "end_ms", F.array("text").alias("detections")),
+                       spark.createDataFrame([("a", 99), ("b", 98)], "video string, duration_ms int"), str(tmp_path / "d"))
+    a, b = (json.loads((tmp_path / "d" / f"{v}_stt.json").read_text()) for v in "ab")
+    assert a["duration_ms"] == 99 and [s["detections"][0] for s in a["segments"]] == ["one", "two"]
+    assert b == {"video": "b", "duration_ms": 98, "segments": [{"start_ms": 0, "end_ms": 5, "detections": ['q"ü']}]}
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0), (None, 1)], "n string, i int")
+    with pytest.raises(Exception, match="needs a name"):
+        files.write(rows, F.col("n"), [F.col("i")], F.lit("<"), F.col("i").cast("string"), ",", ">", str(tmp_path / "x"))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_a_file_larger_than_a_batch_keeps_its_order(spark, tmp_path):
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("n"), "id")
+    files.write(rows, F.col("n"), [F.col("id")], F.lit("<"), F.col("id").cast("string"), ",", ">", str(tmp_path / "x"))
+    for n in (0, 1):
+        assert (tmp_path / "x" / str(n)).read_text() == "<" + ",".join(map(str, range(n, 60_000, 2))) + ">"
 
 
 def test_attach_words(spark):
