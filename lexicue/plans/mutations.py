@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexicue.functions import profile as P
 from lexicue.operators import tables as Tb
 from lexicue.plans import standins as S
 from lexicue.plans.feed import cards, follows
-from lexicue.plans.registry import job
+from lexicue.plans.registry import JOBS, job
+from lexicue.session import shared_dir
+from lexicue.sinks.stored import StoredTable
 from lexicue.sources.tables import table
 
 NOW = 978307200000
@@ -232,3 +236,53 @@ def orphans(spark, folder):
     a = Tb.orphans(docs, table(spark, folder, "labels", "doc_id"), "doc_id", "doc_id").select(F.col("doc_id").alias("child"), F.lit("label").alias("fk"))
     b = Tb.orphans(table(spark, folder, "orders", "o_orderkey"), table(spark, folder, "lineitem", "l_orderkey"), "o_orderkey", "l_orderkey")
     return a.unionByName(b.select(F.col("o_orderkey").alias("child"), F.lit("lines").alias("fk")))
+
+
+# --- batches merged into stored tables --------------------------------------------------------
+def _stored(spark, name, keys, schema):
+    return StoredTable(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", keys, schema)
+
+
+@job("stored_views", JOBS["view_upsert"].sql)
+def stored_views(spark, folder):
+    """Views in three batches, the second of which comes twice: one stored row per (user, video), its count stays at one."""
+    l = table(spark, folder, "lineitem", "l_orderkey", "l_partkey")
+    o = table(spark, folder, "orders", "o_orderkey", "o_custkey")
+    views = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("video_id"), F.lit(1).alias("view_count"), F.col("l_orderkey").alias("last_viewed"))
+    stored = _stored(spark, "views", ["user_id", "video_id"], "user_id bigint, video_id bigint, view_count int, last_viewed bigint")
+    for batch, part in ((0, 0), (1, 1), (1, 1), (2, 2)):
+        stored.put_latest(batch, views.filter(F.col("last_viewed") % 3 == part), F.col("last_viewed"))
+    return stored.read()
+
+
+@job("stored_review_log", JOBS["review_log_append"].sql)
+def stored_review_log(spark, folder):
+    """A log that snapshots are appended to; a snapshot that comes again adds nothing."""
+    o = table(spark, folder, "orders", "o_orderkey", "o_orderstatus")
+    log = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "new").otherwise("old").alias("batch"))
+    stored = _stored(spark, "log", ["o_orderkey"], "o_orderkey bigint, batch string")
+    for batch, name in enumerate(("old", "new")):
+        for _ in range(2):
+            stored.append(batch, log.filter(F.col("batch") == name))
+    return stored.read().groupBy("batch").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
+
+
+@job("stored_profiles", """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS display_name,
+ CAST(CASE WHEN c_custkey % 3 = 1 THEN c_nationkey + 5 ELSE 10 END AS INTEGER) AS daily_goal_minutes,
+ CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE 'en' END AS native_language FROM customer""")
+def stored_profiles(spark, folder):
+    """Stored profiles changed field by field: names mapped to columns, goals to numbers, the later of two changes kept."""
+    from lexicue.constants import NUMERIC_PROFILE_FIELDS
+
+    c = table(spark, folder, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    stored = _stored(spark, "profiles", ["id"], "id bigint, display_name string, daily_goal_minutes int, native_language string")
+    stored.append(0, c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("display_name"), F.lit(10).alias("daily_goal_minutes"), F.lit("en").alias("native_language")))
+    asked = F.when(F.col("c_custkey") % 3 == 0, "displayName").when(F.col("c_custkey") % 3 == 1, "dailyGoalMinutes").otherwise("nativeLanguage")
+    value = F.when(F.col("c_custkey") % 3 == 1, (F.col("c_nationkey") + 5).cast("string")).otherwise(F.col("c_mktsegment"))
+    changes = c.select(F.col("c_custkey").alias("id"), P.stored_field(asked).alias("field"), F.explode(F.array(F.struct(F.lit(1).alias("at"), F.lit("0").alias("value")), F.struct(F.lit(2).alias("at"), value.alias("value")))).alias("x"))
+    kinds = {f: "int" if f in NUMERIC_PROFILE_FIELDS else "string" for f in ("display_name", "daily_goal_minutes", "native_language")}
+    for _ in range(2):
+        stored.set_fields(1, changes.select("id", "field", "x.at", "x.value"), kinds, F.col("at"))
+    return stored.read()
