@@ -11,6 +11,7 @@ from lexicue.plans import standins as S
 from lexicue.plans.registry import JOBS, job
 from lexicue.plans.sequence import turn_frames
 from lexicue.session import pin_utc, shared_dir
+from lexicue.sinks.stored import StoredTable
 from lexicue.sources.tables import table
 from lexicue.streaming import streams as St
 
@@ -104,41 +105,42 @@ def stream_latest_views(spark, folder):
     path = f"{shared_dir(spark)}/views-{uuid.uuid4().hex}"
     e = _event_stream(spark, folder).select(
         "user_id", F.get_json_object("props", "$.k").cast("int").alias("video_id"), "event_id", F.unix_millis("ts").alias("ts_ms"))
-    sink = St.upsert_sink(f"{path}/table", ["user_id", "video_id"], F.struct("ts_ms", "event_id"), buckets=8)
-    return _drained(spark, e, sink, path, "append")
+    return _drained(spark, e, ["user_id", "video_id"], F.struct("ts_ms", "event_id"), path, "append")
 
 
 #: A backfill reads files in any order, so no row of it is late.
 BACKFILL = "36500 days"
 
 
-def _drained(spark, stream, sink, path, mode):
+def _drained(spark, stream, keys, order, path, mode):
+    """Run the stream until its input is used up and read the stored table that its batches were merged into."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
     q = (
-        stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{path}/state")
-        .trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(St.stored_sink(f"{path}/table", keys, schema, order)).outputMode(mode)
+        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/table").drop("bucket")
+    return StoredTable(spark, f"{path}/table", keys, schema).read()
 
 
 @job("stream_view_counts", JOBS["view_counts_60s"].sql)
 def stream_view_counts(spark, folder):
-    """The counter flush as a stream: each update of a window replaces its row in the keyed table."""
+    """The counter flush as a stream: each update of a window replaces its row in the keyed table. Windows end with the watermark."""
     path = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
-    v = _event_stream(spark, folder).filter("event_type = 'view'")
-    counts = St.view_counts(v, "ts", "user_id", late=BACKFILL).select("user_id", F.unix_millis("window_start").alias("window_ms"), "views")
-    sink = St.upsert_sink(f"{path}/table", ["user_id", "window_ms"], F.col("views"), buckets=8)
-    return _drained(spark, counts, sink, path, "update")
+    v = S.ev(spark, folder).filter("event_type = 'view'").select("user_id", "ts_ms")
+    counts = St.view_counts(_arriving(spark, v, path, (-1, NEVER_MS)), "ts", "user_id", late=LATE)
+    counts = counts.select("user_id", F.unix_millis("window_start").alias("window_ms"), "views")
+    return _drained(spark, counts, ["user_id", "window_ms"], F.col("views"), path, "update").filter("user_id <> -1")
 
 
 @job("stream_daily_counters", JOBS["daily_counters"].sql)
 def stream_daily_counters(spark, folder):
     path = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
     kind = lambda k: F.col("event_type") == k
-    d = St.daily_counters(_event_stream(spark, folder), "ts", "user_id", {"videos": kind("view"), "cards": kind("click")}, late=BACKFILL)
+    e = _arriving(spark, S.ev(spark, folder).select("user_id", "event_type", "ts_ms"), path, (-1, "", NEVER_MS))
+    d = St.daily_counters(e, "ts", "user_id", {"videos": kind("view"), "cards": kind("click")}, late=LATE)
     d = d.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-    sink = St.upsert_sink(f"{path}/table", ["user_id", "day"], F.col("videos") + F.col("cards"), buckets=8)
-    return _drained(spark, d, sink, path, "update")
+    return _drained(spark, d, ["user_id", "day"], F.col("videos") + F.col("cards"), path, "update").filter("user_id <> -1")
 
 
 # --- keyed state over rows that arrive out of order -------------------------------------------
