@@ -132,14 +132,20 @@ def apply_delta(old: Column, delta: Column) -> Column:
     return F.greatest(F.coalesce(old, F.lit(0)) + delta, F.lit(0))
 
 
+RANK_PARTS = 32
+
+
 def frequency_rank(words: DataFrame, language: str, word: str, count: str, out: str = "frequency_rank") -> DataFrame:
     """``rank()`` by falling count per language without sorting a language in one task.
 
-    Words that share a count share a rank, so ranks are computed over the few distinct counts and joined back.
+    Words that share a count share a rank, so ranks are computed over the few distinct counts and joined back. Most words occur once:
+    each (language, count) is dealt to RANK_PARTS keys, so that no task gets all words of one count.
     """
     levels = words.groupBy(language, count).agg(F.count("*").alias("__n"))
     w = Window.partitionBy(language).orderBy(F.col(count).desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = levels.withColumn(out, F.coalesce(F.sum("__n").over(w), F.lit(0)) + 1).drop("__n")
-    return words.join(ranks, [language, count]).select(*words.columns, out)
+    dealt = ranks.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(RANK_PARTS - 1))))
+    own = words.withColumn("__part", F.pmod(F.xxhash64(word), F.lit(RANK_PARTS)).cast("int"))
+    return own.join(dealt, [language, count, "__part"]).select(*words.columns, out)
 
 
