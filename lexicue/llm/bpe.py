@@ -132,10 +132,15 @@ class Vocabulary:
         while at < last:
             # END is no symbol by itself, so no match may leave it alone
             left = last - at
-            key = word[at : at + 2], min(left, self._longest)
-            tries = self._tries.get(key)
-            if tries is None:
-                tries = self._tries[key] = tuple(k for k in self._lengths.get(key[0], (1,)) if k <= left + 1 and k != left)
+            start = word[at : at + 2]
+            lengths = self._lengths.get(start)
+            if lengths is None:
+                tries = (1,)
+            else:
+                key = start, min(left, self._longest + 1)  # beyond the longest token all are alike
+                tries = self._tries.get(key)
+                if tries is None:
+                    tries = self._tries[key] = tuple(k for k in lengths if k <= left + 1 and k != left)
             for k in tries:
                 token = tokens.get(word[at : at + k])
                 if token is not None:

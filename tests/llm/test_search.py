@@ -180,6 +180,14 @@ def test_both_ways_are_taken_and_agree(vocabulary):
     assert [vocabulary.merge(p) for p in parts] == tokens
 
 
+def test_words_about_as_long_as_the_longest_tokens(vocabulary):
+    long = sorted((t.rstrip(bpe.END) for t in vocabulary.tokens), key=len)[-40:]
+    parts = [t[:n] + x + bpe.END for x in ("", "a", "ab", "z" * 40) for t in long for n in (len(t) - 1, len(t))]
+    for order in (parts, parts[::-1]):
+        vocabulary._tries.clear()
+        assert vocabulary.tokenize(order)[0] == [vocabulary.merge(p) for p in order]
+
+
 def test_a_pair_stands_when_merging_its_letters_gives_it(vocabulary):
     rnd = np.random.default_rng(3)
     opens = [i for s, i in vocabulary.tokens.items() if not s.endswith(bpe.END)]
