@@ -40,7 +40,7 @@ def daily_counters(events: DataFrame, ts: str, user: str, kinds: dict[str, Colum
 
 def runs(events: DataFrame, ts: str, key: str, gap_ms: int, late: str = "10 minutes") -> DataFrame:
     """Groups of events no further apart than ``gap_ms``; the session ends one gap after its last event."""
-    width = f"{gap_ms + 1} milliseconds"  # a gap of exactly gap_ms still joins
+    width = f"{gap_ms} milliseconds"  # Spark joins an event that comes exactly at a session's end
     return (
         events.withWatermark(ts, late).groupBy(key, F.session_window(ts, width).alias("w"))
         .agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))

@@ -162,3 +162,11 @@ def test_backfill_of_unordered_files_loses_nothing(spark, tmp_path):
     want = St.view_counts(spark.read.parquet(src), "ts", "user_id")
     got = spark.read.parquet(str(tmp_path / "t")).select("user_id", "window_start", "views")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_runs_end_after_a_longer_gap(spark):
+    """A gap of exactly the width joins, one millisecond more does not."""
+    rows = [(u, t) for u, gap in enumerate((6_999, 7_000, 7_001, 7_002)) for t in (1_700_000_000_000, 1_700_000_000_000 + gap)]
+    df = spark.createDataFrame(rows, "user_id int, ts_ms bigint").withColumn("ts", F.timestamp_millis("ts_ms"))
+    got = St.runs(df, "ts", "user_id", 7_000).groupBy("user_id").count()
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (1, 1), (2, 2), (3, 2)]
