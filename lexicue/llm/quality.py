@@ -21,8 +21,8 @@ BUCKETS = 1 << 16
 SMOOTHING = 2.0
 #: Weights are kept as whole numbers of 1 / SCALE nats.
 SCALE = 10_000
-#: Bound on the trusted documents the target is fitted and calibrated on, first by hash of the id.
-TRUSTED = 20_000
+#: Scores are counted in so many cuts of their range until at most ``FEW`` are left around a rank.
+CUTS, FEW = 4096, 10_000
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -124,50 +124,83 @@ def _scored(rows: DataFrame, weights: list[int], keys: list[str], **more: Column
     return rows.groupBy(*keys).agg((total / F.when(n > 0, n) / SCALE).alias("score"), *[c.alias(k) for k, c in more.items()])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", trusted: int = TRUSTED) -> Model:
+def at_ranks(scores: DataFrame, ranks: list[int]) -> dict[int, float]:
+    """The values of the column ``score`` (no nulls) at 0-based ``ranks`` of its order, exactly.
+
+    The range is cut evenly and counted, and the cuts that hold a rank are cut again, so the driver sees at most ``CUTS``
+    counts or ``FEW`` values at a time however many there are.
+    """
+    low, high, n = scores.agg(F.min("score"), F.max("score"), F.count("*")).first()
+    if low == high:
+        return dict.fromkeys(ranks, low)
+    if n <= FEW:
+        ordered = sorted(r["score"] for r in scores.collect())
+        return {r: ordered[r] for r in ranks}
+    cut = F.least(F.floor((F.col("score") - low) / (high - low) * CUTS), F.lit(CUTS - 1))
+    parts = scores.groupBy(cut.alias("cut")).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n")).collect()
+    found, before = {}, 0
+    for p in sorted(parts):
+        here = [r for r in ranks if before <= r < before + p["n"]]
+        if here:
+            inside = at_ranks(scores.where(F.col("score").between(p["low"], p["high"])), [r - before for r in here])
+            found |= {before + r: v for r, v in inside.items()}
+        before += p["n"]
+    return found
+
+
+def percentiles(scores: DataFrame, shares: list[float]) -> list[float] | None:
+    """Percentiles of the column ``score``, between two values by linear interpolation; None without any."""
+    n = scores.count()
+    if not n:
+        return None
+    at = [(n - 1) * s for s in shares]
+    found = at_ranks(scores, sorted({r for x in at for r in (math.floor(x), math.ceil(x))}))
+    return [found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)]) for x in at]
+
+
+def _counted(texts: DataFrame, name: str) -> dict[int, int]:
+    """How often each bucket occurs among the n-grams of ``_text``: at most BUCKETS rows, whatever the corpus."""
+    rows = (
+        _word_rows(texts.select(words(F.col("_text")).alias("_w")), "_w")
+        .select(F.explode(F.array(_one(), _two())).alias("bucket")).where(F.col("bucket").isNotNull())
+        .groupBy("bucket").agg(F.count("*").alias(name)).collect()
+    )
+    return {r["bucket"]: r[name] for r in rows}
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Bucket weights from all documents, and the threshold.
 
-    Trusted are the documents labelled of good quality and not toxic, at most ``trusted`` of them (first by hash of
-    the id); the raw corpus is every document. Three quarters of the trusted ones (by hash) give the target, the rest
-    the threshold: one and a half times as far below their first percentile as that lies below their median. Without trusted documents
-    there is no threshold.
+    Trusted are all documents labelled of good quality and not toxic; the raw corpus is every document. Three quarters of
+    the trusted ones (by hash of the id) give the target, the rest the threshold: one and a half times as far below their
+    first percentile as that lies below their median. Without trusted documents there is no threshold.
     """
-    order = F.xxhash64("_id", F.lit(1))
-    chosen = materialized(
+    chosen = (
         labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
         .select(F.col(key).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-        .orderBy(order, "_id").limit(trusted)
         .select("_id", (F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(4)) != 0).alias("_fit"))
     )
-    # at most ``trusted`` rows of nine bytes
-    flagged = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(
-        F.broadcast(chosen), "_id", "left"
-    )
-    counts = (
-        _word_rows(flagged.select(F.coalesce("_fit", F.lit(False)).alias("_fit"), words(F.col("_text")).alias("_w")), "_w", "_fit")
-        .select("_fit", F.explode(F.array(_one(), _two())).alias("bucket")).where(F.col("bucket").isNotNull())
-        .groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("_fit"), 1)).alias("target"))
-        .collect()  # at most BUCKETS rows, whatever the corpus
-    )
-    raw, target = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
+    plain = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # read for the target and for the threshold; texts are shuffled once, as the ids grow with the table and are not broadcast
+    trusted = materialized(plain.join(chosen.hint("merge"), "_id"))
+    targets = _counted(trusted.where("_fit"), "target")
+    target = sum(targets.values())
     if not target:
         return Model([0] * BUCKETS, None)
+    raws = _counted(plain, "raw")
+    raw = sum(raws.values())
 
     def weight(target_n: int, raw_n: int) -> int:
         return round(SCALE * (
             math.log((target_n + SMOOTHING) / (target + SMOOTHING * BUCKETS)) - math.log((raw_n + SMOOTHING) / (raw + SMOOTHING * BUCKETS))
         ))
 
-    weights = [weight(0, 0)] * BUCKETS
-    for r in counts:
-        weights[r["bucket"]] = weight(r["target"], r["raw"])
+    weights = [weight(targets.get(i, 0), raws.get(i, 0)) for i in range(BUCKETS)]
     unseen = staged(
-        docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        .join(F.broadcast(chosen.where(~F.col("_fit"))), "_id").select("_id", words(F.col("_text")).alias("_w")),
-        _n=F.size("_w"),
+        trusted.where(~F.col("_fit")).select("_id", words(F.col("_text")).alias("_w")), _n=F.size("_w"),
     ).where(F.col("_n") >= MIN_WORDS)
-    scores = _scored(_word_rows(unseen, "_w", "_id"), weights, ["_id"])
-    q = scores.agg(F.percentile("score", F.array(F.lit(0.01), F.lit(0.5))).alias("q")).first()["q"]
+    scores = materialized(_scored(_word_rows(unseen, "_w", "_id"), weights, ["_id"]).select("score").where(F.col("score").isNotNull()))
+    q = percentiles(scores, [0.01, 0.5])
     return Model(weights, None if q is None else q[0] - 1.5 * (q[1] - q[0]))
 
 

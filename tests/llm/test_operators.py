@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 from fractions import Fraction
@@ -547,3 +548,21 @@ def _chain(xxhash, words):
     for w in words:
         seed = xxhash.xxh64_intdigest(w.encode(), seed)
     return seed if seed < 1 << 63 else seed - (1 << 64)
+
+
+def test_quality_target_takes_every_trusted_document(spark):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.lit("aa").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    fitted = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) != 0).count()
+    share = lambda n: math.log((n + quality.SMOOTHING) / (n + quality.SMOOTHING * quality.BUCKETS))
+    assert round(quality.SCALE * (share(fitted) - share(24_000))) in quality.fit(docs, labels).weights
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEW", 20)
+    rnd = random.Random(5)
+    values = [rnd.choice((0.5, -0.25, rnd.gauss(0, 1), rnd.gauss(0, 1e-9))) for _ in range(5_000)] + [1e6]
+    df = spark.createDataFrame([(v,) for v in values], "score double")
+    want = df.agg(F.percentile("score", F.array(F.lit(0.01), F.lit(0.5), F.lit(1.0)))).first()[0]
+    assert quality.percentiles(df, [0.01, 0.5, 1.0]) == pytest.approx(want, abs=1e-12)
+    assert quality.percentiles(df.limit(0), [0.5]) is None
