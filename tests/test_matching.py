@@ -1,6 +1,7 @@
 """Tapped words and dictionary cover."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexicue.operators import matching as M
 
@@ -84,3 +85,14 @@ def test_greedy_cover_of_long_texts_equals_a_loop(spark):
     words_ = spark.createDataFrame(list(d.items()), "w string, r string")
     got = M.greedy_cover(spark.createDataFrame(texts, "id int, text string"), "id", "text", words_, "w", "r")
     assert {x.id: x.readings for x in got.collect()} == {i: loop(t) for i, t in texts}
+
+
+def test_greedy_cover_deals_texts_to_tasks(spark, monkeypatch):
+    """The tasks grow with the characters, whatever the session's number of shuffle partitions; results stay."""
+    texts = spark.createDataFrame([(i, "abcx" * (i % 5)) for i in range(200)], "id int, text string")
+    d = spark.createDataFrame([("ab", "AB"), ("c", "C")], "w string, r string")
+    want = {(i, " ".join(["AB C"] * (i % 5))) for i in range(200)}
+    monkeypatch.setattr(M, "COVERED", 50, raising=False)
+    got = M.greedy_cover(texts, "id", "text", d, "w", "r").select("id", "readings", F.spark_partition_id().alias("task")).collect()
+    assert {(x.id, x.readings) for x in got} == want
+    assert len({x.task for x in got}) > 16
