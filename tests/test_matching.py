@@ -96,3 +96,22 @@ def test_greedy_cover_deals_texts_to_tasks(spark, monkeypatch):
     got = M.greedy_cover(texts, "id", "text", d, "w", "r").select("id", "readings", F.spark_partition_id().alias("task")).collect()
     assert {(x.id, x.readings) for x in got} == want
     assert len({x.task for x in got}) > 16
+
+
+def test_words_are_not_repeated_for_letters_nobody_asks_for(spark):
+    """A shuffle by (video, letter) in front of the choice would repeat each word once per letter."""
+    defs = words(spark, "abcdef", "xyz")
+    asked = spark.createDataFrame([(1, 1, "a!", 1, 0, "z")], "tap_id int, video int, full_text string, char_index int, time_ms bigint, tapped string")
+    out = M._by_character(asked, defs, None)
+    assert [(r.display_text, r.word_index) for r in out.collect()] == [("xyz", 1)]
+    assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_split_behind_the_shuffle(spark):
+    from lexicue.operators.scans import chunk_of
+    from lexicue.operators.vocab import occurrences
+
+    segs = spark.createDataFrame([(1, 0, "one two"), (1, 1, "three"), (2, 0, ""), (2, 1001, "x y")], "video int, seg_idx int, text string")
+    out = occurrences(segs, ["video"], ["seg_idx"], "text", chunk_of(F.col("seg_idx"), 1000))
+    assert sorted((r.video, r.word_index, r.word) for r in out.collect()) == [(1, 0, "one"), (1, 1, "two"), (1, 2, "three"), (2, 0, "x"), (2, 1, "y")]
+    assert "__tokens" not in out._jdf.queryExecution().optimizedPlan().toString()
