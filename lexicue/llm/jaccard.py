@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lexicue.llm.common import materialized
-from lexicue.llm.components import components
+from lexicue.llm.components import components, labels
 
 #: Cells of the count sketch that puts frequent shingles last; only the order depends on it, never the result.
 CELLS = 1 << 21
 #: Bits of the filter that picks the texts to compare; a false hit only sends a text for nothing.
 FILTER_BITS = 1 << 24
-#: Members of a list that its other sets are compared with in a round, and rounds before the last.
-LEADERS, ROUNDS = 8, 4
+#: Members of a list that its other sets are compared with, by round before the last: few for all sets, then many for
+#: those that are still outside. Most near copies find their group by then, so the last round has few to compare.
+LEADERS = (8, 64)
 #: Distinct words a worker keeps hashes of: the first it meets, which has the common ones.
 WORDS = 400_000
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
@@ -295,25 +296,26 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     marks = materialized(sets.where("rec is not null").select("rec", "n", "bits").dropDuplicates(["rec"]))
     lists = index_lists(prefixes(docs, sketch, width, percent), percent)
     links, roots, tried = None, None, None
-    for k in range(ROUNDS + 1):
+    for k in range(len(LEADERS) + 1):
         named = materialized(_labelled(lists, roots)) if k else _labelled(lists, None)
         if k:
             # a list's largest component is not compared with itself; what is outside looks at the list
             per = named.groupBy("token", "comp").agg(F.count("*").alias("c"))
             main = per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("_main"), F.count("*").alias("_comps"), F.sum("c").alias("_len"))
-            main = main.where((F.col("_comps") > 1) & (F.col("_len") > LEADERS + 1))
+            # a list of no more sets than these has been compared whole
+            main = main.where((F.col("_comps") > 1) & (F.col("_len") > LEADERS[k - 1] + 1))
             outside = named.join(main, "token").where("comp <> _main").drop("_main", "_comps")
             work = outside.agg(F.sum("_len")).first()[0] or 0
             if not work:
                 break
-            final = k == ROUNDS or work <= 4 * named.count()
+            final = k == len(LEADERS) or work <= 4 * named.count()
         else:
             final = False
         if k and final:
             pairs = _candidates(outside, named, percent)
         else:
             pick = W.partitionBy("token").orderBy(F.xxhash64("rec", F.lit(k)), "rec")
-            leaders = named.withColumn("_i", F.row_number().over(pick)).where(F.col("_i") <= LEADERS)
+            leaders = named.withColumn("_i", F.row_number().over(pick)).where(F.col("_i") <= LEADERS[k])
             pairs = _candidates(leaders, outside if k else named, percent)
         if tried is not None:  # what was compared in an earlier round has its answer
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -321,9 +323,11 @@ def link_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
         tried = pairs if tried is None else tried.union(pairs)
         found = _links(docs, reps, _possible(pairs, marks, percent), width, percent)
         links = found if links is None else links.union(found)
-        roots = materialized(components(links))
         if k and final:
             break
+        # sets of one label are connected; what labels leave apart is only compared again
+        roots = materialized(labels(links).withColumnRenamed("label", "root"))
+    roots = materialized(components(links))
     return sets, roots
 
 

@@ -566,3 +566,19 @@ def test_percentiles_are_exact(spark, monkeypatch):
     want = df.agg(F.percentile("score", F.array(F.lit(0.01), F.lit(0.5), F.lit(1.0)))).first()[0]
     assert quality.percentiles(df, [0.01, 0.5, 1.0]) == pytest.approx(want, abs=1e-12)
     assert quality.percentiles(df.limit(0), [0.5]) is None
+
+
+def test_near_copies_find_their_group_without_being_compared_with_all(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for at in rng.choice(150, 1 + i % 2, replace=False):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    compared, possible = [], jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *rest: compared.append(pairs.count()) or possible(pairs, *rest))
+    got = jaccard.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert {tuple(r) for r in got.collect()} == set(brute_components(rows, 4, 85))
+    assert max(compared) < 25 * len(rows), compared
