@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexicue.operators.scans import Look, chunk_of, scan
+from lexicue.operators.staging import materialized
 from lexicue.plans import standins as S
 from lexicue.plans.registry import JOBS, job
 from lexicue.plans.sequence import turn_frames
@@ -147,18 +148,21 @@ def stream_daily_counters(spark, folder):
 #: Rows arrive up to this much after their time; the watermark waits for longer.
 SPREAD_MS, LATE = 6 * S.HOUR, "8 hours"
 SLICES = 4
+#: Files of a slice, whatever its size, and those a batch takes: the number of batches does not grow with the input.
+FILES, TOGETHER = 32, 64
 
 
 def _arriving(spark, df, path, end):
     """A stream over files written in order of arrival, out of time order; ``end`` is a last row that lets the watermark pass all."""
-    rows = df.withColumn("__arrives", F.col("ts_ms") + F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD_MS)))
+    # stored once, as each slice reads it
+    rows = materialized(df.withColumn("__arrives", F.col("ts_ms") + F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD_MS))))
     low, high = rows.agg(F.min("__arrives"), F.max("__arrives")).first()
     width = (high - low) // SLICES + 1 if low is not None else 1
     slices = rows.withColumn("__slice", F.floor((F.col("__arrives") - F.lit(low or 0)) / width))
     for i in range(SLICES):
-        slices.filter(F.col("__slice") == i).drop("__arrives", "__slice").write.mode("append").parquet(f"{path}/source")
+        slices.filter(F.col("__slice") == i).drop("__arrives", "__slice").repartition(FILES).write.mode("append").parquet(f"{path}/source")
     spark.createDataFrame([end], df.schema).write.mode("append").parquet(f"{path}/source")
-    files = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/source")
+    files = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", TOGETHER).parquet(f"{path}/source")
     return files.withColumn("ts", F.timestamp_millis("ts_ms"))
 
 
