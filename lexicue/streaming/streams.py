@@ -129,7 +129,7 @@ class InOrder(StatefulProcessor):
         for batch in rows:
             self.waiting.appendList([tuple(r) for r in batch[names].astype(object).itertuples(index=False)])
             self.handle.registerTimer(int(batch["ts_ms"].max()) + 1)
-        yield self._table([])
+        yield from ()  # a table for each key of each batch would cost more than the rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
@@ -142,7 +142,8 @@ class InOrder(StatefulProcessor):
             self.waiting.clear()
         if again is not None:
             self.handle.registerTimer(max(again, passed + 1))
-        yield self._table(done)
+        if done:
+            yield self._table(done)
 
     def _table(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in self.out.split(", ")])
@@ -205,7 +206,7 @@ class SegmentBuilder(StatefulProcessor):
         for batch in rows:
             self.waiting.appendList([(int(t), x) for t, x in zip(batch["ts_ms"], batch["text"])])
             self.handle.registerTimer(int(batch["ts_ms"].max()) + 1)
-        yield self._table([])
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
@@ -234,7 +235,8 @@ class SegmentBuilder(StatefulProcessor):
             self.open.clear()
         else:
             self.open.update((*(state[0][k] for k in ("start_ms", "end_ms", "match_text", "last_frame")), state[1]))
-        yield self._table(done)
+        if done:
+            yield self._table(done)
 
     @staticmethod
     def _table(done: list[dict]) -> pd.DataFrame:
@@ -266,23 +268,25 @@ class ReviewSession(InOrder):
 
     def prepare(self, handle):
         self.stats = handle.getValueState("stats", "start bigint, seen bigint, reviewed bigint, correct bigint, streak bigint, best bigint, requeued bigint")
-        self.cards = handle.getMapState("cards", "card bigint", "n bigint")
+        self.cards = handle.getListState("cards", "card bigint")
 
     def take(self, key, due, passed):
         stats, done = self.stats.get() if self.stats.exists() else None, []
+        # the state is read and written once a call: asking it for each row costs more than the row
+        known = {c for (c,) in self.cards.get()} if stats is not None and self.cards.exists() else set()
 
         def end():
             start, seen, reviewed, correct, _, best, requeued = stats
             done.append((key[0], start, seen, reviewed, correct, best, requeued))
-            self.cards.clear()
+            known.clear()
 
         for at, _, card, rating, due_ms in due:
             if stats is not None and at - stats[1] > self.idle_ms:
                 end()
                 stats = None
             start, _, reviewed, correct, streak, best, requeued = stats or (at, at, 0, 0, 0, 0, 0)
-            if not self.cards.containsKey((card,)):
-                self.cards.updateValue((card,), (1,))
+            if card not in known:
+                known.add(card)
                 reviewed, requeued = reviewed + 1, requeued + int(due_ms - at < SOON_MS)
             streak = streak + 1 if rating >= 3 else 0
             stats = start, at, reviewed, correct + int(rating >= 3), streak, max(best, streak), requeued
@@ -291,8 +295,11 @@ class ReviewSession(InOrder):
         if stats[1] + self.idle_ms < passed:
             end()
             self.stats.clear()
+            self.cards.clear()
             return done, None
         self.stats.update(stats)
+        if due:
+            self.cards.put([(c,) for c in known])
         return done, stats[1] + self.idle_ms + 1
 
 

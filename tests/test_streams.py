@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexicue.operators.collapse import fuzzy_collapse
 from lexicue.operators.learning import session_stats
+from lexicue.plans import streaming as P
 from lexicue.streaming import streams as St
 
 
@@ -170,3 +171,25 @@ def test_runs_end_after_a_longer_gap(spark):
     df = spark.createDataFrame(rows, "user_id int, ts_ms bigint").withColumn("ts", F.timestamp_millis("ts_ms"))
     got = St.runs(df, "ts", "user_id", 7_000).groupBy("user_id").count()
     assert sorted(map(tuple, got.collect())) == [(0, 1), (1, 1), (2, 2), (3, 2)]
+
+
+def test_batches_do_not_grow_with_the_input_files(spark, tmp_path):
+    rows = spark.range(8000).select("id", (F.col("id") * 60_000).alias("ts_ms")).repartition(60)
+    P._arriving(spark, rows, str(tmp_path), (-1, P.NEVER_MS))
+    stored = spark.read.parquet(f"{tmp_path}/source")
+    assert len(stored.inputFiles()) <= 130 and stored.count() == 8001
+
+
+def test_a_call_for_many_reviews_asks_the_state_a_few_times():
+    class State:
+        calls = 0
+
+        def __getattr__(self, name):
+            State.calls += 1
+            return lambda *x: name == "containsKey"
+
+    fold = St.ReviewSession("bigint", 1000)
+    fold.stats, fold.cards = State(), State()
+    fold.stats.exists = lambda: False
+    done, again = fold.take((1,), [(i, i, i % 7, 3, i) for i in range(500)], 600)
+    assert not done and again == 1500 and State.calls < 10
