@@ -7,9 +7,15 @@ window to window and starts anew with each text. Symbol 0 ends a text and is the
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 HIDDEN, WIDTH, WINDOW = 24, 64, 16
+#: Positions whose softmax is taken at once, and how far below the largest a logit still counts.
+SLICE, LEAST = 1024, -30
 
 
 def fresh(freq: np.ndarray, hidden: int = HIDDEN, seed: int = 3) -> dict[str, np.ndarray]:
@@ -25,159 +31,243 @@ def fresh(freq: np.ndarray, hidden: int = HIDDEN, seed: int = 3) -> dict[str, np
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+class Buffers(dict):
+    """Arrays that are used again from window to window: fresh large ones cost more than what is done in them."""
+
+    def take(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self or self[name].size < n or self[name].dtype != kind:
+            self[name] = np.empty(n, kind)
+        return self[name][:n].reshape(shape)
+
+
+def _advance(x: np.ndarray, a: np.ndarray, before: np.ndarray, out: np.ndarray, tmp: np.ndarray) -> None:
+    """One step of all lanes: the new state to ``out``, the gates z and r and the candidate c in place of the input ``x``."""
+    n = len(before)
+    zr, c = x[: 2 * n], x[2 * n :]
+    zr += a[: 2 * n]
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr += 1
+    zr *= 0.5
+    c += np.multiply(zr[n:], a[2 * n :], out=tmp)
+    np.tanh(c, out=c)
+    np.subtract(before, c, out=out)
+    out *= zr[:n]
+    out += c
 
 
 def step(p: dict, h: np.ndarray, sym: np.ndarray):
-    """One step: new state and what the way back needs."""
-    n = p["u"].shape[0]
-    x, a = p["win"][sym], h @ p["u"]
-    zr = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-    return c + z * (h - c), (h, z, r, c, a[:, 2 * n :])
+    """One step of states (lanes x hidden): new states and gates."""
+    x, out = np.ascontiguousarray(p["win"][sym].T), np.empty(h.T.shape, h.dtype)
+    _advance(x, p["u"].T @ h.T, h.T, out, np.empty_like(out))
+    return out.T, x.T
 
 
 def _by_class(target: np.ndarray):
     """Positions sorted by the target's class, and the ranges of each class that occurs."""
     cls = target // WIDTH
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.min_scalar_type(int(cls.max(initial=0)))), kind="stable")
     found, starts = np.unique(cls[order], return_index=True)
     return cls, order, zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(cls)])
 
 
-def _log_softmax_at(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log softmax(h w' + b) at each target, in place.
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """exp of each column against its largest logit, in place; returns those largest.
 
-    States lie between -1 and 1, so no logit is above its bias and the sum of its absolute weights: that bound is
-    taken off instead of each row's maximum. Rows that it leaves too small are done again with their own.
+    What is LEAST below the largest is lost in a sum of floats anyway. Left as it is, it would become denormal here or
+    in a product, and one product of matrices with denormal numbers was measured to take 58 times as long.
     """
-    bound = (b + np.abs(w).sum(1)).max()
-    logits = h @ w.T
-    logits += b - bound
-    own = logits[np.arange(len(target)), target]
+    top = logits.max(0)
+    logits -= top
+    np.maximum(logits, LEAST, out=logits)
     np.exp(logits, out=logits)
-    total = logits @ np.ones(len(b), logits.dtype)
-    small = np.flatnonzero(total < 1e-30)
-    with np.errstate(divide="ignore"):
-        out = own - np.log(total)
-    if len(small):
-        again = h[small] @ w.T + b
-        top = again.max(1)
-        out[small] = again[np.arange(len(small)), target[small]] - top - np.log(np.exp(again - top[:, None]).sum(1))
+    return top
+
+
+def _biased(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes and of the symbols in them, each with its bias as the last column."""
+    return np.column_stack([p["wc"], p["bc"]]), np.column_stack([p["wo"], p["bo"]])
+
+
+def _log_softmax_at(w: np.ndarray, h: np.ndarray, target: np.ndarray, buf: Buffers) -> np.ndarray:
+    """log softmax(w h) at each target; the last row of ``h`` is 1, the last column of ``w`` the bias."""
+    out, ones = np.empty(len(target), h.dtype), np.ones(len(w), w.dtype)
+    for at in range(0, len(target), SLICE):
+        s = slice(at, at + SLICE)
+        x, own = h[:, s], target[s]
+        e = np.matmul(w, x, out=buf.take("logits", w.dtype, len(w), len(own)))
+        mine = e[own, np.arange(len(own))]
+        out[s] = mine - _exp(e) - np.log(ones @ e)
     return out
 
 
-def log_prob(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target after each state."""
+def _log_prob(p: dict, h: np.ndarray, target: np.ndarray, buf: Buffers) -> np.ndarray:
+    """Natural log probability of each target after each state, a column of ``h`` with 1 in its last row."""
     cls, order, parts = _by_class(target)
-    out = _log_softmax_at(h, p["wc"], p["bc"], cls)
-    h, target = h[order], target[order]
-    inside = np.empty_like(out)
+    flat = np.take(h, order, axis=1, out=buf.take("flat", h.dtype, *h.shape), mode="clip")
+    target = target[order]
+    top, inner = _biased(p)
+    found = _log_softmax_at(top, flat, cls[order], buf)
     for k, a, b in parts:
-        s = slice(k * WIDTH, (k + 1) * WIDTH)
-        inside[a:b] = _log_softmax_at(h[a:b], p["wo"][s], p["bo"][s], target[a:b] - k * WIDTH)
-    out[order] += inside
+        found[a:b] += _log_softmax_at(inner[k * WIDTH : (k + 1) * WIDTH], flat[:, a:b], target[a:b] - k * WIDTH, buf)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
-def gradients(p: dict, h: np.ndarray, syms: np.ndarray, targets: np.ndarray, weight: np.ndarray):
+def log_prob(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target after each state (a row of ``h``)."""
+    return _log_prob(p, np.concatenate([h.T, np.ones((1, len(h)), h.dtype)]), target, Buffers())
+
+
+def _softmax_back(w: np.ndarray, h: np.ndarray, target: np.ndarray, weight: np.ndarray, g: np.ndarray, dh: np.ndarray, buf: Buffers) -> float:
+    """Loss of softmax(w h) at the targets; adds the gradient of ``w`` to ``g`` and that of ``h`` to ``dh``.
+
+    The last row of ``h`` is 1, the last column of ``w`` the bias. Columns are done in slices that stay in the cache.
+    """
+    loss, ones, plain = 0.0, np.ones(len(w), w.dtype), np.ascontiguousarray(w[:, :-1].T)
+    for at in range(0, len(target), SLICE):
+        s = slice(at, at + SLICE)
+        x, own, by = h[:, s], target[s], weight[s]
+        place = own, np.arange(len(own))
+        e = np.matmul(w, x, out=buf.take("logits", w.dtype, len(w), len(own)))
+        mine = e[place]
+        top = _exp(e)
+        total = ones @ e
+        loss -= float(((mine - top - np.log(total)) * by).sum())
+        e *= by / total
+        e[place] -= by
+        g += e @ x.T
+        dh[:, s] += plain @ e
+    return loss
+
+
+def gradients(p: dict, h: np.ndarray, syms: np.ndarray, targets: np.ndarray, weight: np.ndarray, buf: Buffers | None = None):
     """Summed loss of a window (steps x lanes), gradients and the last state; ``weight`` 0 leaves a position out.
 
-    ``win``'s gradient is given as (symbols, rows), as few of its rows are touched.
+    ``win``'s gradient is given as (symbols, rows), as few of its rows are touched; the rows may lie in ``buf``. Inside,
+    lanes are the last axis, so that each operation runs along them.
     """
-    steps, n = len(syms), p["u"].shape[0]
-    states, caches = [], []
+    (steps, lanes), n, kind = syms.shape, p["u"].shape[0], p["u"].dtype
+    buf = Buffers() if buf is None else buf
+    all_ = steps * lanes
+    x, a = buf.take("x", kind, 3 * n, steps, lanes), buf.take("a", kind, 3 * n, steps, lanes)
+    win = buf.take("win", kind, 3 * n, len(p["win"]))
+    win[:] = p["win"].T
+    np.take(win, syms, axis=1, out=x, mode="clip")
+    before, states, tmp = buf.take("before", kind, n, steps, lanes), buf.take("states", kind, n + 1, steps, lanes), buf.take("tmp", kind, n, lanes)
+    states[n] = 1
+    keep, u_t, last = (syms != 0).astype(kind), np.ascontiguousarray(p["u"].T), h.T
     for t in range(steps):
-        h = h * (syms[t] != 0)[:, None]
-        h, cache = step(p, h, syms[t])
-        states.append(h)
-        caches.append(cache)
-    flat, want, w = np.concatenate(states), targets.ravel(), weight.ravel()
-    g = {k: np.zeros_like(v) for k, v in p.items() if k != "win"}
+        np.multiply(last, keep[t], out=before[:, t])
+        a[:, t] = u_t @ before[:, t]
+        last = states[:n, t]
+        _advance(x[:, t], a[:, t], before[:, t], last, tmp)
+    want, w = targets.ravel(), weight.ravel().astype(kind)
     cls, order, parts = _by_class(want)
-    logits = flat @ p["wc"].T + p["bc"]
-    e = np.exp(logits - logits.max(1, keepdims=True))
-    prob = e / e.sum(1, keepdims=True)
-    rows = np.arange(len(cls))
-    loss = -(np.log(prob[rows, cls]) * w).sum()
-    prob[rows, cls] -= 1
-    prob *= w[:, None]
-    g["wc"], g["bc"] = prob.T @ flat, prob.sum(0)
-    dh_out = prob @ p["wc"]
-    for k, a, b in parts:
-        at = order[a:b]
+    flat = np.take(states.reshape(n + 1, all_), order, axis=1, out=buf.take("flat", kind, n + 1, all_), mode="clip")
+    want, w = want[order], w[order]
+    dh_flat = buf.take("dh_flat", kind, n, all_)
+    dh_flat[:] = 0
+    top, inner = _biased(p)
+    g_top, g_inner = np.zeros_like(top), np.zeros_like(inner)
+    loss = _softmax_back(top, flat, cls[order], w, g_top, dh_flat, buf)
+    for k, lo, hi in parts:
         s = slice(k * WIDTH, (k + 1) * WIDTH)
-        logits = flat[at] @ p["wo"][s].T + p["bo"][s]
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        prob = e / e.sum(1, keepdims=True)
-        own = np.arange(b - a), want[at] - k * WIDTH
-        loss -= (np.log(prob[own]) * w[at]).sum()
-        prob[own] -= 1
-        prob *= w[at][:, None]
-        g["wo"][s], g["bo"][s] = prob.T @ flat[at], prob.sum(0)
-        dh_out[at] += prob @ p["wo"][s]
-    dh_out = dh_out.reshape(steps, -1, n)
-    dx = np.empty((steps, syms.shape[1], 3 * n), np.float32)
-    dh = np.zeros_like(h)
+        loss += _softmax_back(inner[s], flat[:, lo:hi], want[lo:hi] - k * WIDTH, w[lo:hi], g_inner[s], dh_flat[:, lo:hi], buf)
+    g = {"u": np.zeros_like(p["u"]), "wc": g_top[:, :n], "bc": g_top[:, n], "wo": g_inner[:, :n], "bo": g_inner[:, n]}
+    back = np.empty_like(order)
+    back[order] = np.arange(all_)
+    dh_out = np.take(dh_flat, back, axis=1, out=buf.take("dh_out", kind, n, all_), mode="clip").reshape(n, steps, lanes)
+    dx, da, dh = buf.take("dx", kind, 3 * n, steps, lanes), buf.take("da", kind, 3 * n, lanes), np.zeros((n, lanes), kind)
     for t in reversed(range(steps)):
-        before, z, r, c, ac = caches[t]
-        dh = dh + dh_out[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (before - c) * z * (1 - z)
-        dr = dc * ac * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dc], 1)
-        da = np.concatenate([dz, dr, dc * r], 1)
-        g["u"] += before.T @ da
-        dh = (dh * z + da @ p["u"].T) * (syms[t] != 0)[:, None]
-    return float(loss), g, (syms.ravel(), dx.reshape(-1, 3 * n)), h
+        z, r, c = x[:n, t], x[n : 2 * n, t], x[2 * n :, t]
+        dz, dr, dc = dx[:n, t], dx[n : 2 * n, t], dx[2 * n :, t]
+        dh += dh_out[:, t]
+        np.multiply(c, c, out=dc)
+        np.subtract(1, dc, out=dc)
+        np.subtract(1, z, out=tmp)
+        tmp *= dh
+        dc *= tmp
+        np.subtract(before[:, t], c, out=dz)
+        dz *= tmp
+        dz *= z
+        np.subtract(1, r, out=dr)
+        dr *= r
+        dr *= a[2 * n :, t]
+        dr *= dc
+        da[: 2 * n] = dx[: 2 * n, t]
+        np.multiply(dc, r, out=da[2 * n :])
+        g["u"] += before[:, t] @ da.T
+        dh *= z
+        dh += np.matmul(p["u"], da, out=tmp)
+        dh *= keep[t]
+    return loss, g, (syms.ravel(), dx.reshape(3 * n, all_).T), last.T.copy()
 
 
 class Adagrad:
     def __init__(self, p: dict, rate: float = 0.1):
         self.p, self.rate, self.sums = p, rate, {k: np.full_like(v, 1e-3) for k, v in p.items()}
 
-    def update(self, g: dict, win) -> None:
+    def update(self, g: dict, win, scale: float = 1.0) -> None:
         syms, rows = win
-        order = np.argsort(syms, kind="stable")
-        touched, starts = np.unique(syms[order], return_index=True)
-        dense = np.add.reduceat(rows[order], starts, axis=0)
-        for k, d, at in [*((k, d, slice(None)) for k, d in g.items()), ("win", dense, touched)]:
+        touched, place = np.unique(syms.astype(np.min_scalar_type(len(self.p["win"]))), return_inverse=True)
+        dense = np.column_stack([np.bincount(place, x, len(touched)) for x in rows.T]).astype(rows.dtype) * scale
+        for k, d, at in [*((k, d * scale, slice(None)) for k, d in g.items()), ("win", dense, touched)]:
             d = np.clip(d, -5, 5)
             s = self.sums[k][at] + d * d
             self.sums[k][at] = s
             self.p[k][at] -= self.rate * d / np.sqrt(s)
 
 
-def train(p: dict, texts, lanes: int = 128, window: int = WINDOW, rate: float = 0.1) -> tuple[dict, int]:
-    """Train on an iterator of symbol arrays (each ending in 0); returns the parameters and the symbols seen."""
-    opt, seen, hidden = Adagrad(p, rate), 0, p["u"].shape[0]
-    rest = [np.empty(0, np.int64)] * lanes
-    h = np.zeros((lanes, hidden), np.float32)
-    before = np.zeros(lanes, np.int64)
-    texts, more = iter(texts), True
-    while more or any(len(r) for r in rest):
-        syms, targets, weight = np.zeros((3, window, lanes), np.int64)
-        for i in range(lanes):
-            while more and len(rest[i]) < window:
-                text = next(texts, None)
-                if text is None:
-                    more = False
-                else:
-                    rest[i] = np.concatenate([rest[i], text])
-            got, rest[i] = rest[i][:window], rest[i][window:]
-            k = len(got)
-            if k:
-                targets[:k, i], weight[:k, i] = got, 1
-                syms[0, i], syms[1:k, i] = before[i], got[:-1]
-                before[i] = got[-1]
-        if not weight.any():
-            break
-        loss, g, win, h = gradients(p, h, syms, targets, weight.astype(np.float32))
-        scale = np.float32(1 / 32)
-        opt.update({k: v * scale for k, v in g.items()}, (win[0], win[1] * scale))
-        seen += int(weight.sum())
+def _blocks(texts: Iterable[np.ndarray], size: int) -> Iterator[list[np.ndarray]]:
+    """Texts in their order, in lists of about ``size`` symbols; no list is empty."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _dealt(texts: list[np.ndarray], lanes: int) -> list[np.ndarray]:
+    """Texts joined to at most ``lanes`` lanes of like length, longest lane first: each text, by length, to the shortest lane."""
+    loads = [(0, i) for i in range(min(lanes, len(texts)))]
+    rows: list[list[np.ndarray]] = [[] for _ in loads]
+    for text in sorted(texts, key=len, reverse=True):
+        load, i = loads[0]
+        rows[i].append(text)
+        heapq.heapreplace(loads, (load + len(text), i))
+    return sorted((np.concatenate(r) for r in rows), key=len, reverse=True)
+
+
+def train(p: dict, texts: Iterable[np.ndarray], lanes: int = 1024, window: int = WINDOW, rate: float = 0.1, together: int = 1 << 21) -> tuple[dict, int]:
+    """Train on symbol arrays (each ending in 0); returns the parameters and the symbols seen.
+
+    Lanes that have ended take no more part; where few are left, windows are longer, up to 8 times.
+    """
+    opt, seen, buf, kind = Adagrad(p, rate), 0, Buffers(), p["u"].dtype
+    for block in _blocks(texts, together):
+        rows = _dealt(block, lanes)
+        sizes = np.array([len(r) for r in rows], np.int64)
+        flat, starts = np.concatenate([*rows, np.zeros(8 * window, np.int64)]), np.cumsum(sizes) - sizes
+        h = np.zeros((len(rows), p["u"].shape[0]), kind)
+        before, at, longest = np.zeros(len(rows), np.int64), 0, int(sizes[0])
+        while at < longest:
+            n = int(np.searchsorted(-sizes, -at, side="left"))  # lanes longer than ``at``
+            steps = np.arange(at, min(at + window * min(8, len(rows) // n), longest))[:, None]
+            weight = steps < sizes[:n]
+            targets = flat[starts[:n] + steps] * weight
+            syms = np.concatenate([before[None, :n], targets[:-1]])
+            _, g, win, h = gradients(p, h[:n], syms, targets, weight, buf)
+            opt.update(g, win, kind.type(1 / 32))
+            before = targets[-1]
+            at += len(steps)
+        seen += int(sizes.sum())
     return p, seen
 
 
@@ -189,36 +279,33 @@ def score(p: dict, texts: list[np.ndarray], lanes: int = 1024, together: int = 1
     out = np.zeros(len(texts))
     sizes = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-sizes, kind="stable")
-    states: list[np.ndarray] = []
-    wants: list[np.ndarray] = []
-    whose: list[np.ndarray] = []
+    n, kind, win, u_t, buf = p["u"].shape[0], p["u"].dtype, np.ascontiguousarray(p["win"].T), np.ascontiguousarray(p["u"].T), Buffers()
+    states, wants, whose = np.ones((n + 1, together + lanes), kind), np.empty(together + lanes, np.int64), np.empty(together + lanes, np.int64)
+    held = 0
 
     def settle() -> None:
-        if states:
-            got = log_prob(p, np.concatenate(states), np.concatenate(wants))
-            np.add(out, np.bincount(np.concatenate(whose), got.astype(np.float64), minlength=len(out)), out=out)
-        for x in (states, wants, whose):
-            x.clear()
+        got = _log_prob(p, states[:, :held], wants[:held], buf)
+        np.add(out, np.bincount(whose[:held], got.astype(np.float64), minlength=len(out)), out=out)
 
-    held = 0
     for lo in range(0, len(order), lanes):
         mine = order[lo : lo + lanes]
         size = sizes[mine]
         flat = np.concatenate([texts[i] for i in mine])
         start = np.cumsum(size) - size
-        h = np.zeros((len(mine), p["u"].shape[0]), np.float32)
-        before = np.zeros(len(mine), np.int64)
-        for t in range(int(size[0])):
-            n = int(np.searchsorted(-size, -t, side="left"))  # texts longer than t
-            h, before, start = h[:n], before[:n], start[:n]
-            h, _ = step(p, h, before)
-            before = flat[start + t]
-            states.append(h)
-            wants.append(before)
-            whose.append(mine[:n])
-            held += n
+        left = np.searchsorted(-size, -np.arange(int(size[0])), side="left").tolist()  # texts longer than each step
+        h, before = np.zeros((n, len(mine)), kind), np.zeros(len(mine), np.int64)
+        for t, k in enumerate(left):
+            x = np.take(win, before[:k], axis=1, out=buf.take("x", kind, 3 * n, k), mode="clip")
+            new = states[:n, held : held + k]
+            _advance(x, u_t @ h[:, :k], h[:, :k], new, buf.take("tmp", kind, n, k))
+            h = new
+            before = wants[held : held + k]
+            np.take(flat, start[:k] + t, out=before, mode="clip")
+            whose[held : held + k] = mine[:k]
+            held += k
             if held >= together:
                 settle()
-                held = 0
-    settle()
+                h, before, held = h.copy(), before.copy(), 0
+    if held:
+        settle()
     return out

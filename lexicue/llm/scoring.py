@@ -157,7 +157,8 @@ def fit(
 
     In a round the replicas train alone on a part each, and are averaged. A replica that is repeated reads the same
     texts in the same order, so it gives the same numbers. Replicas are averaged in groups first: the driver holds
-    one set of parameters per group, about the square root of the replicas.
+    one set of parameters per group, about the square root of the replicas. Where a shuffle makes more partitions than
+    asked for, they are put together: each replica sends a whole set of parameters.
     """
     p, trained = gru.fresh(frequency), 0
     spark, n = docs.sparkSession, replicas(tokens)
@@ -173,7 +174,7 @@ def fit(
     try:
         for k in range(ROUNDS):
             dealt = docs.where(F.pmod(draw, F.lit(ROUNDS)) == k).select(draw.alias("_order"), F.col(text).alias("_text"))
-            chosen = dealt.repartition(n, "_order").sortWithinPartitions("_order")
+            chosen = dealt.repartition(n, "_order").coalesce(n).sortWithinPartitions("_order")
             start = spark.sparkContext.broadcast(pickle.dumps(p))
 
             def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:

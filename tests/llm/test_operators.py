@@ -419,6 +419,31 @@ def test_every_training_text_trains_the_network(docs, monkeypatch):
     assert seen == tokens and all(np.isfinite(v).all() and v.shape == few[k].shape for k, v in many.items())
 
 
+def test_training_works_on_symbols_not_on_ended_lanes(monkeypatch):
+    rng, worked, plain = np.random.default_rng(2), [], gru.gradients
+    texts = [np.append(rng.integers(1, 256, n), 0) for n in (10,) * 200 + (2000,)]
+    monkeypatch.setattr(gru, "gradients", lambda p, h, s, *a: worked.append(s.size) or plain(p, h, s, *a))
+    p, seen = gru.train(gru.fresh(np.ones(256)), texts)
+    assert seen == sum(map(len, texts)) and all(np.isfinite(v).all() for v in p.values())
+    assert sum(worked) < 2 * seen
+
+
+def test_softmax_has_no_denormal_numbers():
+    e = np.array([[0, 90], [-95, 0], [-200, 3]], np.float32)
+    top = gru._exp(e)
+    assert top.tolist() == [0, 90] and e.min() > 1e-20 and np.allclose(e.sum(0), 1)
+
+
+def test_a_shuffle_into_more_parts_makes_no_more_replicas(docs, monkeypatch):
+    own = docs.where(id_crc("doc_id") % 7 != 2)
+    vocab, tokens, _, frequency = scoring.vocabulary(scoring.count_words(own).cache())
+    few, seen = scoring.fit(own, vocab, frequency, tokens)
+    plain = type(own).repartition
+    monkeypatch.setattr(type(own), "repartition", lambda d, n, *by: plain(d, max(n, 23), *by))
+    many, again = scoring.fit(own, vocab, frequency, tokens)
+    assert seen == again == tokens and all((few[k] == many[k]).all() for k in few)
+
+
 def test_probabilities_sum_to_one():
     p = gru.fresh(np.arange(1.0, 257.0), 6)
     h = np.random.default_rng(1).standard_normal((1, 6)).astype(np.float32)
