@@ -1,6 +1,7 @@
 """One file per name, written by the tasks that hold its rows: a Python data source.
 
-Rows are ``name, text`` in order. A task streams the texts of a name into a file, so a file may be far larger than memory. All
+Rows are ``name, head, text`` in order. A task streams the texts of a name into a file, so a file may be far larger than memory;
+it has one Python worker, which holds an Arrow batch and ROWS of its rows as Python values, whatever the input's size. All
 files of a job appear at once: they are written to a staging folder that the commit renames and an abort deletes.
 """
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 FORMAT = "lexicue_named_files"
+#: Rows of a batch that are Python values at a time.
+ROWS = 256
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -33,17 +36,17 @@ class NamedFiles(DataSource):
         return FORMAT
 
     def schema(self) -> str:
-        return "name string, text string"
+        return "name string, head string, text string"
 
     def writer(self, schema, overwrite: bool) -> NamedFilesWriter:
         if not overwrite:
             raise ValueError("named files are written in mode overwrite")
-        return NamedFilesWriter(self.options["path"].rstrip("/"))
+        return NamedFilesWriter(self.options["path"].rstrip("/"), self.options.get("between", ""), self.options.get("tail", ""))
 
 
 class NamedFilesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path, self.staging = path, f"{path}-staging-{uuid.uuid4().hex}"
+    def __init__(self, path: str, between: str, tail: str):
+        self.path, self.staging, self.between, self.tail = path, f"{path}-staging-{uuid.uuid4().hex}", between, tail
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """Texts of a name, one after another. A file gets its own name only when it is whole, so attempts cannot mix."""
@@ -53,16 +56,19 @@ class NamedFilesWriter(DataSourceArrowWriter):
 
         def finish() -> None:
             if out is not None:
+                out.write(self.tail.encode())
                 out.close()
                 store.move(part, f"{folder}/{current}")
 
-        for batch in iterator:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if name != current:
-                    finish()
-                    current, part, files = name, f"{folder}/_{uuid.uuid4().hex}", files + 1
-                    out = store.open_output_stream(part)
-                out.write(text.encode())
+        for whole in iterator:
+            for at in range(0, whole.num_rows, ROWS):
+                for name, head, text in zip(*(c.to_pylist() for c in whole.slice(at, ROWS).columns)):
+                    lead = self.between
+                    if name != current:
+                        finish()
+                        current, part, files, lead = name, f"{folder}/_{uuid.uuid4().hex}", files + 1, head
+                        out = store.open_output_stream(part)
+                    out.write((lead + text).encode())
         finish()
         return Written(files)
 
@@ -90,24 +96,5 @@ def write(rows: DataFrame, name: Column, order: list[Column], head: Column, text
     keys = [f"__o{i}" for i in range(len(order))]
     ordered = rows.select(named.alias("name"), head.alias("__head"), text.alias("__text"), *[o.alias(k) for o, k in zip(order, keys)])
     ordered = ordered.repartition("name").sortWithinPartitions("name", *keys)
-
-    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = None
-        for b in batches:
-            names, texts = [], []
-            for n, h, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if n != current:
-                    if current is not None:
-                        names.append(current)
-                        texts.append(tail)
-                    current, lead = n, h
-                else:
-                    lead = between
-                names.append(n)
-                texts.append(lead + t)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["name", "text"])
-        if current is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([current]), pa.array([tail])], names=["name", "text"])
-
-    framed_rows = ordered.select("name", "__head", "__text").mapInArrow(framed, "name string, text string")
-    framed_rows.write.format(FORMAT).mode("overwrite").save(path)
+    writer = ordered.select("name", F.col("__head").alias("head"), F.col("__text").alias("text")).write.format(FORMAT)
+    writer.option("between", between).option("tail", tail).mode("overwrite").save(path)

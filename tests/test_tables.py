@@ -1,7 +1,9 @@
 """Table changes, documents, pricing edges."""
 
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,19 @@ def test_a_file_larger_than_a_batch_keeps_its_order(spark, tmp_path):
         assert (tmp_path / "x" / str(n)).read_text() == "<" + ",".join(map(str, range(n, 60_000, 2))) + ">"
 
 
+def test_a_writer_holds_few_rows_of_a_batch(tmp_path):
+    names = pa.array(["a"] * 20_000 + ["b"] * 10, pa.string())
+    batch = pa.RecordBatch.from_arrays([names, pa.array(["<"] * len(names)), pa.array(["x" * 1000] * len(names))], names=["name", "head", "text"])
+    writer = files.NamedFilesWriter(str(tmp_path / "x"), ",", ">")
+    tracemalloc.start()
+    message = writer.write(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    writer.commit([message])
+    assert message.files == 2 and peak < 4_000_000  # the batch has 20 MB of text
+    assert (tmp_path / "x" / "b").read_text() == "<" + ",".join(["x" * 1000] * 10) + ">"
+
+
 def test_attach_words(spark):
     segs = spark.createDataFrame([("v", 0, 1000, 2000), ("v", 1, 5000, 6000)], "video string, seg_idx int, start_ms int, end_ms int")
     words = spark.createDataFrame([("v", "b", 1.5, 2.04), ("v", "a", 0.96, 1.2), ("v", "late", 1.9, 2.2)], "video string, word string, start double, end double")
