@@ -25,7 +25,7 @@ BORDER = 64
 #: Times that states are handed on from chunk to chunk before the rest of a key is folded in one go.
 ROUNDS = 6
 #: Rows handled at a time.
-BATCH = 8192
+BATCH = 512
 
 
 class Fold:

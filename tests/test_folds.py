@@ -1,7 +1,9 @@
 """Split folds against the same rule row by row: borders, chains of chunks, keys that never reset."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,15 @@ def test_flicker_random(spark, monkeypatch, width):
     df = spark.createDataFrame([(1, *x) for x in rows], "video int, start_ms bigint, end_ms bigint, low_text string, last_frame bigint")
     got = C.flicker_merge(df, ["video"], chunk_of(F.col("start_ms"), width) if width else None)
     assert sorted((x.start_ms, x.end_ms, x.low_text, x.last_frame) for x in got.collect()) == loop_flicker(rows)
+
+
+def test_a_fold_holds_few_rows_of_a_batch():
+    row = pa.struct([("i", pa.int64()), ("t", pa.string())])
+    kind = pa.schema([("key", pa.struct([("k", pa.int64())])), ("part", pa.int64()), ("row", row)])
+    n = 10_000
+    batch = pa.RecordBatch.from_pylist([{"key": {"k": 1}, "part": 0, "row": {"i": i, "t": "x" * 1000}} for i in range(n)], kind)
+    tracemalloc.start()
+    seen = sum(1 for _ in folds._groups(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and peak < 3_000_000  # the batch has 10 MB of text
