@@ -12,11 +12,11 @@ import itertools
 import math
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexicue.llm import gru
@@ -30,74 +30,97 @@ SYMBOLS, SLOTS = 4096, 256
 ROUNDS, PART = 3, 2_000_000
 #: Distinct words a task counts before it hands them on.
 HELD = 300_000
+#: Rows and bytes of text whose words are taken at once (one text at least).
+ROWS, BYTES = 4096, 1 << 23
 END = ""
 
 
-def split(text: str | None) -> list[bytes]:
-    """Words of the text with A-Z in lower case; bytes know no other blanks than the six of ASCII."""
-    return (text or "").encode().lower().split()
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ROWS rows and BYTES bytes in column ``text``, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right"))
+        to = min(max(most, at + 1), at + ROWS)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts with A-Z in lower case, END after each text's last, and where each text starts and the last ends.
+
+    The only blanks are the six of ASCII. A blank that is added to a text with words splits off one more, empty word.
+    """
+    texts = pc.ascii_ltrim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(pc.binary_join_element_wise(texts, pc.if_else(pc.equal(texts, ""), "", " "), ""))
+    return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
 
 
 def slot(word: bytes) -> int:
     return SYMBOLS + zlib.crc32(word[-3:]) % SLOTS
 
 
+#: crc32 of each single byte, without its first and last inversion.
+_CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
+
+
+def slots_of(words: pa.Array) -> np.ndarray:
+    """``slot`` of each word."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes, crc = np.diff(offsets), np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        has = np.flatnonzero(sizes >= back)
+        x = crc[has]
+        crc[has] = _CRC[(x ^ data[offsets[1:][has] - back]) & 255] ^ (x >> 8)
+    return SYMBOLS + (~crc % SLOTS).astype(np.int64)
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, slot, n) over all texts; the end of text is the empty word."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            words = list(held)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in words], pa.string()), pa.array([slot(w) for w in words], pa.int32()),
-                 pa.array([held[w] for w in words], pa.int64())],
-                names=["word", "slot", "n"],
-            )
-            held.clear()
-            return out
+    def merged(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(split(t))
-                held[b""] += 1
-                if len(held) > HELD:
-                    yield rows()
+            for part in slices(b, 0):
+                found = pc.value_counts(words_of(part.column(0))[0])
+                held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+                if sum(map(len, held)) > HELD:
+                    held = [merged(held)]
+                    if len(held[0]) > HELD // 2:
+                        yield from held.pop().to_batches()
         if held:
-            yield rows()
+            yield from merged(held).to_batches()
 
-    parts = docs.select(text).mapInArrow(count, "word string, slot int, n long")
-    return parts.groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    crc = F.crc32(F.substring(F.col("word").cast("binary"), -3, 3))
+    return counts.select("word", (F.lit(SYMBOLS) + crc % SLOTS).cast("int").alias("slot"), "n")
 
 
 class Vocabulary:
     """The known words in order of frequency: number, count and symbol of each."""
 
     def __init__(self, words: list[bytes], counts: list[int], slot_mass: np.ndarray):
-        self.number = _Numbers((w, i) for i, w in enumerate(words))
+        self.words = pa.array([w.decode() for w in words], pa.string())
         self.count = np.array([*counts, 0], np.int64)  # the last place is that of an unknown word
         own = SYMBOLS - 1
         self.symbol = np.array([0 if w == b"" else i + 1 if i < own else slot(w) for i, w in enumerate(words)] + [-1], np.int64)
         self.log_slot = slot_mass  # log10 of what the counts of a slot's words are divided by
         self.log_count = np.log10(self.count + 1.0)
 
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Numbers and symbols of the words and the ending, and the words that are not known by heart."""
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        at = np.append(at, self.number[b""])
+    def symbols(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Numbers and symbols of the texts' words and endings, where each text starts and the last ends, and the words
+        that are not known by heart."""
+        words, ends = words_of(texts)
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
         sym = self.symbol[at]
-        out = np.flatnonzero(at < 0)
-        rare = [words[i] for i in out if i < len(words)]
-        if len(rare):
-            sym[out[: len(rare)]] = [slot(w) for w in rare]
-        sym[-1] = 0
-        return at, sym, rare
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
+        out = at < 0
+        rare = words.filter(pa.array(out))
+        sym[out] = slots_of(rare)
+        return at, sym, ends, rare
 
 
 def vocabulary(counts: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, int, int, np.ndarray]:
@@ -166,6 +189,12 @@ def fit(
     draw = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")), F.lit(8))
     words = spark.sparkContext.broadcast(vocab)
 
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            for part in slices(b, 1):
+                _, sym, ends, _ = words.value.symbols(part.column(1))
+                yield from (sym[i:j] for i, j in itertools.pairwise(ends.tolist()))
+
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, mean = _averaged((r["seen"], r["p"]) for b in batches for r in b.to_pylist())
         if seen:
@@ -178,7 +207,7 @@ def fit(
             start = spark.sparkContext.broadcast(pickle.dumps(p))
 
             def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-                texts = (words.value.symbols(split(t))[1] for b in batches for t in b.column(1).to_pylist())
+                texts = texts_of(batches)
                 first = next(texts, None)
                 if first is not None:
                     own, seen = gru.train(pickle.loads(start.value), itertools.chain([first], texts))
@@ -214,24 +243,16 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = model.value
         for whole in batches:
-            for at in range(0, len(whole), 2048):
-                b = whole.slice(at, 2048)
-                n, known, base, extra, syms, rares = [], [], [], [], [], []
-                for t in b.column(2).to_pylist():
-                    number, sym, rare = v.symbols(split(t))
-                    n.append(len(number))
-                    c = v.count[number]
-                    known.append(int((c > 0).sum()))
-                    logs = v.log_count[number]
-                    base.append(float(logs.sum()))
-                    slots = sym >= SYMBOLS
-                    extra.append(float(logs[slots].sum() - v.log_slot[sym[slots]].sum()))
-                    syms.append(sym)
-                    rares.append([w.decode() for w in rare])
-                got = gru.score(net, syms) / np.log(10) + np.array(extra)
+            for b in slices(whole, 2):
+                number, sym, ends, rare = v.symbols(b.column(2))
+                starts = ends[:-1]
+                logs, of_slot = v.log_count[number], sym >= SYMBOLS
+                extra = np.where(of_slot, logs - v.log_slot[sym], 0)
+                got = gru.score(net, [sym[i:j] for i, j in itertools.pairwise(ends.tolist())]) / np.log(10) + np.add.reduceat(extra, starts)
+                rares = np.concatenate([[0], np.cumsum(number < 0)])[ends]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(got, pa.float64()), pa.array(rares, pa.list_(pa.string()))],
+                    [b.column(0), b.column(1), pa.array(np.diff(ends)), pa.array(np.add.reduceat((v.count[number] > 0).astype(np.int64), starts)),
+                     pa.array(np.add.reduceat(logs, starts)), pa.array(got), pa.ListArray.from_arrays(pa.array(rares.astype(np.int32)), rare)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
                 )
 

@@ -11,6 +11,7 @@ from fractions import Fraction
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -450,6 +451,73 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp([gru.log_prob(p, h, np.array([i]))[0] for i in range(256)]).sum() - 1) < 1e-3
 
 
+def _window(seed=5, big=1.0):
+    rng = np.random.default_rng(seed)
+    p = {k: v + big * rng.standard_normal(v.shape) * 0.3 for k, v in gru.fresh(rng.integers(1, 99, 256).astype(float), 6).items()}
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    syms, targets = rng.integers(0, 256, (7, 30)), rng.integers(0, 256, (7, 30))
+    return p, rng.uniform(-1, 1, (30, 6)), syms, targets, np.ones((7, 30))
+
+
+def test_near_logits_need_no_largest(monkeypatch):
+    p, h, *window = _window()
+    loss, g, win, _ = gru.gradients(p, h, *window)
+    texts = [np.append(t[t > 0], 0) for t in window[0]]
+    scores = gru.score(p, texts)
+    with monkeypatch.context() as m:
+        m.setattr(gru, "_exp", lambda e: 1 / 0)
+        assert gru.gradients(p, h, *window)[0] == loss and (gru.score(p, texts) == scores).all()
+    monkeypatch.setattr(gru, "REACH", -1)  # now every softmax is shifted by its largest logit
+    other, shifted, rows, _ = gru.gradients(p, h, *window)
+    assert np.isclose(loss, other) and all(np.allclose(g[k], shifted[k]) for k in g) and np.allclose(win[1], rows[1])
+    assert np.allclose(gru.score(p, texts), scores)
+
+
+def test_far_logits_are_shifted():
+    p, h, *window = _window(big=2000.0)
+    p["win"], p["u"] = p["win"] / 2000, p["u"] / 2000
+    loss, g, *_ = gru.gradients(p, h, *window)
+    assert np.isfinite(loss) and loss > 0 and all(np.isfinite(v).all() for v in g.values())
+
+
+def test_each_symbol_gets_one_row_of_gradient():
+    p, h, *window = _window()
+    _, _, (syms, rows), _ = gru.gradients(p, h, *window)
+    assert syms.tolist() == sorted(set(window[0].ravel().tolist())) and rows.shape == (len(syms), 18)
+
+
+ODD_TEXTS = [None, "", " ", "\n\n", "a", " A  b ", "x\t\x0b\x0c\r y\n", "\x1c a\x85b\xa0\u2003C", "\u0130X \u00e9\u00c9 \u4e2d\u6587 \U0001f600", "\x00 \x00z"]
+
+
+def test_words_of_texts_and_their_slots():
+    plain = [(t or "").encode().lower().split() + [b""] for t in ODD_TEXTS]
+    for texts in (pa.array(ODD_TEXTS), pa.array(["first", *ODD_TEXTS, "last"]).slice(1, len(ODD_TEXTS))):
+        words, ends = scoring.words_of(texts)
+        got = words.cast(pa.binary()).to_pylist()
+        assert [got[i:j] for i, j in zip(ends, ends[1:])] == plain
+        assert scoring.slots_of(words).tolist() == [scoring.slot(w) for w in got]
+        assert scoring.slots_of(words.slice(2, 3)).tolist() == [scoring.slot(w) for w in got[2:5]]
+    assert scoring.slots_of(pa.array([], pa.string())).tolist() == []
+
+
+def test_slices_are_bounded_in_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(scoring, "ROWS", 4)
+    monkeypatch.setattr(scoring, "BYTES", 10)
+    texts = ["aaaa", "bbbb", None, "c", "d" * 50, *[""] * 9, "eeeeeeeee", "ff"]
+    parts = [b.column(0).to_pylist() for b in scoring.slices(pa.record_batch([pa.array(texts)], names=["t"]), 0)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(len(t or "") for t in p) <= 10) for p in parts)
+
+
+def test_counts_of_words_merged_in_a_task(docs, monkeypatch):
+    want = collections.Counter(w for x in data.rows() for w in [*(x[1] or "").encode().lower().split(), b""])
+    for held in (scoring.HELD, 3):
+        monkeypatch.setattr(scoring, "HELD", held)
+        rows = scoring.count_words(docs).collect()
+        assert {r["word"].encode(): r["n"] for r in rows} == want and len(rows) == len(want)
+        assert all(r["slot"] == scoring.slot(r["word"].encode()) for r in rows)
+
+
 # 9
 
 def brute_components(rows, width, percent):
